@@ -67,7 +67,7 @@ bg AS (SELECT DISTINCT item_id, k, list_slice(w, i, i + k - 1) AS g
 dg AS (SELECT r, k, i, list_slice(w, i, i + k - 1) AS g
        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bg) WHERE len(w) >= k)),
 h AS (SELECT DISTINCT dg.r, dg.i, dg.k, bg.item_id FROM dg JOIN bg ON dg.k = bg.k AND dg.g = bg.g),
-p AS (SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest(range(i, i + k)) AS at FROM (SELECT DISTINCT r, i, k FROM h)) GROUP BY r),
+p AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT r, i, k FROM h)) GROUP BY r),
 t AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM h) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256,
