@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns that decide what is markup, a signature or
 # boilerplate.
@@ -31,7 +32,7 @@ MOJIBAKE = "�|â€|Ã\\S"
 REPLY = r"(?i)^(re\s*:\s*)+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references to characters, by HTML's rules."""
     return text.map(html.unescape, na_action="ignore")

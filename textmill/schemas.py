@@ -1,28 +1,33 @@
 """The row types that flow between the operators."""
 
-from pyspark.sql import types as T
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-OUTLINE_DDL = "array<struct<level:int,title:string,page:int>>"
-PAGES_DDL = "array<struct<page_number:int,text:string>>"
-IMAGES_DDL = "array<struct<image_id:string,page:int,filepath:string,width:int,height:int>>"
-METADATA_DDL = (
-    "struct<post_id:string,topic_id:string,module:string,post_date:string,title:string,ticket_id:string,category:string,"
-    "version_reported:string,version_resolved:string,product:string,status:string,processed_date:string,filename:string,page_count:int,image_count:int>"
-)
+_S, _I, _L, _D = StringType(), IntegerType(), LongType(), DoubleType()
+
+
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+OUTLINE = ArrayType(_struct(level=_I, title=_S, page=_I))
+PAGES = ArrayType(_struct(page_number=_I, text=_S))
+IMAGES = ArrayType(_struct(image_id=_S, page=_I, filepath=_S, width=_I, height=_I))
+METADATA = _struct(
+    post_id=_S, topic_id=_S, module=_S, post_date=_S, title=_S, ticket_id=_S, category=_S, version_reported=_S,
+    version_resolved=_S, product=_S, status=_S, processed_date=_S, filename=_S, page_count=_I, image_count=_I,
+)
 
 #: A document of any source; (source_type, doc_id) is its key.
-GOLD = T.StructType.fromDDL(f"doc_id string, source_type string, metadata {METADATA_DDL}, content struct<full_text:string,outline:{OUTLINE_DDL},pages:{PAGES_DDL}>, images {IMAGES_DDL}")
-METADATA = GOLD["metadata"].dataType
+GOLD = _struct(doc_id=_S, source_type=_S, metadata=METADATA, content=_struct(full_text=_S, outline=OUTLINE, pages=PAGES), images=IMAGES)
 
-QUESTION = T.StructType.fromDDL("id string, question string, category string, ground_truth string")
+QUESTION = _struct(id=_S, question=_S, category=_S, ground_truth=_S)
 
-_HIT_DDL = "struct<id:string,text:string,metadata:struct<source_type:string,source_file:string,chunk_index:int>,similarity:double>"
-_RUN_DDL = "struct<variant:string,model:string,timestamp:string,input_tokens:bigint,output_tokens:bigint,duration_seconds:double>"
+_HIT = _struct(id=_S, text=_S, metadata=_struct(source_type=_S, source_file=_S, chunk_index=_I), similarity=_D)
+_RUN = _struct(variant=_S, model=_S, timestamp=_S, input_tokens=_L, output_tokens=_L, duration_seconds=_D)
 #: One answered question; result is null where error is set.
-BUNDLE = T.StructType.fromDDL(f"question_id string, category string, result struct<query:string,answer:string,retrieved_chunks:array<{_HIT_DDL}>,metadata:{_RUN_DDL}>, error string")
+BUNDLE = _struct(question_id=_S, category=_S, result=_struct(query=_S, answer=_S, retrieved_chunks=ArrayType(_HIT), metadata=_RUN), error=_S)
 
 METRICS = ("faithfulness", "answer_relevance", "context_recall", "factual_correctness")
-SCORES = T.StructType.fromDDL("question_id string, category string, " + ", ".join(f"{m} double" for m in METRICS))
+SCORES = _struct(question_id=_S, category=_S, **dict.fromkeys(METRICS, _D))
 
-IMAGE_CACHE = T.StructType.fromDDL("image_id string, page int, width int, height int, vlm_description string")
-KEYWORD_CACHE = T.StructType.fromDDL("chunk_id string, keywords array<string>")
+IMAGE_CACHE = _struct(image_id=_S, page=_I, width=_I, height=_I, vlm_description=_S)

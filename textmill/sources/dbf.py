@@ -91,7 +91,7 @@ class _Range(InputPartition):
 class DbfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.memo = options["path"].removeprefix("file:"), options.get("memo", "").removeprefix("file:")
-        self.encoding, self.step = options.get("encoding", "cp850"), int(options.get("rowspartition", options.get("rowsPerPartition", "100000")))
+        self.encoding, self.step = options.get("encoding", "cp850"), int(options.get("rowsPerPartition", "100000"))
         self.layout = Layout.of(self.path)
 
     def partitions(self) -> list[InputPartition]:
@@ -123,7 +123,7 @@ class DbfSource(DataSource):
         return StructType([StructField(f.name, StringType()) for f in Layout.of(self.options["path"].removeprefix("file:")).fields])
 
     def reader(self, schema: StructType) -> DbfReader:
-        return DbfReader(dict(self.options))
+        return DbfReader(self.options)
 
 
 def register(spark: SparkSession) -> None:

@@ -34,14 +34,19 @@ def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], chunks_pa
     return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need an instant; a time without zone is read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def event_rates(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their values per window and type; later ones than ``late``
     are left out once their window has closed. Works on tables, too."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    w = _timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """A user's events that follow one another within ``gap``."""
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    s = _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
