@@ -1,9 +1,11 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-A document's words are hashed once; the hash of each window of word hashes is
-looked up in the set of benchmark windows by a broadcast hash join (an ordinary
-join if the set is larger than ``BROADCAST_WINDOWS``), and a hit is verified by
-comparing the words themselves. Only verified hits are shuffled.
+The set of benchmark windows is keyed by the hash of one word of each window,
+its anchor: the longest word, which is the most telling. Training words are
+hashed once and looked up in that set by a broadcast hash join (an ordinary
+join if the set is larger than ``BROADCAST_WINDOWS``); where an anchor is met,
+the whole window around it is compared word by word. Every occurrence of a
+window contains its anchor, so none is missed. Only verified hits are shuffled.
 """
 
 from __future__ import annotations
@@ -26,9 +28,16 @@ def _lower(w: Column) -> Column:
 def words(text: Column) -> Column:
     """Lower-cased words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ ; null: none.
 
-    A-Z are split as word characters and lower-cased per word.
+    A-Z are split as word characters. An ASCII text is lower-cased at once,
+    another one per word.
     """
-    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), ""), _lower)
+    t = F.coalesce(text, F.lit(""))
+    split = lambda x: F.array_remove(F.split(x, _BETWEEN), "")
+    return F.when(F.octet_length(t) == F.char_length(t), split(F.lower(t))).otherwise(F.transform(split(t), _lower))
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")).cast("long")
 
 
 def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
@@ -38,41 +47,31 @@ def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def _window_hashes(hashes: str, size: int) -> Column:
-    """Hashes of the windows of ``size`` words, in order of position."""
-    at = F.sequence(F.lit(1), F.size(hashes) - (size - 1))
-    return F.when(F.size(hashes) >= size, F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
-
-
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """item_id, size, h, gram: the windows of each item, repeats removed."""
+    """gram, items, h, off: the different windows with the items they are in,
+    and the hash and place of their anchor."""
     b = _once(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "w", words(F.col("text")), "item_id")
     b = b.where(F.size("w") > 0).select("item_id", "w", F.least(F.lit(n), F.size("w")).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))).alias("at"))
-    b = _once(b, "gram", F.slice("w", F.col("at"), F.col("size")), "item_id", "size").distinct()
-    return b.select("item_id", "size", F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("h"), "gram")
+    b = _once(b, "gram", F.slice("w", F.col("at"), F.col("size")), "item_id").groupBy("gram").agg(F.collect_set("item_id").alias("items"))
+    anchor = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))))
+    return _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w").alias("h"), F.col("a.i").alias("off"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
     """(rows, found): rows has id, key (hash of the text) and n_words of every
     row; found has, per id and key, its spans (first word, words) and the
     sorted item ids, for the texts that any window occurs in."""
-    grams = benchmark_windows(benchmark, n=n)
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n values
-    lookup = grams.groupBy("size", "h", "gram").agg(F.collect_set("item_id").alias("items"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    w = _once(base, "w", words(F.col("text")), "doc_id", "key")
-    rows = w.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
-    wh = _once(w, "wh", F.transform("w", lambda x: F.xxhash64(x)), "doc_id", "key", "w")
-    each = [F.transform(_window_hashes("wh", s), lambda h, i, s=s: F.struct(F.lit(s).alias("size"), i.alias("at"), h.alias("h"))) for s in sizes]
-    if len(sizes) > 1:
-        windows = wh.select("doc_id", "key", "w", F.inline(F.concat(*each)))
-    else:
-        size = sizes[0] if sizes else n
-        windows = wh.select("doc_id", "key", "w", F.lit(size).alias("size"), F.posexplode(_window_hashes("wh", size)).alias("at", "h"))
+    lookup = benchmark_windows(benchmark, n=n)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = base.select("doc_id", F.xxhash64("text").alias("key"), n_words(F.col("text")).alias("n_words"))
+    w = _once(base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text")), "w", words(F.col("text")), "doc_id", "key")
+    # exploding a plain column is compiled, and the words beside it are a reference; exploding an expression would copy them per word
+    each = _once(w, "wh", F.transform("w", lambda x: F.xxhash64(x)), "doc_id", "key", "w").select("doc_id", "key", "w", F.posexplode("wh").alias("place", "h"))
     if lookup.count() <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
-    found = windows.join(lookup, ["size", "h"]).where(F.slice("w", F.col("at") + 1, F.col("size")) == F.col("gram"))
-    found = found.select("doc_id", "key", "at", "size", "items").groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = each.join(lookup, "h").where((F.col("place") >= F.col("off")) & (F.slice("w", F.col("place") - F.col("off") + 1, F.size("gram")) == F.col("gram")))
+    found = found.select("doc_id", "key", F.struct((F.col("place") - F.col("off")).alias("at"), F.size("gram").alias("size")).alias("span"), "items")
+    found = found.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return rows, found
 
 
@@ -130,7 +129,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(bad["_key"]), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, mark: str = " ") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """doc_id, text: the hit words cut from each text (with what stands
     between two cut words), every other character kept."""
     _, found = hits(docs, benchmark, id_col, text_col, n)
@@ -140,5 +139,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     j = j.withColumn("ws", F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1))).withColumn("gaps", F.split("text", word))
     inside = lambda i: F.array_contains(F.col("cut"), i)
-    kept = F.transform(F.sequence(F.lit(0), F.size("gaps") - 1), lambda i: F.concat(F.when(inside(i - 1) & inside(i), F.lit(mark)).otherwise(F.get("gaps", i)), F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get("ws", i), F.lit("")))))
+    kept = F.transform(F.sequence(F.lit(0), F.size("gaps") - 1), lambda i: F.concat(F.when(inside(i - 1) & inside(i), F.lit("")).otherwise(F.get("gaps", i)), F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get("ws", i), F.lit("")))))
     return j.select("doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"))
