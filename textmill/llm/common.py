@@ -75,7 +75,7 @@ def sample_ids(rows: DataFrame, id_col: str, group_cols: list[str], per_group: i
         same = F.lit(True)
         for c in group_cols:
             same = same & F.col(c).eqNullSafe(F.lit(r[c]))
-        keep = keep | (same & (unit < min(1.0, per_group / r["count"])))
+        keep = keep | (same & (unit < min(1.0, per_group / max(1, r["count"]))))
     return rows.where(keep)
 
 

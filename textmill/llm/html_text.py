@@ -47,6 +47,8 @@ TABLE = (
     (60, 0.0, 10, 80, 0, 0, 0, 0, 0, 1), (25, 0.1, 60, 70, 0, 0, 0, 0, 0, 1), (120, 0.05, 0, 0, 0, 0, 0, 0, 0, 1),
     (18, 0.0, 40, 40, 0, 0, 0, 0, 0, 1), (9, 0.0, 50, 60, 0, 0, 0, 0, 0, 1), (8, 0.0, 1, 70, 1.0, 0, 0, 0, 1, 1),
     (5, 0.0, 60, 80, 0, 0, 0, 0, 1, 1), (40, 0.0, 12, 15, 0, 0, 0, 0, 0, 1), (14, 0.0, 30, 3, 0, 0, 0, 0, 0, 1),
+    (16, 0.0, 16, 1, 0, 1.0, 0, 0, 0, 1), (16, 0.0, 16, 4, 0, 1.0, 0, 0, 0, 1), (30, 0.1, 2, 2, 1.0, 1.0, 0, 0, 0, 1), (7, 0.0, 30, 2, 0, 1.0, 0, 0, 0, 1),
+    (4, 1.0, 16, 0, 0, 0, 0, 0, 0, 0), (2, 1.0, 80, 1, 0, 1.0, 0, 0, 0, 0), (9, 0.8, 60, 60, 0, 0, 0, 0, 0, 0), (25, 0.9, 0, 0, 0, 0, 0, 0, 0, 0),
     (1, 1.0, 0, 1, 0, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0), (4, 0.9, 3, 60, 1.0, 0, 0, 0, 0, 0),
     (12, 0.8, 8, 9, 0.9, 0.9, 0, 0, 0, 0), (30, 0.7, 5, 5, 0.8, 0.8, 0, 0, 0, 0), (2, 0.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0),
     (3, 0.0, 3, 4, 0, 1.0, 0, 0, 0, 0), (6, 0.5, 60, 3, 0, 1.0, 0, 0, 0, 0), (15, 0.6, 4, 70, 0.9, 0, 0, 0, 0, 0),
