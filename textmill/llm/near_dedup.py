@@ -28,6 +28,7 @@ SEED = 42
 RADIUS = 3
 SHINGLE = 3
 BUCKET = 4096
+HOT = 1000
 _ALL = (1 << 64) - 1
 
 
@@ -161,13 +162,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result. Other columns are not looked at.
     """
     each = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(links(nodes.select("fp"), radius))
     named = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     linked = named.join(least, "root").select("fp", "least")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = stash(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "names")
+    # at most HOT fingerprints have more than 1/HOT of the rows: they are joined by broadcast, so that no task gets the rows of one of them
+    often = each.count() // HOT
+    hot = F.broadcast(of.where(F.col("n") > often).select("fp", "component_id"))
+    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") <= often).select("fp", "component_id"), "fp")
+    joined = each.join(hot, "fp").unionByName(rest)
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
