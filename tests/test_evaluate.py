@@ -117,3 +117,24 @@ def test_profile(spark):
     assert tuple(P.completeness(t, ["text"]).first()) == (5, 1)
     s = spark.createDataFrame([(0,), (86400,), (259200,)], "s long")
     assert tuple(P.time_span(s, "s").first()) == ("1970-01-02", "1970-01-04", 2)
+
+
+def test_run_and_score(spark):
+    q = questions(spark, [("Q001", "wie?", "Chunking", "so"), ("Q002", "was?", "Recency", "")])
+    hits = spark.createDataFrame([("Q001", "c1", "antwort", "forum", "f", 0, 0.5, 1)], "query_id string, id string, text string, source_type string, source_file string, chunk_index int, similarity double, rank int")
+
+    def model(prompts):
+        return [{"error": "boom"} if "was?" in p else {"answer": "so", "input_tokens": 10, "output_tokens": 2, "duration_seconds": 0.5, "model": "m"} for p in prompts]
+
+    b = E.run_testset(q, hits, model, "v0", "t")
+    assert b.schema == BUNDLE or [f.name for f in b.schema] == [f.name for f in BUNDLE]
+    r = {x["question_id"]: x for x in b.collect()}
+    assert r["Q001"]["result"]["answer"] == "so" and r["Q001"]["result"]["retrieved_chunks"][0]["id"] == "c1" and r["Q001"]["error"] is None
+    assert r["Q002"]["result"] is None and r["Q002"]["error"] == "boom"
+    assert tuple(E.run_stats(b).first())[:5] == (2, 1, 1, 10, 2)
+    s = E.score_bundle(b, q, lambda rows: [{"faithfulness": 1.0, "context_recall": float("nan")} for _ in rows]).collect()
+    assert [tuple(x) for x in s] == [("Q001", "Chunking", 1.0, None, None, None)]
+    assert E.check_error_rate(b).count() == 2
+    bad = bundle(spark, [(f"Q{i:03d}", "Recency", None, "boom") for i in range(10)])
+    with pytest.raises(RuntimeError):
+        E.check_error_rate(bad)

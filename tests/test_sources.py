@@ -137,3 +137,11 @@ def test_sinks(spark, tmp_path):
     gold = write(tmp_path / "g.jsonl", [{"doc_id": "a", "source_type": "forum"}, ""])
     assert files.gold_jsonl(spark, [gold, str(tmp_path / "none.jsonl")]).where("doc_id is not null").count() == 1
     assert files.gold_jsonl(spark, [str(tmp_path / "none.jsonl")]).count() == 0
+
+
+def test_artifacts_and_ticket_csv(spark, tmp_path):
+    a = spark.createDataFrame([("Wie geht das?", "so")], "query string, answer string")
+    sinks.write_query_artifact(a, str(tmp_path / "q"), "20260101T000000Z")
+    assert [p.name for p in (tmp_path / "q").iterdir() if p.is_dir()] == ["artifact=20260101T000000Z_wie_geht_das"]
+    (tmp_path / "t.csv").write_text('ID,LOESUNG\n1,"a\nb"\n2,c\n', encoding="utf-8")
+    assert [r["LOESUNG"] for r in files.tickets_csv(spark, str(tmp_path / "t.csv")).orderBy("ID").collect()] == ["a\nb", "c"]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import providers
 from textmill.functions import text as X
-from textmill.schemas import METRICS
+from textmill.operators import retrieve
+from textmill.schemas import BUNDLE, METRICS
 from textmill.sources.files import CATEGORIES
 
 # Compared variants, and prices in USD per million tokens.
@@ -82,6 +86,44 @@ def stop_points(rows: DataFrame, order: list[str], failed: Column, keys: list[st
     return running_error_rate(rows, order, failed, keys).where("stop").groupBy(*keys).agg(F.min("n_seen").alias("stopped_after"))
 
 
+def run_testset(questions: DataFrame, hits: DataFrame, provider: Callable, variant: str, timestamp: str, rank: str = "rank") -> DataFrame:
+    """Bundle rows of all questions in one job. hits: the retrieval's rows
+    with query_id = the question's id. ``provider(list of prompts)`` gives
+    {answer, input_tokens, output_tokens, duration_seconds, model} per prompt,
+    or {error}; a failure of one question is its row's error."""
+    q = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    call = lambda prompts: [json.dumps(r) for r in provider(prompts)]
+    made = providers.apply(retrieve.messages(q, hits, rank), "prompt", "reply", "string", call, batch=1)
+    kind = "answer string, error string, model string, input_tokens bigint, output_tokens bigint, duration_seconds double"
+    made = made.select("query_id", F.from_json("reply", kind).alias("r"))
+    hit = F.struct("id", "text", F.struct("source_type", "source_file", F.col("chunk_index").cast("int").alias("chunk_index")).alias("metadata"), F.col("similarity").cast("double").alias("similarity"))
+    found = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("k"), hit.alias("h")))), lambda e: e["h"]).alias("found"))
+    j = questions.select(F.col("id").alias("query_id"), "question", "category").join(made, "query_id").join(found, "query_id", "left")
+    run = F.struct(F.lit(variant).alias("variant"), "r.model", F.lit(timestamp).alias("timestamp"), "r.input_tokens", "r.output_tokens", "r.duration_seconds")
+    result = F.struct(F.col("question").alias("query"), "r.answer", F.coalesce("found", F.array().cast(BUNDLE["result"].dataType["retrieved_chunks"].dataType)).alias("retrieved_chunks"), run.alias("metadata"))
+    return j.select(F.col("query_id").alias("question_id"), "category", F.when(F.col("r.error").isNull(), result).cast(BUNDLE["result"].dataType).alias("result"), F.col("r.error").alias("error"))
+
+
+def check_error_rate(bundle: DataFrame) -> DataFrame:
+    """The bundle itself, or an error if a run in order of question would
+    have stopped."""
+    w = bundle.withColumn("_run", F.lit(1))
+    if not stop_points(w, ["question_id"], F.col("error").isNotNull(), ["_run"]).isEmpty():
+        raise RuntimeError("more than half of the questions failed")
+    return bundle
+
+
+def score_bundle(bundle: DataFrame, questions: DataFrame, judge: Callable) -> DataFrame:
+    """Score rows by key (never by position). ``judge(list of JSON rows)``
+    gives a dict of metrics per row; missing, unreadable and NaN values are
+    null. The engine owns filter, join and clean-up, the judge the verdict."""
+    rows = judge_rows(bundle, questions)
+    packed = rows.select("question_id", "category", F.to_json(F.struct("user_input", "response", "retrieved_contexts", "reference")).alias("row"))
+    call = lambda texts: [json.dumps({k: v for k, v in r.items() if v == v}) for r in judge(texts)]
+    made = providers.apply(packed, "row", "verdict", "string", call)
+    return made.select("question_id", "category", *[F.from_json("verdict", f"{m} double")[m].alias(m) for m in METRICS])
+
+
 def judge_rows(bundle: DataFrame, questions: DataFrame) -> DataFrame:
     """The judge's input: answered questions with contexts and reference; no
     answered question raises when the rows are read."""

@@ -52,6 +52,11 @@ def ticket_columns(df: DataFrame, sample: int | None = None) -> DataFrame:
     return sampled(df.select(*TICKET_COLUMNS), "ID", sample)
 
 
+def tickets_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Tickets of a comma-separated export with a header; all strings."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+
+
 def pdf_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """path, content of the PDF files of a folder, in order of path."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", str(recursive).lower())
@@ -102,7 +107,8 @@ def images_of(shots: str, least: int = 50) -> Column:
 
 def gold_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Documents of JSON lines; blank lines and missing files are passed over."""
-    return spark.read.schema(schemas.GOLD).option("ignoreMissingFiles", "true").json([p for p in paths if _exists(spark, p)] or paths[:0]) if any(_exists(spark, p) for p in paths) else spark.createDataFrame([], schemas.GOLD)
+    there = [p for p in paths if _exists(spark, p)]
+    return spark.read.schema(schemas.GOLD).json(there).where("doc_id is not null") if there else spark.createDataFrame([], schemas.GOLD)
 
 
 def bundle_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -123,9 +129,9 @@ def questions_jsonl(spark: SparkSession, path: str) -> DataFrame:
     question set is written by hand.
     """
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where(~is_blank(F.col("line")))
-    kinds = "id variant, question variant, category variant, ground_truth variant"
-    parsed = raw.select((F.col("at") + 1).alias("line_no"), "line", F.from_json("line", kinds).alias("q"))
-    return validated(parsed.select("line_no", "line", *[F.try_variant_get(F.try_parse_json("line"), f"$.{c}", "string").alias(c) for c in ("id", "question", "category", "ground_truth")], F.try_parse_json("line").isNull().alias("torn")))
+    parsed = F.try_parse_json("line")
+    fields = [F.try_variant_get(parsed, f"$.{c}", "string").alias(c) for c in ("id", "question", "category", "ground_truth")]
+    return validated(raw.select((F.col("at") + 1).alias("line_no"), "line", *fields, parsed.isNull().alias("torn")))
 
 
 def validated(rows: DataFrame) -> DataFrame:

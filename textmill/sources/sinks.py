@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from textmill.functions.text import slug
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     """JSON lines, UTF-8; returns the number of rows written."""
@@ -53,6 +55,12 @@ def write_consolidated(answers: DataFrame, path: str) -> None:
     answers.write.mode("overwrite").json(path)
 
 
+def write_query_artifact(answers: DataFrame, folder: str, timestamp: str) -> None:
+    """Answered queries as JSON, in a folder per query: time and slug."""
+    named = answers.withColumn("artifact", F.concat(F.lit(f"{timestamp}_"), slug(F.col("query"))))
+    named.write.mode("append").partitionBy("artifact").json(folder)
+
+
 def backup_once(df: DataFrame, path: str) -> None:
     """Keeps a copy unless one is there already."""
     df.write.mode("ignore").parquet(path)
