@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare
+from textmill.llm.common import prepare, stash
 from textmill.llm.encoding import encoder, vocabulary
 
 #: Lengths of one bucket of the two-level suffix sums.
@@ -36,7 +36,7 @@ def histogram(docs: DataFrame, text_col: str = "text", vocab: str | None = None)
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """Per length L: docs_ge, tokens_ge (texts of L tokens or more), truncated
+    """hist is read twice. Per length L: docs_ge, tokens_ge (texts of L tokens or more), truncated
     (tokens if texts are cut at L), docs_le and its share quantile, and the
     totals. A window runs within a bucket of lengths; over the buckets' sums
     runs a second one, of one row per bucket."""
@@ -79,7 +79,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocab: str | None = No
     Null and empty texts have length 0; repeated rows count each; an empty
     table gives no row. Other columns are not looked at.
     """
-    return suffix_sums(histogram(docs, text_col, vocab))
+    return suffix_sums(stash(histogram(docs, text_col, vocab), "lengths"))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> int:
