@@ -43,6 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder
 
 
+def _stash_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/textmill/{spark.sparkContext.applicationId}"
+
+
+def clear_stash(spark: SparkSession) -> None:
+    """Deletes the application's stashed tables. Results that still read them
+    must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stash_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and reread it.
 
@@ -50,7 +61,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     RDD checkpoint runs its last stage twice) and survives lost executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/textmill/{tag}-{uuid.uuid4().hex}"
+    path = f"{_stash_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
