@@ -38,6 +38,9 @@ def test_run_stats(spark):
 def test_abort(spark):
     rows = spark.range(10).selectExpr("id", "true as bad", "1 as k")
     assert E.stop_points(rows, ["id"], rows.bad, ["k"]).first()["stopped_after"] == 5
+    for block in (None, rows.id - rows.id % 4, rows.id):
+        r = E.running_error_rate(rows, ["id"], rows.id % 3 == 0, ["k"], block).orderBy("id").collect()
+        assert [(x["n_seen"], x["n_errors"]) for x in r] == [(i + 1, i // 3 + 1) for i in range(10)]
     half = spark.range(10).selectExpr("id", "id % 2 = 0 as bad", "1 as k")
     assert E.stop_points(half, ["id"], half.bad, ["k"]).first()["stopped_after"] == 5
     good = spark.range(10).selectExpr("id", "id % 2 = 1 as bad", "1 as k")

@@ -73,11 +73,25 @@ def run_stats(bundle: DataFrame) -> DataFrame:
     return t.withColumn("cost_usd", (F.col("input_tokens") * INPUT_PRICE + F.col("output_tokens") * OUTPUT_PRICE) / 1e6)
 
 
-def running_error_rate(rows: DataFrame, order: list[str], failed: Column, keys: list[str]) -> DataFrame:
+def running_error_rate(rows: DataFrame, order: list[str], failed: Column, keys: list[str], block: Column | None = None) -> DataFrame:
     """Adds n_seen, n_errors and stop (the rate is above the limit after
-    enough rows), running within each key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumn("n_seen", F.count(F.lit(1)).over(w)).withColumn("n_errors", F.sum(failed.cast("int")).over(w))
+    enough rows), running within each key.
+
+    ``block`` (a number that never falls in the order) lets a key of any size
+    run in many tasks: sums run within blocks, and over the blocks' totals.
+    """
+    bad = F.coalesce(failed, F.lit(False)).cast("int")
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        r = rows.withColumn("n_seen", F.count(F.lit(1)).over(w)).withColumn("n_errors", F.sum(bad).over(w))
+    else:
+        b = rows.withColumn("_block", block).withColumn("_bad", bad)
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = b.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("e"))
+        sums = sums.select(*keys, "_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "e")])
+        w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        r = b.withColumn("n_seen", F.count(F.lit(1)).over(w)).withColumn("n_errors", F.sum("_bad").over(w)).join(sums, [*keys, "_block"])
+        r = r.withColumn("n_seen", F.col("n_seen") + F.col("_n")).withColumn("n_errors", F.col("n_errors") + F.col("_e")).select(*rows.columns, "n_seen", "n_errors")
     return r.withColumn("stop", (F.col("n_seen") >= ABORT_AFTER) & (F.col("n_errors") / F.col("n_seen") > ABORT_RATE))
 
 
@@ -200,10 +214,13 @@ def latencies(bundle: DataFrame) -> DataFrame:
     return bundle.select("variant", "question_id", ms.alias("latency_ms")).where("latency_ms is not null")
 
 
-def latency_profile(rows: DataFrame, key: str = "variant", value: str = "latency_ms") -> DataFrame:
-    """n, mean and the five numbers of a box plot, exact percentiles."""
+def latency_profile(rows: DataFrame, key: str = "variant", value: str = "latency_ms", accuracy: int | None = None) -> DataFrame:
+    """n, mean and the five numbers of a box plot. Percentiles are exact and
+    keep every different value of a key; with ``accuracy`` they come from a
+    sketch of bounded size."""
     q = [0.0, 0.25, 0.5, 0.75, 1.0]
-    p = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, q).alias("p"))
+    middle = F.percentile(value, q) if accuracy is None else F.percentile_approx(value, q, accuracy)
+    p = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), middle.alias("p"))
     return p.select(key, "n", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 

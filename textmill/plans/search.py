@@ -207,7 +207,7 @@ def rescore_coalesce(spark, sf_dir):
 SELECT event_type, event_id, n_seen, n_errors::BIGINT AS n_errors, n_seen >= 5 AND n_errors / n_seen > 0.5 AS stop FROM r""")
 def running_error_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return evaluate.running_error_rate(e, ["event_id"], F.col("value") > 50, ["event_type"]).select("event_type", "event_id", "n_seen", "n_errors", "stop")
+    return evaluate.running_error_rate(e, ["event_id"], F.col("value") > 50, ["event_type"], F.floor(F.col("event_id") / 8192)).select("event_type", "event_id", "n_seen", "n_errors", "stop")
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max FROM events GROUP BY event_type""")
