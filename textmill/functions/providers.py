@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textmill.workers import reach
+
 #: The wait before each further attempt, in seconds.
 BACKOFF = (2, 5, 15, 30, 60)
 
@@ -71,6 +73,7 @@ def extractive_answer(texts: list[str]) -> list[str]:
 
 def apply(df: DataFrame, text_col: str, out_col: str, kind: str, provider: Callable[[list[str]], list], batch: int = 100) -> DataFrame:
     """Adds ``out_col``: the provider's result, called on ``batch`` texts."""
+    reach(df.sparkSession)
     call = with_retry(provider)
     at = df.columns.index(text_col)
     schema = df.limit(0).selectExpr("*", f"cast(null as {kind}) as `{out_col}`").schema

@@ -9,10 +9,12 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textmill.workers import reach
+
 # The patterns that decide what is markup, a signature or
 # boilerplate.
 TAG = "<[^>]+>"
@@ -33,11 +35,16 @@ REPLY = r"(?i)^(re\s*:\s*)+"
 
 
 @F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Character references to characters, by HTML's rules."""
+def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def unescape(text: Column) -> Column:
+    """Character references to characters, by HTML's rules."""
+    reach(SparkSession.active())
+    return _unescape(text)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is computed once per row. A generator keeps the
     optimizer from copying the expression into lambdas that read it."""

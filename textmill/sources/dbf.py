@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from textmill.workers import reach
+
 MEMO_BLOCK, MEMO_END, HEADER_END, DELETED = 512, 0x1A, 0x0D, 0x2A
 
 
@@ -127,6 +129,7 @@ class DbfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    reach(spark)
     spark.dataSource.register(DbfSource)
 
 

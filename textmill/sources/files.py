@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill import schemas
 from textmill.functions.text import is_blank
+from textmill.workers import reach
 
 # The columns used of a forum export (ordinals) and of tickets.
 FORUM_WIDTH = 26
@@ -87,6 +88,7 @@ def pdf_pages(files: DataFrame, parser) -> DataFrame:
             kinds = pa.schema([("path", pa.string()), ("texts", pa.list_(pa.string())), ("outline", pa.list_(pa.struct([("level", i32), ("title", pa.string()), ("page", i32)]))), ("shots", pa.list_(pa.struct([("xref", i32), ("page", i32), ("width", i32), ("height", i32)])))])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
+    reach(files.sparkSession)
     d = files.mapInArrow(run, schema)
     pages = F.transform("texts", lambda t, i: F.struct((i + 1).cast("int").alias("page_number"), normalize_page(t).alias("text")))
     return d.select(
