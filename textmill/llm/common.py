@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.workers import reach
+
 #: Rows of an Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 1024
 
@@ -23,6 +25,7 @@ _own_folder: str | None = None
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a worker holds few texts at once."""
+    reach(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(key, str(BATCH_ROWS))
