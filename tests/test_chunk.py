@@ -54,6 +54,12 @@ def test_outline(spark):
     assert ids(chunk.v1(d)) == ["handbuch__h_nooutline_recursive_0000"]
 
 
+def test_limited(spark):
+    c = chunk.v0(gold(spark, "forum", "d", words(1851)))
+    assert ids(chunk.limited(c, 2)) == ["forum__d_chunk_0000", "forum__d_chunk_0001"]
+    assert [tuple(r) for r in chunk.strategy_counts(c).collect()] == [("forum", "unknown", 3)]
+
+
 def test_unknown_source(spark):
     assert ids(chunk.v1(gold(spark, "wiki", "w", "kurz"))) == ["wiki__w_chunk_0000"]
 

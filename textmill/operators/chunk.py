@@ -197,3 +197,8 @@ def by_page_with_images(docs: DataFrame, merged: DataFrame) -> DataFrame:
 
 def strategy_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_type", F.coalesce("chunking_strategy", F.lit("unknown")).alias("chunking_strategy")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def limited(chunks: DataFrame, n: int) -> DataFrame:
+    """The first n chunks in order of document and chunk (a trial index)."""
+    return chunks.orderBy(*_KEY, "chunk_index").limit(n)
