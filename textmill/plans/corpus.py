@@ -311,15 +311,17 @@ def time_span(spark, sf_dir):
     return profile.time_span(table(spark, sf_dir, "orders").select(F.unix_timestamp("o_orderdate").alias("s")), "s")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def event_rates(spark, sf_dir):
-    return ingest.event_rates(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+    r = ingest.event_rates(table(spark, sf_dir, "events"))
+    return r.withColumns({"start": F.date_format("start", "yyyy-MM-dd HH:mm:ss"), "value": F.round("value", 4)})
 
 
 @query("""
 WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM s GROUP BY user_id, s
 """)
 def sessions(spark, sf_dir):
-    return ingest.sessions(table(spark, sf_dir, "events"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return ingest.sessions(table(spark, sf_dir, "events")).withColumns({"start": text("start"), "end": text("end")})
