@@ -18,7 +18,7 @@ from textmill.llm.common import prepare, stash
 from textmill.llm.encoding import encoder, vocabulary
 
 #: Lengths of one bucket of the two-level suffix sums.
-BUCKET = 4096
+BUCKET = 64
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocab: str | None = None) -> DataFrame:
