@@ -1,11 +1,12 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-The set of benchmark windows is keyed by the hash of one word of each window,
-its anchor: the longest word, which is the most telling. Training words are
-hashed once and looked up in that set by a broadcast hash join (an ordinary
-join if the set is larger than ``BROADCAST_WINDOWS``); where an anchor is met,
-the whole window around it is compared word by word. Every occurrence of a
-window contains its anchor, so none is missed. Only verified hits are shuffled.
+The set of benchmark windows is keyed by the hash of one pair of neighbouring
+words of each window, its anchor: the longest pair, which is the most telling.
+The pairs of a training text are hashed once and looked up in that set by a
+broadcast hash join (an ordinary join if the set is larger than
+``BROADCAST_WINDOWS``); where an anchor is met, the whole window around it is
+compared word by word. Every occurrence of a window contains its anchor, so
+none is missed. Only verified hits are shuffled.
 """
 
 from __future__ import annotations
@@ -49,12 +50,14 @@ def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
     """gram, items, h, off: the different windows with the items they are in,
-    and the hash and place of their anchor."""
+    and the hash and place of their anchor (of a single word: the word)."""
     b = _once(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "w", words(F.col("text")), "item_id")
     b = b.where(F.size("w") > 0).select("item_id", "w", F.least(F.lit(n), F.size("w")).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))).alias("at"))
     b = _once(b, "gram", F.slice("w", F.col("at"), F.col("size")), "item_id").groupBy("gram").agg(F.collect_set("item_id").alias("items"))
-    anchor = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))))
-    return _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w").alias("h"), F.col("a.i").alias("off"))
+    follow = lambda i: F.coalesce(F.get("gram", i + 1), F.lit(""))
+    heads = F.slice("gram", 1, F.greatest(F.lit(1), F.size("gram") - 1))
+    anchor = F.array_max(F.transform(heads, lambda w, i: F.struct((F.length(w) + F.length(follow(i))).alias("n"), w.alias("w"), follow(i).alias("v"), i.alias("i"))))
+    return _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w", "a.v").alias("h"), F.col("a.i").alias("off"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -65,9 +68,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = base.select("doc_id", F.xxhash64("text").alias("key"), n_words(F.col("text")).alias("n_words"))
     w = _once(base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text")), "w", words(F.col("text")), "doc_id", "key")
+    known = lookup.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("gram") == 1).alias("single")).first()
+    keys = F.transform("w", lambda x, i: F.xxhash64(x, F.coalesce(F.get("w", i + 1), F.lit(""))))
+    if known["single"]:
+        keys = F.concat(keys, F.transform("w", lambda x: F.xxhash64(x, F.lit(""))))
     # exploding a plain column is compiled, and the words beside it are a reference; exploding an expression would copy them per word
-    each = _once(w, "wh", F.transform("w", lambda x: F.xxhash64(x)), "doc_id", "key", "w").select("doc_id", "key", "w", F.posexplode("wh").alias("place", "h"))
-    if lookup.count() <= BROADCAST_WINDOWS:
+    each = _once(w, "keys", keys, "doc_id", "key", "w").select("doc_id", "key", "w", F.posexplode("keys").alias("place", "h"))
+    if known["single"]:
+        each = each.withColumn("place", F.col("place") % F.size("w"))
+    if known["n"] <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
     found = each.join(lookup, "h").where((F.col("place") >= F.col("off")) & (F.slice("w", F.col("place") - F.col("off") + 1, F.size("gram")) == F.col("gram")))
     found = found.select("doc_id", "key", F.struct((F.col("place") - F.col("off")).alias("at"), F.size("gram").alias("size")).alias("span"), "items")
