@@ -17,9 +17,9 @@ import pandas as pd
 import xxhash
 
 #: Words of a generation, and the longest remembered word in bytes.
-GENERATION, REMEMBERED_BYTES = 300_000, 48
+GENERATION, REMEMBERED_BYTES = 200_000, 48
 #: Bytes of text that one round of array operations works on.
-ROUND = 4_000_000
+ROUND = 1_500_000
 _LONG = 255
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
