@@ -114,6 +114,23 @@ def test_pruned_tree(spark, make):
     assert (10 ** small.log10(k)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_no_context_is_dropped(spark, small, monkeypatch):
+    """Scores are those of the whole tree, whatever fits into the head, and
+    for held-out grams that no training text has."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60 and n_chars < 3000")
+    monkeypatch.setattr(L.train_tree, "__defaults__", (4, 100))  # a small bound on a broadcast tree changes nothing
+    want = {r["doc_id"]: r for r in L.lm_scores(docs, depth=4).collect()}
+    base = docs.selectExpr("cast(text as binary) as text", "coalesce(crc32(cast(doc_id as string)) % 7, 0) = 2 as held_out")
+    tree = L.train_tree(L.corpus_counts(base.where("not held_out").select("text"), 4).where("w is null").select("g", "n"), 4, most=1 << 40)
+    rows = docs.collect()
+    for r, s in zip(rows, tree.score([lower(r["text"]) for r in rows]), strict=True):
+        assert want[r["doc_id"]]["score"] == pytest.approx(s, rel=1e-5)
+    for name, value in (("HEAD_GRAMS", 5), ("PIECE", 50), ("SHARD", 2)):
+        monkeypatch.setattr(L, name, value)
+    for r in L.lm_scores(docs, depth=4).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-6)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     texts = [b"abcdefgh" * 50, b"", b"x"]
     want = sorted(np.concatenate([k for k, _ in L.byte_grams(texts, 3)]).tolist())
