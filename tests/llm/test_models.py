@@ -165,3 +165,26 @@ def test_quality_odd(odd, none, no_labels, spark):
     assert all(x["kept"] for x in perplexity.quality(odd, no_labels).collect())
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert perplexity.quality(odd, labels).count() == odd.count() and perplexity.quality(none, labels).count() == 0
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(v)) for g, n in (("a", 1000), ("b", 31), ("c", 29), (None, 40)) for v in rng.normal(3, 0.01 if g == "a" else 1, n).round(2 if g == "b" else 9)]
+    got = perplexity.quantiles(spark.createDataFrame(rows, "lang string, x double"), [0.5, 0.99], 30)
+    assert set(got) == {"a", "b", None}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([v for h, v in rows if g in (h, None)], [0.5, 0.99]), rel=1e-12)
+    assert perplexity.quantiles(spark.createDataFrame([], "lang string, x double"), [0.5], 30) == {}
+
+
+def test_quality_of_a_small_language(spark):
+    """A language of 1 % of many trusted texts has its words in the model and
+    a limit of its own, from all texts that did not train."""
+    rng = np.random.default_rng(2)
+    make = lambda g, n: [(g, " ".join(f"{g}{i}" for i in rng.integers(0, 50, 12))) for _ in range(n)]
+    rows = [(i, t, g) for i, (g, t) in enumerate(make("aa", 29_700) + make("bb", 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    j = perplexity.fitted(docs, docs.selectExpr("doc_id", "1 as quality"))
+    assert set(j.by) == {"aa", "bb"} and sum(w.startswith(b"bb") for w in j.model.ids) == 50
+    kept = perplexity.quality(docs, docs.selectExpr("doc_id", "1 as quality")).where("lang = 'bb'")
+    assert kept.where("kept").count() >= 297 and kept.select("threshold").distinct().count() == 1
