@@ -57,6 +57,26 @@ def test_comments_inside_the_article_go():
     assert text(f"<article><p>{PARA}</p><div class='comments'><p>{PARA} Anders.</p></div></article>") == PARA
 
 
+@pytest.mark.parametrize(
+    "cards",
+    [
+        f"<section class='comments'><article class='comment'><p>{PARA}</p></article></section>",
+        f"<div><article class='comment'><p>{PARA}</p></article><article id='reply-7'><p>{PARA}</p></article></div>",
+        f"<div><article class='teaser'><h3><a href='/x'>Noch ein Artikel</a></h3><p>{PARA}</p></article></div>",
+        "<div><article><h3><a href='/x'>Noch ein Artikel</a></h3></article><article><a href='/y'>Und ein anderer</a></article></div>",
+    ],
+)
+def test_body_outside_of_articles(cards):
+    """Articles that hold reader comments or teasers don't hide the body."""
+    for page in (f"<body><div class='post'><p>{PARA}</p><p>{PARA}</p></div>{cards}</body>", f"<body>{cards}<div class='post'><p>{PARA}</p><p>{PARA}</p></div></body>"):
+        assert text(page) == f"{PARA} {PARA}"
+
+
+def test_names_of_an_article():
+    """What an article's class says of tags and layout is not furniture."""
+    assert text(f"<body><article class='post-1 post category-x tag-news has-sidebar comments-open'><p>{PARA}</p></article></body>") == PARA
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<>", "</p>", "<script>", "<a", "<!--", "plain"])
 def test_broken(page):
     assert isinstance(text(page), str)

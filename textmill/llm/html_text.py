@@ -27,6 +27,8 @@ SILENT = frozenset("script style noscript template svg math head title textarea
 FURNITURE = frozenset("nav footer aside form menu button dialog header".split())
 MAIN = frozenset("article main".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|navbar|menu\w*|breadcrumb\w*|footer|header|masthead|sidebar\w*|side|widget\w*|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|social\w*|related|recommend\w*|comment\w*|repl(?:y|ies)|respond|disqus|copyright|legal|pagination|pager|toolbar|search\w*|tags?|skip\w*)(?=$|[\s_-])", re.I)
+#: The same for an article or main, whose class also lists tags and layout.
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|teasers?|related|recommend\w*|comment|comment-body|repl(?:y|ies)|respond|disqus)(?=$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -142,7 +144,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if name in ("p", "li", "option", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == name:
                 stack.pop()
                 silent, furniture, main = (stack[-1][1:]) if stack else (False, False, False)
-            named = any(NAMED.search(a or b or c) for a, b, c in _NAME.findall(m[3])) if m[3] and name not in ("body", "html", "article", "main") else False
+            names = ASIDE if name in MAIN else NAMED
+            named = any(names.search(a or b or c) for a, b, c in _NAME.findall(m[3])) if m[3] and name not in ("body", "html") else False
             inner = name == "header" and main  # an article's own header holds its title
             silent = silent or name in SILENT or bool(m[3] and _HIDDEN.search(m[3]))
             furniture = furniture or named or (name in FURNITURE and not inner)
@@ -158,14 +161,12 @@ def main_text(page: str | None, tree: tuple) -> str:
     found = blocks(page) if page else []
     none = ("", 0, 0, False, False, False)
     kept = []
-    if any(b[4] for b in found):  # a page that marks its main part has its text there
-        inside = [b for b in found if b[4]]
-    else:
-        inside = found
-    for i, b in enumerate(inside):
-        before, after = inside[i - 1] if i else none, inside[i + 1] if i + 1 < len(inside) else none
+    # articles mark the main part where most words are theirs, not where they are cards beside it; no block is passed over
+    inside, outside = (sum(b[1] - b[2] for b in found if not b[3] and b[4] == m) for m in (True, False))
+    for i, b in enumerate(found):
+        before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
         density = [x[2] / x[1] if x[1] else 0.0 for x in (b, before, after)]
-        if decide(tree, (b[1], density[0], before[1], after[1], density[1], density[2], b[3], b[4], b[5])):
+        if decide(tree, (b[1], density[0], before[1], after[1], density[1], density[2], b[3], b[4] and inside >= outside, b[5])):
             kept.append(b[0])
     return " ".join(kept)
 
