@@ -69,3 +69,12 @@ def test_deduplicate(make):
     docs = make(["a b c d e f", "a b c d e f", "A b c  d e f", "other words in this text here", None, ""], ids=[5, 2, 9, 1, 7, 7])
     kept = N.deduplicate(docs).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 7] and kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_deduplicate_repeated_and_null_ids(make):
+    """One row of each component stays, also where an id has several texts."""
+    one, two, three, four = "a b c d e f", "other words in this text here", "and a third text that differs much", "the fourth of all these little texts"
+    docs = make([one, one, two, three, three, three, four, four], ids=[1, 5, 5, None, None, 7, None, None])
+    assert sorted(((r["doc_id"], r["text"]) for r in N.deduplicate(docs).collect()), key=str) == sorted([(1, one), (5, two), (7, three), (None, four)], key=str)
+    docs = make([one, two, one + " g h i j k", two], ids=[3, 3, 3, 3])
+    assert sorted(r["text"] for r in N.deduplicate(docs).collect()) == sorted([one, two, one + " g h i j k"])

@@ -54,16 +54,17 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row, the fingerprint as a signed long."""
+    """(doc_id, key, fp): one row per row, the hash of the text and the
+    fingerprint as a signed long."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -153,6 +154,24 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """doc_id, key, fp, best per row: ``best`` (nobody, doc_id, key) is the
+    least id of the row's component, with the least key of it; null ids
+    (nobody) come last."""
+    each = stash(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = components(links(nodes.select("fp"), radius))
+    named = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    linked = named.join(least, "root").select("fp", "least")
+    of = stash(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("best")), "names")
+    # at most HOT fingerprints have more than 1/HOT of the rows: they are joined by broadcast, so that no task gets the rows of one of them
+    often = each.count() // HOT
+    hot = F.broadcast(of.where(F.col("n") > often).select("fp", "best"))
+    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") <= often).select("fp", "best"), "fp")
+    return each.join(hot, "fp").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row.
 
@@ -161,32 +180,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's id; a component of null ids alone has a null id. An
     empty table gives an empty result. Other columns are not looked at.
     """
-    each = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(nodes.select("fp"), radius))
-    named = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    linked = named.join(least, "root").select("fp", "least")
-    of = stash(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "names")
-    # at most HOT fingerprints have more than 1/HOT of the rows: they are joined by broadcast, so that no task gets the rows of one of them
-    often = each.count() // HOT
-    hot = F.broadcast(of.where(F.col("n") > often).select("fp", "component_id"))
-    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") <= often).select("fp", "component_id"), "fp")
-    joined = each.join(hot, "fp").unionByName(rest)
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _found(docs, id_col, text_col, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's id, once; all their columns.
+    """One row of each component, that of the least id, with all its columns.
 
-    Only the ids to drop are joined. Rows that repeat a kept id are reduced
-    to one (the rows of that id alone are shuffled for it).
+    Rows of one id with different texts are kept apart by the texts' hashes;
+    null ids are members like others, kept where a component has no other.
+    Only what to drop is joined. Rows that repeat a kept id and text are
+    reduced to one (those rows alone are shuffled for it).
     """
-    found = stash(near_duplicates(docs, id_col, text_col), "components")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    found = stash(_found(docs, id_col, text_col, RADIUS).select("doc_id", "key", "best"), "components")
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    here = lambda t: docs[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(docs[text_col]) == t["_key"])
+    names = F.col("doc_id").alias("_id"), F.col("key").alias("_key")
+    kept = docs.join(drop := found.where(~same).select(*names).distinct(), here(drop), "left_anti")
+    repeated = found.where(same).groupBy(*names).count().where("count > 1").drop("count")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept[id_col] == repeated["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == repeated["_id"], "left_anti").unionByName(once)
+    once = kept.join(repeated, here(repeated), "left_semi").withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
+    return kept.join(repeated, here(repeated), "left_anti").unionByName(once)
