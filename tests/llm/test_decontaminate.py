@@ -55,6 +55,19 @@ def test_shuffled_lookup(tables, monkeypatch):
     assert sorted((tuple(r) for r in D.contamination(*tables).collect()), key=str) == brute(DOCS, BENCH)
 
 
+def test_shuffled_words_carry_no_text(tables, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+    _, found = D.hits(*tables)
+    joins, todo = [], [found._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Join":
+            joins.append([x.split("#")[0] for x in node.left().output().mkString(",").split(",")])
+    assert all("w" not in j for j in joins) and any("h" in j for j in joins)
+
+
 def test_empty(tables, odd, none):
     d, b = tables
     assert D.contamination(d.limit(0), b).count() == 0

@@ -77,8 +77,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if known["single"]:
         each = each.withColumn("place", F.col("place") % F.size("w"))
     if known["n"] <= BROADCAST_WINDOWS:
-        lookup = F.broadcast(lookup)
-    found = each.join(lookup, "h").where((F.col("place") >= F.col("off")) & (F.slice("w", F.col("place") - F.col("off") + 1, F.size("gram")) == F.col("gram")))
+        met = each.join(F.broadcast(lookup), "h")
+    else:  # the shuffled words have no text beside them; texts with candidates are met again, each once
+        met = each.select("doc_id", "key", "place", "h").join(lookup, "h").groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "off", "gram", "items")).alias("c"))
+        met = met.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "c")
+        texts = base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text"))
+        texts = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+        met = _once(texts, "w", words(F.col("text")), "doc_id", "key", "c").select("doc_id", "key", "w", F.inline("c"))
+    found = met.where((F.col("place") >= F.col("off")) & (F.slice("w", F.col("place") - F.col("off") + 1, F.size("gram")) == F.col("gram")))
     found = found.select("doc_id", "key", F.struct((F.col("place") - F.col("off")).alias("at"), F.size("gram").alias("size")).alias("span"), "items")
     found = found.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return rows, found
