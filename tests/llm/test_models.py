@@ -84,6 +84,17 @@ def test_counterfactual(spark):
     assert free.score(b"we met women there") > m.score(b"we met women there")
 
 
+def test_swaps_by_sentence(spark, monkeypatch):
+    """Every sentence counts, and what else stands in it; singular forms too."""
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, pairs, keys: got.extend((set(keys[a].tolist()), set(keys[b].tolist()), k) for a, b, k in pairs))
+    texts = ["A woman sings. A woman and a man sing.", "That woman", "no term"]
+    toxicity.train(spark.createDataFrame([(i, bytearray(t.encode()), i % 2) for i, t in enumerate(texts)], "doc_id long, text binary, toxic int"))
+    f = lambda w: set(toxicity.features(w))
+    assert (f(b"woman"), f(b"man"), 2) in got and (f(b"woman"), set(), 1) in got and (f(b"man"), f(b"girl"), 1) in got
+    assert sum(k for _, _, k in got) == 4 * 3
+
+
 def test_toxicity_odd(odd, none, no_labels, spark):
     r = toxicity.toxicity(odd, no_labels).collect()
     assert len(r) == odd.count() and all(0 <= x["score"] < 0.7 for x in r)

@@ -29,17 +29,21 @@ THRESHOLD, PENALTY, STEPS, DECAY = 0.7, 1.0, 1500, 1e-3
 REMEMBER = 300_000
 #: Groups of identity terms that may stand for one another.
 IDENTITY = (
-    ("women", "men", "girls", "boys"),
+    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("black", "white", "asian", "latino", "indigenous"),
-    ("immigrants", "refugees", "natives", "foreigners"),
-    ("frauen", "männer"), ("muslime", "christen", "juden"),
-    ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
-    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
+    ("muslim", "christian", "jew", "hindu", "buddhist", "atheist"), ("muslim", "christian", "jewish", "hindu", "buddhist"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender"), ("gays", "lesbians", "bisexuals"),
+    ("black", "white", "asian", "latino", "indigenous"), ("blacks", "whites", "asians", "latinos"),
+    ("african", "american", "arab", "chinese", "european", "indian", "mexican"), ("africans", "americans", "arabs", "europeans", "indians", "mexicans"),
+    ("immigrants", "refugees", "natives", "foreigners"), ("immigrant", "refugee", "native", "foreigner"),
+    ("disabled", "blind", "deaf", "autistic"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden"), ("muslim", "christ", "jude"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs"), ("musulman", "chrétien", "juif"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos"), ("musulmán", "cristiano", "judío"),
 )
-_SWAPS = {w.encode(): tuple(x.encode() for x in group if x != w) for group in IDENTITY for w in group}
+_SWAPS = {w.encode(): tuple(sorted({x.encode() for group in IDENTITY if w in group for x in group if x != w})) for w in {w for group in IDENTITY for w in group}}
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
+_SENTENCE = re.compile(rb"[.!?\n]+")
 
 
 def words(raw: bytes | None) -> set[bytes]:
@@ -56,6 +60,18 @@ def features(word: bytes) -> tuple[int, ...]:
     return tuple(out)
 
 
+def swaps(raw: bytes | None) -> list[tuple[frozenset[int], frozenset[int]]]:
+    """For each sentence with an identity term and each other term of its kind:
+    the features that the swap takes from the sentence, and those it adds."""
+    out = []
+    for sentence in _SENTENCE.split(raw or b""):
+        ws = words(sentence)
+        for w in ws & _SWAPS.keys():
+            own, rest = set(features(w)), {f for x in ws if x != w for f in features(x)}
+            out += [(frozenset(own - rest - set(new)), frozenset(set(new) - rest - own)) for new in map(features, _SWAPS[w])]
+    return out
+
+
 def text_features(ws: set[bytes]) -> np.ndarray:
     return np.unique(np.array([f for w in ws for f in features(w)], np.int32)) if ws else np.empty(0, np.int32)
 
@@ -83,9 +99,9 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray) -> Model:
-    """rows: label and places among keys. pairs: places of a sentence and of
-    its swapped copy. Accelerated projected gradient descent; no weight is
+def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray, int]], keys: np.ndarray) -> Model:
+    """rows: label and places among keys. pairs: places that only a sentence
+    and only its swapped copy has, and how many sentences. Accelerated projected gradient descent; no weight is
     below zero: what is chosen marks toxic texts, and a long clean text has
     more of everything."""
     n, m = len(rows), len(keys)
@@ -96,17 +112,17 @@ def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.nda
         row = np.repeat(np.arange(n), size)
         col = np.concatenate([r[1] for r in rows]).astype(np.int64)
         share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-        each = 2 * PENALTY / max(1, len(pairs))
-        sharpness = 0.25 * float(share @ (size + 1)) + DECAY / n + each * sum(len(a) + len(b) for a, b in pairs)
+        each = 2 * PENALTY / max(1, sum(k for _, _, k in pairs))
+        sharpness = 0.25 * float(share @ (size + 1)) + DECAY / n + each * sum(k * (len(a) + len(b)) for a, b, k in pairs)
         at, at_bias, t = weights, bias, 1.0
         for _ in range(STEPS):
             z = at_bias + np.bincount(row, weights=at[col], minlength=n)
             g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
             grad = np.bincount(col, weights=g[row], minlength=m) + DECAY * at / n
-            for a, b in pairs:
-                d = at[a].sum() - at[b].sum()
-                grad[a] += each * d
-                grad[b] -= each * d
+            for a, b, k in pairs:
+                d = each * k * (at[a].sum() - at[b].sum())
+                grad[a] += d
+                grad[b] -= d
             new, new_bias = np.maximum(0.0, at - grad / sharpness), at_bias - g.sum() / sharpness
             t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
             at, at_bias = new + (before - 1) / t * (new - weights), new_bias + (before - 1) / t * (new_bias - bias)
@@ -133,30 +149,28 @@ def train(rows: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, feats, swaps = b.column(1).to_pylist(), [], []
+            label, feats, swapped = b.column(1).to_pylist(), [], []
             for t in b.column(0).to_pylist():
-                ws = words(t)
-                feats.append(text_features(ws))
-                swaps.append(sorted({(w, o) for w in ws if w in _SWAPS for o in _SWAPS[w]}))
+                feats.append(text_features(words(t)))
+                swapped.append([{"a": sorted(x), "b": sorted(y)} for x, y in swaps(t)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label, pa.int32()), pa.array(feats, pa.list_(pa.int32())), pa.array([[f"{w.decode()}|{o.decode()}" for w, o in s] for s in swaps], pa.list_(pa.string()))],
+                [pa.array(label, pa.int32()), pa.array(feats, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))],
                 names=["toxic", "f", "swaps"],
             )
 
-    sample = stash(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, f array<int>, swaps array<string>"), "labelled")
+    sample = stash(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, f array<int>, swaps array<struct<a:array<int>,b:array<int>>>"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     by = sample.select("toxic", F.explode("f").alias("k")).groupBy("k").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a >= 3 and a * 5 > b")
     best = by.orderBy(F.desc(F.col("a") / (F.col("b") + 1)), F.desc("a"), "k").limit(4 * FEATURES)
     keys = choose([(r["k"], r["a"], r["b"]) for r in best.collect()], sizes.get(1, 0), sizes.get(0, 0))
-    terms = {w: features(w) for w in _SWAPS}
-    keys = np.unique(np.concatenate([keys, np.array([f for fs in terms.values() for f in fs], np.int64)]))
+    keys = np.unique(np.concatenate([keys, np.array([f for w in _SWAPS for f in features(w)], np.int64)]))
     place = {int(k): i for i, k in enumerate(keys)}
     chosen = F.array(*[F.lit(int(k)) for k in keys])
-    got = sample.select("toxic", F.array_sort(F.array_intersect("f", chosen)).alias("f"), "swaps").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["toxic"], r["f"], r["swaps"]))
-    put = lambda fs: np.array(sorted({place[f] for f in fs}), np.int64)
-    pairs = {s for r in got for s in r["swaps"]}
-    swapped = [tuple(put(terms[w.encode()]) for w in s.split("|")) for s in sorted(pairs)]
+    got = sample.select("toxic", F.array_sort(F.array_intersect("f", chosen)).alias("f")).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["toxic"], r["f"]))
+    put = lambda fs: np.array(sorted(place[f] for f in fs), np.int64)
+    pairs = sample.select(F.inline("swaps")).groupBy("a", "b").count().collect()  # at most as many as different swaps of the terms
+    swapped = [(put(r["a"]), put(r["b"]), r["count"]) for r in sorted(pairs)]
     return fit([(r["toxic"], np.array([place[f] for f in r["f"]], np.int64)) for r in got], swapped, keys)
 
 
