@@ -199,3 +199,9 @@ def test_quality_of_a_small_language(spark):
     assert set(j.by) == {"aa", "bb"} and sum(w.startswith(b"bb") for w in j.model.ids) == 50
     kept = perplexity.quality(docs, docs.selectExpr("doc_id", "1 as quality")).where("lang = 'bb'")
     assert kept.where("kept").count() >= 297 and kept.select("threshold").distinct().count() == 1
+
+
+def test_discounts_leave_weight():
+    """More fours than threes would give a discount below zero."""
+    d = perplexity._discounts(np.array([1] * 10 + [2] * 5 + [3] + [4] * 9))
+    assert d[0] == 0 and (d[1:] > 0).all()
