@@ -1,4 +1,6 @@
+import itertools
 import re
+import time
 
 import pytest
 
@@ -77,6 +79,70 @@ def test_names_of_an_article():
     assert text(f"<body><article class='post-1 post category-x tag-news has-sidebar comments-open'><p>{PARA}</p></article></body>") == PARA
 
 
+@pytest.mark.parametrize("name", "tags side notice legal alert share search related banner".split())
+def test_vague_names_are_outvoted(name):
+    """Whole sentences stay, whatever a class may mean; scraps and links go."""
+    assert text(f"<article><h1>Titel</h1><p>{PARA}</p><div class='{name}'><p>{PARA} Mitte.</p></div><p>{PARA}</p></article>") == f"Titel {PARA} {PARA} Mitte. {PARA}"
+    assert text(f"<article><p>{PARA}</p><div class='{name}'>Politik <a href=x>Sport</a></div><p>{PARA}</p></article>") == f"{PARA} {PARA}"
+    assert text(f"<body><div><p>{PARA}</p><p>{PARA}</p></div><div class='{name}'>{PARA}</div></body>") == f"{PARA} {PARA}"
+    assert text(f"<body><div><p>{PARA}</p></div><div class='{name}'>{PARA * 6}</div></body>") == f"{PARA} {PARA * 6}"
+
+
+def test_what_surrounds_the_page():
+    """An element around title and text is no furniture; what it holds may be."""
+    page = f"<body><form id=f class='sidebar-layout'><nav><a href=x>Start</a></nav><h1>Titel</h1><p>{PARA}</p><div class=ad>{PARA}</div><p>{PARA}</p></form></body>"
+    assert text(page) == f"Titel {PARA} {PARA}"
+    assert text(f"<body><article><h2><a href=x>Kasten</a></h2></article><div id=content><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div></body>") == f"T {PARA} {PARA}"
+    assert text(f"<body><h1>T</h1><p>{PARA}</p><div class=comments>{'<p>' + PARA + '</p>'}{'<p>' + PARA + '</p>'}</div></body>") == f"T {PARA}"
+
+
+#: Ranges of words, link density, words and link densities beside, and what the tree must say there.
+WORDS, BESIDE, DENSITY = (1, 2, 5, 8, 12, 20, 45, 90, 300), (0, 2, 6, 16, 40, 100), (0.0, 0.2, 0.9, 1.0)
+
+
+@pytest.mark.parametrize(
+    ("case", "want"),
+    [
+        (lambda w, d, b, a, db, da, e, h, m: e == 1 or h == 2, False),
+        (lambda w, d, b, a, db, da, e, h, m: not e and h == 0 and m and d <= 0.2, True),
+        (lambda w, d, b, a, db, da, e, h, m: not e and h == 0 and not m and d <= 0.2 and w >= 8, True),
+        (lambda w, d, b, a, db, da, e, h, m: not e and h == 0 and m and db == da == 0 and b >= 6 and a >= 6, True),
+        (lambda w, d, b, a, db, da, e, h, m: not e and h == 1 and m and d <= 0.2 and w >= 12, True),
+        (lambda w, d, b, a, db, da, e, h, m: not e and h == 1 and not m and d <= 0.2 and w >= 90, True),
+        (lambda w, d, b, a, db, da, e, h, m: h == 1 and (w <= 5 or d >= 0.9 or (not m and w <= 20)), False),
+        (lambda w, d, b, a, db, da, e, h, m: not m and d >= 0.9 and db >= 0.9 and da >= 0.9, False),
+    ],
+)
+def test_what_the_tree_has_learnt(case, want):
+    rows = itertools.product(WORDS, DENSITY, BESIDE, BESIDE, (0.0, 0.5, 1.0), (0.0, 0.5, 1.0), (0, 1), (0, 1, 2), (0, 1))
+    assert all(H.decide(TREE, (*r, heading)) == want for r in rows if case(*r) for heading in (0, 1))
+
+
+def test_words_and_links_decide():
+    """Each kind of feature turns some verdict: words, own and neighbours' links and words."""
+    used, todo = set(), [TREE]
+    while todo:
+        t = todo.pop()
+        if len(t) > 1:
+            used.add(t[0])
+            todo += t[2:]
+    assert {0, 1} <= used and used & {2, 3} and used & {4, 5}
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<div>", "</p>", "<!", "<a =\"", "<script ", "<div class=\"ad\">", "</script ", "&", "<a<a", "<", "<div class='", "<title>", "<svg><title/>", "<li><p>"])
+def test_time_is_linear(part):
+    start = time.perf_counter()
+    text(part * (1_000_000 // len(part)) + "</p>" * 1000)
+    assert time.perf_counter() - start < 20
+
+
+def test_marks():
+    assert text(f"<article><div/>{PARA}</div><p title='a > b'>eins</p></article>") == f"{PARA} eins"
+    assert text(f"<article><svg><title/><path/></svg><p>{PARA}</p></article>") == PARA
+    assert text(f"<article><p>{PARA}</p><p class=\"x>zwei</p></article>") == f"{PARA} zwei"
+    assert text(f"<article><p>{PARA}</p><![CDATA[ weg ]]><?php weg ?><!-->da</article><a href='x") == f"{PARA} da"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<>", "</p>", "<script>", "<a", "<!--", "plain"])
 def test_broken(page):
     assert isinstance(text(page), str)
@@ -95,4 +161,6 @@ def test_query(spark, small):
         assert r["n_chars"] == len(r["text"]) and r["text"] == " ".join(x for x in want if x)
     odd = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "")], "page_id long, url string, html string")
     assert [(r["text"], r["n_chars"]) for r in H.extract(odd).collect()] == [("", 0)] * 3 and H.extract(odd.limit(0)).count() == 0
+    bad = spark.sql("SELECT 1L AS page_id, 'u' AS url, cast(concat(X'3C61727469636C653E61FF62') AS string) AS html")
+    assert H.extract(bad).first()["text"] == "a\ufffdb"
     assert text(f"<article><p>{'wort ' * 200_000}</p></article>") == ("wort " * 200_000).strip()

@@ -3,6 +3,8 @@
 Texts travel to Python as UTF-8 ``binary`` columns: the word rules of this
 subpackage are byte rules (ASCII white space, A-Z lower-casing), so no decode
 is needed, and ``bytes.split()`` splits exactly on ``[\\x20\\x09-\\x0D]+``.
+Where characters count, ``decoded`` reads them: malformed UTF-8, which a string
+column may hold, becomes U+FFFD there and stops no operator.
 """
 
 from __future__ import annotations
@@ -10,36 +12,50 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.workers import reach
 
-#: Rows of an Arrow batch. Texts may be long, so batches are kept short.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch. Texts may be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 _own_folder: str | None = None
+_scope = threading.local()
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a worker holds few texts at once."""
     reach(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(key, str(BATCH_ROWS))
+    prefix = "spark.sql.execution.arrow."
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(prefix + key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(prefix + key, str(most))
+
+
+def decoded(raw: bytes) -> str:
+    """The characters of UTF-8 bytes, malformed ones as U+FFFD."""
+    return raw.decode("utf-8", "replace")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) an own folder is made.
+    Where that is unset, an own folder is made on one machine; on a cluster
+    that raises, since executors don't see each other's folders.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="textmill-")
         atexit.register(shutil.rmtree, _own_folder, True)
@@ -53,7 +69,11 @@ def _stash_folder(spark: SparkSession) -> str:
 def clear_stash(spark: SparkSession) -> None:
     """Deletes the application's stashed tables. Results that still read them
     must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stash_folder(spark))
+    _delete(spark, _stash_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -66,31 +86,59 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_stash_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := getattr(_scope, "paths", None)) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stashed within it, but for the
+    last one: for work whose last step stashes what it has made."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+        for p in _scope.paths[:-1]:
+            _delete(spark, p)
+    finally:
+        if outer is not None:
+            outer += _scope.paths[-1:]
+        _scope.paths = outer
+
+
 def split_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))
 
 
-def sample_ids(rows: DataFrame, id_col: str, group_cols: list[str], per_group: int, max_groups: int = 512) -> DataFrame:
+def unit_of(doc_id: Column) -> Column:
+    """A number in [0, 1) that depends on the id alone."""
+    return F.pmod(F.xxhash64(F.lit("sample"), doc_id), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
+def by_value(rates: dict, key: Column, other: float = 0.0) -> Column:
+    """The rate of the key's value; ``other`` for values that aren't there."""
+    if not rates:
+        return F.lit(other)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for r in rates.items() for v in r]), key), F.lit(other))
+
+
+def sample_ids(rows: DataFrame, id_col: str, group_col: str | None, per_group: float) -> DataFrame:
     """About ``per_group`` rows of each group, chosen by the hash of their id.
 
-    The expected size is bounded by ``per_group * max_groups``; membership
-    depends on ids alone, so it is the same on every run and split.
+    Membership depends on ids alone, so it is the same on every run and split.
+    The groups (languages, labels), but no rows, are counted on the driver.
     """
-    sizes = rows.groupBy(*group_cols).count().orderBy(F.desc("count"), *group_cols).limit(max_groups).collect()
-    if not sizes:
-        return rows.limit(0)
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    keep = F.lit(False)
-    for r in sizes:
-        same = F.lit(True)
-        for c in group_cols:
-            same = same & F.col(c).eqNullSafe(F.lit(r[c]))
-        keep = keep | (same & (unit < min(1.0, per_group / max(1, r["count"]))))
-    return rows.where(keep)
+    if group_col is None:
+        return rows.where(unit_of(F.col(id_col)) < per_group / max(1, rows.count()))
+    sizes = rows.where(F.col(group_col).isNotNull()).groupBy(group_col).count().collect()
+    return rows.where(unit_of(F.col(id_col)) < by_value({r[0]: per_group / r[1] for r in sizes}, F.col(group_col)))
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """The least text of each key: an id that is repeated teaches once, so a
+    sample of ids bounds the texts."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
 def keep_rows(docs: DataFrame, keep, *needed: str) -> DataFrame:

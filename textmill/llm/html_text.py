@@ -2,62 +2,96 @@
 
 A page is cut at block tags into text blocks. A decision tree, trained on a
 small labelled table of blocks, classifies each from its word count and link
-density, those of its neighbours, and what kinds of element enclose it.
+density, those of its neighbours, and hints of the elements around it, which
+words and links can outvote.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare
+from textmill.llm.common import decoded, prepare
 
 #: HTML's block elements, void elements, elements without page
-#: text, elements of page furniture, and words that name furniture in a class,
-#: id or role.
+#: text, elements whose content isn't markup, elements of page furniture, and
+#: elements that end another of their name.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title textarea object canvas audio video iframe select".split())
+RAW = frozenset("script style textarea title".split())
 FURNITURE = frozenset("nav footer aside form menu button dialog header".split())
 MAIN = frozenset("article main".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|navbar|menu\w*|breadcrumb\w*|footer|header|masthead|sidebar\w*|side|widget\w*|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|social\w*|related|recommend\w*|comment\w*|repl(?:y|ies)|respond|disqus|copyright|legal|pagination|pager|toolbar|search\w*|tags?|skip\w*)(?=$|[\s_-])", re.I)
-#: The same for an article or main, whose class also lists tags and layout.
+SELF_ENDING = frozenset("p li option td th tr dd dt".split())
+#: Words of a class, id or role that furniture has (hint 2), and words that
+#: content has too (hint 1). A hint is a feature of the tree like others.
+NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|navbar|menu\w*|breadcrumb\w*|footer|masthead|sidebar\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|signup|login|social\w*|recommend\w*|comment\w*|repl(?:y|ies)|respond|disqus|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
+VAGUE = re.compile(r"(?:^|[\s_-])(?:banner\w*|header|side|widget\w*|notice\w*|alert|share\w*|related|copyright|legal|search\w*|tags?|teasers?)(?=$|[\s_-])", re.I)
+#: The words that count for an article or main, whose class also lists tags and layout.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|teasers?|related|recommend\w*|comment|comment-body|repl(?:y|ies)|respond|disqus)(?=$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: An element that holds a heading or main part and half of the page's unlinked
+#: words, or ``BODY_WORDS`` and nearly all of them, surrounds the page and is
+#: no furniture, whatever it is or is called.
+BODY_WORDS = 100
+_NAME_OF = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 
 #: The labelled table: words, link density, words before, words after, link
-#: density before, link density after, in furniture, in main, heading; content.
+#: density before, link density after, in a furniture element, hint, in main,
+#: heading; content.
 TABLE = (
-    (1, 1.0, 0, 1, 0, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1, 1.0, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 8, 1.0, 0, 1, 0, 0, 0),
-    (8, 0.0, 1, 12, 1.0, 0, 1, 0, 0, 0), (24, 0.0, 2, 12, 1.0, 0, 1, 0, 0, 0), (60, 0.0, 40, 0, 0, 0, 1, 0, 0, 0),
-    (9, 0.0, 30, 0, 0, 0, 1, 0, 0, 0), (35, 0.2, 80, 0, 0, 0, 1, 1, 0, 0), (12, 0.0, 5, 7, 0, 0, 1, 1, 0, 0),
-    (3, 0.0, 40, 6, 0, 0, 1, 1, 0, 0), (80, 0.0, 90, 70, 0, 0, 1, 0, 0, 0), (6, 0.0, 0, 10, 0, 0, 1, 0, 1, 0),
-    (4, 0.0, 10, 20, 0, 0, 1, 1, 1, 0), (15, 0.5, 60, 3, 0, 1.0, 1, 1, 0, 0),
-    (10, 0.0, 9, 60, 0, 0, 0, 1, 1, 1), (3, 0.0, 0, 50, 0, 0, 0, 1, 1, 1), (5, 0.0, 40, 60, 0, 0, 0, 1, 1, 1),
-    (60, 0.0, 10, 80, 0, 0, 0, 1, 0, 1), (2, 0.0, 60, 70, 0, 0, 0, 1, 0, 1), (1, 0.0, 0, 0, 0, 0, 0, 1, 0, 1),
-    (120, 0.05, 60, 9, 0, 0, 0, 1, 0, 1), (30, 0.3, 60, 60, 0, 0, 0, 1, 0, 1), (8, 0.6, 60, 60, 0, 0, 0, 1, 0, 1),
-    (200, 0.0, 2, 30, 0, 0, 0, 1, 0, 1), (4, 0.0, 3, 5, 0, 0, 0, 1, 0, 1), (1, 1.0, 50, 40, 0, 0, 0, 1, 0, 1),
-    (60, 0.0, 10, 80, 0, 0, 0, 0, 0, 1), (25, 0.1, 60, 70, 0, 0, 0, 0, 0, 1), (120, 0.05, 0, 0, 0, 0, 0, 0, 0, 1),
-    (18, 0.0, 40, 40, 0, 0, 0, 0, 0, 1), (9, 0.0, 50, 60, 0, 0, 0, 0, 0, 1), (8, 0.0, 1, 70, 1.0, 0, 0, 0, 1, 1),
-    (5, 0.0, 60, 80, 0, 0, 0, 0, 1, 1), (40, 0.0, 12, 15, 0, 0, 0, 0, 0, 1), (14, 0.0, 30, 3, 0, 0, 0, 0, 0, 1),
-    (16, 0.0, 16, 1, 0, 1.0, 0, 0, 0, 1), (16, 0.0, 16, 4, 0, 1.0, 0, 0, 0, 1), (30, 0.1, 2, 2, 1.0, 1.0, 0, 0, 0, 1), (7, 0.0, 30, 2, 0, 1.0, 0, 0, 0, 1),
-    (4, 1.0, 16, 0, 0, 0, 0, 0, 0, 0), (2, 1.0, 80, 1, 0, 1.0, 0, 0, 0, 0), (9, 0.8, 60, 60, 0, 0, 0, 0, 0, 0), (25, 0.9, 0, 0, 0, 0, 0, 0, 0, 0),
-    (1, 1.0, 0, 1, 0, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0), (4, 0.9, 3, 60, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.8, 8, 9, 0.9, 0.9, 0, 0, 0, 0), (30, 0.7, 5, 5, 0.8, 0.8, 0, 0, 0, 0), (2, 0.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 3, 4, 0, 1.0, 0, 0, 0, 0), (6, 0.5, 60, 3, 0, 1.0, 0, 0, 0, 0), (15, 0.6, 4, 70, 0.9, 0, 0, 0, 0, 0),
+    # menus, footers, sidebars, forms, headers by their element
+    (1, 1.0, 0, 1, 0, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1, 1.0, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 8, 1.0, 0, 1, 0, 0, 0, 0), (8, 0.0, 1, 12, 1.0, 0, 1, 0, 0, 0, 0),
+    (24, 0.0, 2, 12, 1.0, 0, 1, 0, 0, 0, 0), (60, 0.0, 40, 0, 0, 0, 1, 0, 0, 0, 0), (9, 0.0, 30, 0, 0, 0, 1, 0, 0, 0, 0), (35, 0.2, 80, 0, 0, 0, 1, 0, 1, 0, 0),
+    (12, 0.0, 5, 7, 0, 0, 1, 0, 1, 0, 0), (120, 0.0, 90, 70, 0, 0, 1, 0, 0, 0, 0), (6, 0.0, 0, 10, 0, 0, 1, 0, 0, 1, 0), (4, 0.0, 10, 20, 0, 0, 1, 0, 1, 1, 0),
+    (200, 0.0, 90, 70, 0, 0, 1, 2, 0, 0, 0), (80, 0.0, 60, 60, 0, 0, 1, 0, 1, 0, 0), (3, 0.0, 200, 60, 0, 0, 1, 1, 1, 0, 0),
+    # adverts, notices and comments by their names
+    (8, 0.0, 1, 12, 1.0, 0, 0, 2, 0, 0, 0), (16, 0.0, 1, 4, 1.0, 0, 0, 2, 0, 0, 0), (60, 0.0, 40, 70, 0, 0, 0, 2, 0, 0, 0), (30, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0),
+    (12, 0.0, 80, 60, 0, 0, 0, 2, 1, 0, 0), (150, 0.0, 60, 80, 0, 0, 0, 2, 1, 0, 0), (4, 0.0, 60, 60, 0, 0, 0, 2, 1, 1, 0), (120, 0.0, 10, 10, 0, 0, 0, 2, 0, 0, 0),
+    (6, 0.0, 60, 60, 0, 0, 0, 1, 0, 0, 0), (20, 0.0, 3, 60, 1.0, 0, 0, 1, 0, 0, 0), (16, 0.0, 60, 3, 0, 1.0, 0, 1, 0, 0, 0), (25, 0.0, 60, 4, 0, 0, 0, 1, 0, 0, 0),
+    (5, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 0), (6, 0.5, 60, 60, 0, 0, 0, 1, 1, 0, 0), (3, 1.0, 60, 3, 0, 1.0, 0, 1, 1, 0, 0), (14, 0.8, 60, 9, 0, 0.9, 0, 1, 1, 0, 0), (2, 0.0, 60, 5, 0, 1.0, 0, 1, 1, 1, 0),
+    (8, 0.0, 2, 3, 1.0, 1.0, 0, 2, 0, 0, 0), (40, 0.0, 90, 2, 0, 1.0, 0, 2, 1, 0, 0), (3, 0.5, 90, 90, 0, 0, 0, 2, 1, 0, 0), (10, 0.0, 90, 90, 0, 0, 0, 2, 1, 0, 0), (90, 0.0, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 0), (2, 1.0, 90, 90, 0, 0, 0, 2, 1, 1, 0), (9, 0.9, 60, 60, 0, 0, 0, 2, 1, 0, 0),
+    (4, 0.0, 3, 3, 1.0, 1.0, 0, 1, 1, 0, 0), (3, 0.0, 90, 4, 0, 1.0, 0, 1, 0, 0, 0), (20, 0.0, 90, 4, 0, 1.0, 0, 1, 0, 0, 0), (7, 1.0, 90, 90, 0, 0, 0, 1, 1, 0, 0), (3, 0.9, 90, 3, 0, 0, 0, 1, 1, 0, 0), (5, 0.9, 50, 50, 0, 0, 0, 1, 0, 0, 0), (8, 0.0, 4, 3, 1.0, 1.0, 0, 1, 0, 0, 0),
+    # names that content has too: outvoted by whole sentences
+    (16, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 1), (11, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 1), (40, 0.05, 10, 70, 0, 0, 0, 1, 1, 0, 1), (120, 0.0, 60, 0, 0, 0, 0, 1, 1, 0, 1), (14, 0.0, 8, 16, 0, 0, 0, 1, 1, 0, 1), (22, 0.1, 0, 0, 0, 0, 0, 1, 1, 0, 1),
+    (90, 0.0, 60, 60, 0, 0, 0, 1, 0, 0, 1), (60, 0.0, 80, 70, 0, 0, 0, 1, 0, 0, 1), (150, 0.05, 3, 40, 1.0, 0, 0, 1, 0, 0, 1),
+    (14, 0.0, 90, 4, 0, 1.0, 0, 1, 1, 0, 1), (40, 0.0, 3, 3, 1.0, 1.0, 0, 1, 1, 0, 1), (90, 0.0, 90, 3, 0, 1.0, 0, 1, 0, 0, 1), (70, 0.1, 3, 3, 1.0, 1.0, 0, 1, 0, 0, 1),
+    # blocks of the main part
+    (10, 0.0, 9, 60, 0, 0, 0, 0, 1, 1, 1), (3, 0.0, 0, 50, 0, 0, 0, 0, 1, 1, 1), (5, 0.0, 40, 60, 0, 0, 0, 0, 1, 1, 1), (60, 0.0, 10, 80, 0, 0, 0, 0, 1, 0, 1),
+    (2, 0.0, 60, 70, 0, 0, 0, 0, 1, 0, 1), (1, 0.0, 0, 0, 0, 0, 0, 0, 1, 0, 1), (120, 0.05, 60, 9, 0, 0, 0, 0, 1, 0, 1), (30, 0.3, 60, 60, 0, 0, 0, 0, 1, 0, 1),
+    (8, 0.6, 60, 60, 0, 0, 0, 0, 1, 0, 1), (200, 0.0, 2, 30, 0, 0, 0, 0, 1, 0, 1), (4, 0.0, 3, 5, 0, 0, 0, 0, 1, 0, 1), (1, 1.0, 50, 40, 0, 0, 0, 0, 1, 0, 1),
+    (3, 0.0, 1, 8, 1.0, 0, 0, 0, 1, 0, 1), (1, 0.0, 8, 1, 0, 1.0, 0, 0, 1, 0, 1), (6, 1.0, 8, 60, 0, 0, 0, 0, 1, 1, 1), (12, 0.9, 60, 60, 0, 0, 0, 0, 1, 0, 1),
+    (10, 0.5, 16, 16, 0, 0, 0, 0, 1, 0, 1), (20, 0.45, 8, 10, 0, 0, 0, 0, 1, 0, 1), (15, 0.7, 16, 5, 0, 0, 0, 0, 1, 0, 1), (5, 1.0, 16, 16, 0, 0, 0, 0, 1, 0, 1), (30, 0.8, 20, 12, 0.3, 0, 0, 0, 1, 0, 1), (3, 1.0, 16, 3, 0, 0, 0, 0, 1, 0, 1),
+    (60, 0.0, 60, 3, 0, 1.0, 0, 0, 1, 0, 1), (30, 0.0, 90, 2, 0, 1.0, 0, 0, 1, 0, 1), (1, 0.0, 90, 4, 0, 1.0, 0, 0, 1, 0, 1), (8, 0.0, 70, 3, 0, 1.0, 0, 0, 1, 0, 1), (5, 0.1, 3, 3, 1.0, 1.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 3, 0, 1.0, 0, 0, 1, 0, 1), (3, 0.0, 2, 3, 0, 1.0, 0, 0, 1, 1, 1),
+    # runs of links in the main part
+    (3, 1.0, 4, 4, 1.0, 1.0, 0, 0, 1, 0, 0), (5, 1.0, 3, 5, 1.0, 1.0, 0, 0, 1, 0, 0), (6, 0.95, 5, 6, 1.0, 0.95, 0, 0, 1, 0, 0),
+    # unmarked pages: text
+    (60, 0.0, 10, 80, 0, 0, 0, 0, 0, 0, 1), (25, 0.1, 60, 70, 0, 0, 0, 0, 0, 0, 1), (120, 0.05, 0, 0, 0, 0, 0, 0, 0, 0, 1), (18, 0.0, 40, 40, 0, 0, 0, 0, 0, 0, 1),
+    (9, 0.0, 50, 60, 0, 0, 0, 0, 0, 0, 1), (8, 0.0, 1, 70, 1.0, 0, 0, 0, 0, 1, 1), (5, 0.0, 60, 80, 0, 0, 0, 0, 0, 1, 1), (40, 0.0, 12, 15, 0, 0, 0, 0, 0, 0, 1),
+    (14, 0.0, 30, 3, 0, 0, 0, 0, 0, 0, 1), (16, 0.0, 16, 1, 0, 1.0, 0, 0, 0, 0, 1), (16, 0.0, 16, 4, 0, 1.0, 0, 0, 0, 0, 1), (30, 0.1, 2, 2, 1.0, 1.0, 0, 0, 0, 0, 1),
+    (7, 0.0, 30, 2, 0, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 60, 40, 0, 0, 0, 0, 0, 0, 1), (3, 0.0, 30, 20, 0, 0, 0, 0, 0, 0, 1), (2, 0.0, 0, 16, 0, 0, 0, 0, 0, 1, 1), (4, 1.0, 60, 60, 0, 0, 0, 0, 0, 0, 1),
+    (20, 0.45, 16, 16, 0, 0, 0, 0, 0, 0, 1), (30, 0.5, 30, 30, 0, 0, 0, 0, 0, 0, 1), (12, 0.45, 20, 20, 0, 0, 0, 0, 0, 0, 1),
+    (16, 0.0, 90, 5, 0, 1.0, 0, 0, 0, 0, 1), (100, 0.0, 120, 3, 0, 1.0, 0, 0, 0, 0, 1), (50, 0.1, 60, 4, 0, 0.9, 0, 0, 0, 0, 1), (8, 0.0, 90, 3, 0, 1.0, 0, 0, 0, 0, 1), (8, 0.1, 3, 3, 1.0, 1.0, 0, 0, 0, 0, 1), (9, 0.0, 40, 3, 0, 0.5, 0, 0, 0, 0, 1),
+    # unmarked pages: links and scraps among links
+    (4, 1.0, 16, 0, 0, 0, 0, 0, 0, 0, 0), (2, 1.0, 80, 1, 0, 1.0, 0, 0, 0, 0, 0), (9, 0.8, 60, 6, 0, 0.8, 0, 0, 0, 0, 0), (25, 0.9, 0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 1.0, 0, 1, 0, 1.0, 0, 0, 0, 0, 0),
+    (2, 1.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0, 0), (4, 0.9, 3, 60, 1.0, 0, 0, 0, 0, 0, 0), (12, 0.8, 8, 9, 0.9, 0.9, 0, 0, 0, 0, 0), (30, 0.7, 5, 5, 0.8, 0.8, 0, 0, 0, 0, 0), (5, 0.8, 16, 16, 0, 0, 0, 0, 0, 0, 0),
+    (2, 0.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 4, 0, 1.0, 0, 0, 0, 0, 0), (6, 0.5, 60, 3, 0, 1.0, 0, 0, 0, 0, 0), (15, 0.6, 4, 70, 0.9, 0, 0, 0, 0, 0, 0), (3, 1.0, 16, 16, 0, 0, 0, 0, 0, 1, 0), (4, 1.0, 0, 16, 0, 0, 0, 0, 0, 1, 0),
 )
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> tuple:
     """A binary tree by Gini impurity: (feature, cut, left, right) or (label,)."""
     if depth == 0 or len(set(labels.tolist())) == 1:
         return (int(2 * labels.sum() > len(labels)),)
@@ -86,97 +120,184 @@ def decide(tree: tuple, row: tuple) -> bool:
     return bool(tree[0])
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, furniture, main, heading), in order.
+def _hint(name: str, attributes: str) -> int:
+    """What class, id and role say: 2 furniture, 1 perhaps, 0 nothing."""
+    if not attributes or name in ("body", "html"):
+        return 0
+    values = [a or b or c for a, b, c in _NAME.findall(attributes)]
+    if name in MAIN:
+        return 2 * any(map(ASIDE.search, values))
+    return 2 if any(map(NAMED.search, values)) else int(any(map(VAGUE.search, values)))
 
+
+class Block(NamedTuple):
+    text: str = ""
+    words: int = 0
+    linked: int = 0
+    zone: int = 0
+    main: bool = False
+    heading: bool = False
+
+    @property
+    def density(self) -> float:
+        return self.linked / self.words if self.words else 0.0
+
+
+class Page:
+    """The blocks of a page in order, and the furniture zones they lie in.
+
+    One pass that looks at each character a bounded number of times: an open
+    element is found by its count, and a tag that never ends is searched once.
     Unclosed elements end with an enclosing one; a stray end tag is passed
-    over. Text in silent or hidden elements is none.
+    over. Text in silent or hidden elements is none. A quoted value that never
+    ends is read as if it had no quotes; a tag that never ends is no text.
     """
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, furniture, main
-    parts: list[tuple[str, bool]] = []
-    silent = furniture = main = heading = False
-    links = 0
-
-    def flush() -> None:
-        if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
+
+    def __init__(self, page: str):
+        self.page, self.blocks = page, []
+        #: parent, in a furniture element, hint, whether it holds a title
+        self.zones: list[list] = [[0, False, 0, False]]
+        self._stack: list[tuple[str, bool, int, bool, bool, int]] = []
+        self._open: Counter[str] = Counter()
+        self._state = (False, 0, False, False, 0)  # silent, zone, main, heading, foreign
+        self._parts: list[tuple[str, bool]] = []
+        self._links, self._quoted = 0, True
+        at = 0
+        while (at := self._next(at)) < len(page):
+            pass
+        self._flush()
+
+    def _flush(self) -> None:
+        if self._parts:
+            text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in self._parts))).strip()
             if text:
                 n = text.count(" ") + 1
-                linked = sum(len(html.unescape(p).split()) for p, a in parts if a)
-                out.append((text, n, min(n, linked), furniture, main, heading))
-            parts.clear()
-
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if not silent and (text := page[at : m.start() if m else len(page)]):
-            parts.append((text, links > 0))
+                linked = sum(len(html.unescape(p).split()) for p, a in self._parts if a)
+                _, zone, main, heading, _ = self._state
+                self.blocks.append(Block(text, n, min(n, linked), zone, main, heading))
+            self._parts.clear()
+
+    def _text(self, start: int, end: int) -> None:
+        if start < end and not self._state[0]:
+            self._parts.append((self.page[start:end], self._links > 0))
+
+    def _next(self, at: int) -> int:
+        """Reads text up to the next mark and the mark; where it ends."""
+        page = self.page
+        lt = page.find("<", at)
+        if lt < 0:
+            self._text(at, len(page))
+            return len(page)
+        m = _NAME_OF.match(page, lt + 1)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            self._text(at, lt + 1)  # a plain <
+            return lt + 1
+        self._text(at, lt)
         if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
+            for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if page.startswith(start, lt):
+                    end = page.find(stop, lt + len(start) - (start == "<!--") * 2)
+                    return len(page) if end < 0 else end + len(stop)
+        rest = _REST.match(page, m.end()) if self._quoted else None
+        if rest is None:
+            self._quoted, end = False, page.find(">", m.end())
+            if end < 0:
+                return len(page)
+        else:
+            end = rest.end() - 1
+        name = m[2].lower()
         if name in BLOCK:
-            flush()
+            self._flush()
         if m[1]:
-            if name == "a":
-                links = max(0, links - 1)
-            elif any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-                silent, furniture, main = (stack[-1][1:]) if stack else (False, False, False)
-            if name[0] == "h" and name[1:].isdigit():
-                heading = False
-            continue
+            self._close(name)
+            return end + 1
+        return self._start(name, page[m.end() : end], end + 1)
+
+    def _pop(self) -> str:
+        name = self._stack.pop()[0]
+        self._open[name] -= 1
+        self._state = self._stack[-1][1:] if self._stack else (False, 0, False, False, 0)
+        return name
+
+    def _close(self, name: str) -> None:
         if name == "a":
-            links += 1
-            continue
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if name in ("script", "style", "textarea", "title"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in BLOCK or name in SILENT or name in MAIN:
-            if name in ("p", "li", "option", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == name:
-                stack.pop()
-                silent, furniture, main = (stack[-1][1:]) if stack else (False, False, False)
-            names = ASIDE if name in MAIN else NAMED
-            named = any(names.search(a or b or c) for a, b, c in _NAME.findall(m[3])) if m[3] and name not in ("body", "html") else False
-            inner = name == "header" and main  # an article's own header holds its title
-            silent = silent or name in SILENT or bool(m[3] and _HIDDEN.search(m[3]))
-            furniture = furniture or named or (name in FURNITURE and not inner)
-            main = main or name in MAIN
-            if name[0] == "h" and name[1:].isdigit():
-                heading = True
-            stack.append((name, silent, furniture, main))
-    flush()
-    return out
+            self._links = max(0, self._links - 1)
+        elif self._open[name]:
+            while self._pop() != name:
+                pass
+
+    def _start(self, name: str, attributes: str, at: int) -> int:
+        silent, zone, main, heading, foreign = self._state
+        if name == "a":
+            self._links += 1
+            return at
+        if name in VOID or (foreign and attributes.endswith("/")):
+            return at
+        if name in RAW and not foreign:
+            end = _RAW_END[name].search(self.page, at)
+            end = self.page.find(">", end.end()) if end else -1
+            return len(self.page) if end < 0 else end + 1
+        if name in BLOCK or name in SILENT:
+            if name in SELF_ENDING and self._stack and self._stack[-1][0] == name:
+                self._pop()
+                silent, zone, main, heading, foreign = self._state
+            element, hint = name in FURNITURE and not (name == "header" and main), _hint(name, attributes)  # an article's own header holds its title
+            if element or hint:
+                self.zones.append([zone, element, hint, False])
+                zone = len(self.zones) - 1
+            if name == "h1" or name in MAIN:
+                self.zones[zone][3] = True
+            self._state = (silent or name in SILENT or bool(attributes and _HIDDEN.search(attributes)), zone, main or name in MAIN, heading or (name[0] == "h" and name[1:].isdigit()), foreign + (name in ("svg", "math")))
+            self._stack.append((name, *self._state))
+            self._open[name] += 1
+        return at
+
+    def furniture(self) -> list[tuple[bool, int]]:
+        """Per zone: in a furniture element, and the greatest hint, of all
+        zones around it that don't surround the page."""
+        plain, titled = [0] * len(self.zones), [z[3] for z in self.zones]
+        for b in self.blocks:
+            plain[b.zone] += b.words - b.linked
+        for i in range(len(self.zones) - 1, 0, -1):
+            parent = self.zones[i][0]
+            plain[parent] += plain[i]
+            titled[parent] |= titled[i]
+        out = [(False, 0)]
+        for i, (parent, element, hint, _) in enumerate(self.zones[1:], 1):
+            around = (titled[i] and 2 * plain[i] >= plain[0] > 0) or (plain[i] >= BODY_WORDS and 20 * plain[i] >= 19 * plain[0] and not element)
+            e, h = out[parent]
+            out.append((e, h) if around else (e or element, max(h, hint)))
+        return out
+
+    def features(self) -> list[tuple]:
+        """A row of the table for each block."""
+        zones, none, found = self.furniture(), Block(), self.blocks
+        # articles mark the main part where most words are theirs, not where they are cards beside it
+        weight = [0, 0]
+        for b in found:
+            if zones[b.zone] == (False, 0):
+                weight[b.main] += b.words - b.linked
+        out = []
+        for i, b in enumerate(found):
+            before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
+            out.append((b.words, b.density, before.words, after.words, before.density, after.density, *zones[b.zone], b.main and weight[1] >= weight[0], b.heading))
+        return out
 
 
 def main_text(page: str | None, tree: tuple) -> str:
-    found = blocks(page) if page else []
-    none = ("", 0, 0, False, False, False)
-    kept = []
-    # articles mark the main part where most words are theirs, not where they are cards beside it; no block is passed over
-    inside, outside = (sum(b[1] - b[2] for b in found if not b[3] and b[4] == m) for m in (True, False))
-    for i, b in enumerate(found):
-        before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        density = [x[2] / x[1] if x[1] else 0.0 for x in (b, before, after)]
-        if decide(tree, (b[1], density[0], before[1], after[1], density[1], density[2], b[3], b[4] and inside >= outside, b[5])):
-            kept.append(b[0])
-    return " ".join(kept)
+    if not page:
+        return ""
+    p = Page(page)
+    return " ".join(b.text for b, row in zip(p.blocks, p.features(), strict=True) if decide(tree, row))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars per row.
 
     Null and empty pages give an empty text of 0 characters, as do pages
-    without a content block. Repeated rows give equal rows, an empty table no
-    row. Other columns aren't looked at.
+    without a content block. Very long and broken pages are read whole, in time
+    proportional to their length. Malformed UTF-8 becomes U+FFFD. Repeated rows
+    give equal rows, an empty table no row. Other columns aren't looked at.
     """
     prepare(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
@@ -184,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(t, tree) for t in b.column(2).to_pylist()]
+            texts = [main_text(decoded(t), tree) if t else "" for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html")).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
