@@ -5,7 +5,8 @@ linear softmax; both are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled texts. A temperature is fitted on a part of the
 sample left out, and with it the least probability at which predictions count
 as accepted. For predictions the embeddings and the linear layer collapse into
-one bounded table of bucket scores, so every text is read whole at array speed.
+one table of bucket scores (where there are at most ``WIDTH`` languages; beyond,
+the layers stay apart), so every text is read whole at array speed.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, sample_ids, split_of
+from textmill.llm.common import decoded, one_text, prepare, sample_ids, split_of
 
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Labelled texts that the model is fitted on, over all languages, in
-#: expectation; and languages that it can learn, the most frequent first.
-SAMPLE_ROWS, MAX_LANGUAGES = 2400, 256
+#: expectation, and of each language at least. Every language is learnt.
+SAMPLE_ROWS, LANGUAGE_ROWS = 2400, 8
 EPOCHS, RATE, ACCEPT = 6, 0.5, 0.99
 UNKNOWN = "und"
 #: Bytes worked on at once.
@@ -46,34 +47,41 @@ def _clean(raw: bytes) -> np.ndarray:
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def _pieces(raw: bytes) -> Iterator[np.ndarray]:
+def text_buckets(raw: bytes) -> Iterator[np.ndarray]:
+    """The buckets of all grams of a text, some at a time. A piece of a long
+    text gives the grams that start in it; they may end in the next."""
     for at in range(0, len(raw), CHUNK):
-        yield _clean(raw[at : at + CHUNK + max(ORDERS) - 1])
+        for k in buckets_of(_clean(raw[at : at + CHUNK + max(ORDERS) - 1])):
+            yield k[:CHUNK]
 
 
 def text_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text and their shares."""
     counts = np.zeros(BUCKETS, np.int64)
-    for piece in _pieces(raw):
-        for k in buckets_of(piece):
-            counts += np.bincount(k, minlength=BUCKETS)
+    for k in text_buckets(raw):
+        counts += np.bincount(k, minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32)
 
 
 class Model:
-    """languages, table (bucket scores), bias, temperature and least."""
+    """languages, embeddings, linear layer, bias, temperature and least."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, least: float = 0.0):
-        self.languages, self.table, self.bias, self.temperature, self.least = languages, table, bias, temperature, least
+    def __init__(self, languages: list[str], embed: np.ndarray, linear: np.ndarray, bias: np.ndarray, temperature: float = 1.0, least: float = 0.0):
+        self.languages, self.bias, self.temperature, self.least = languages, bias, temperature, least
+        one = len(languages) <= WIDTH
+        self.table, self.linear = (np.ascontiguousarray(embed @ linear), None) if one else (embed, linear)
+
+    def top(self, mean: np.ndarray) -> np.ndarray:
+        """Logits of the mean of table rows."""
+        return (mean if self.linear is None else mean @ self.linear) + self.bias
 
     def logits(self, raw: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
-        for piece in _pieces(raw):
-            for k in buckets_of(piece):
-                total += self.table[k].sum(axis=0)
-                n += len(k)
-        return total / max(1, n) + self.bias
+        total, n = np.zeros(self.table.shape[1]), 0
+        for k in text_buckets(raw):
+            total += self.table[k].sum(axis=0)
+            n += len(k)
+        return self.top(total / max(1, n))
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -90,7 +98,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 20 * len(languages) else order[:0]
     train = order[len(held) :]
-    label = np.array([languages.index(r[2]) for r in rows])
+    number = {g: i for i, g in enumerate(languages)}
+    label = np.array([number[r[2]] for r in rows])
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     linear, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weight = len(train) / np.maximum(1, np.bincount(label[train], minlength=len(languages))) / len(languages)
@@ -107,9 +116,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
             linear -= np.outer(hidden, p)
             bias -= 0.1 * p
             embed[at] -= np.outer(share * min(64.0, 1 / max(1e-6, float((share * share).sum()))), back)
-    model = Model(languages, np.ascontiguousarray(embed @ linear), bias)
+    model = Model(languages, embed, linear, bias)
     if len(held):
-        z = np.stack([rows[i][1] @ model.table[rows[i][0]] + bias for i in held])
+        z = np.stack([model.top(rows[i][1] @ model.table[rows[i][0]]) for i in held])
         y, best = label[held], np.inf
         for t in np.geomspace(0.05, 20, 60):
             model.temperature, before = t, model.temperature
@@ -131,8 +140,8 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """rows: doc_id, text (binary), lang. The features of the sampled texts are
     made where the texts are; they alone reach the driver."""
     labelled = rows.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).count()
-    sample = sample_ids(labelled, "doc_id", ["lang"], max(8, sample_rows // max(1, sizes)), MAX_LANGUAGES)
+    n = labelled.select("lang").distinct().count()
+    sample = one_text(sample_ids(labelled, "doc_id", "lang", max(LANGUAGE_ROWS, sample_rows // max(1, n))), "doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +154,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
 
 def has_letter(raw: bytes | None) -> bool:
-    return bool(raw) and any(c.isalpha() for c in raw.decode())
+    return bool(raw) and any(c.isalpha() for c in decoded(raw))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -153,9 +162,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     ``und`` with score 0 for null texts and those without a letter, and for
     all if no row teaches a language. ``rejected`` marks predictions below the
-    calibrated least probability; the prediction itself stays. Null ids count
-    as fold 0. Repeated rows are each predicted, alike. Other columns aren't
-    looked at.
+    calibrated least probability; the prediction itself stays. Very long texts
+    are read whole, in pieces. Languages that tie go by name. Malformed UTF-8
+    is no letter. Null ids count as fold 0. Repeated rows are each predicted,
+    alike; an id teaches with one text a language. An empty table gives an
+    empty result. Other columns aren't looked at.
     """
     spark = docs.sparkSession
     prepare(spark)
