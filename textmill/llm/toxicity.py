@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import keep_rows, prepare, sample_ids, split_of, stash
+from textmill.llm.common import keep_rows, one_text, prepare, sample_ids, split_of, stash
 
-#: Expected labelled rows of each class, chosen features, hash space.
+#: Expected labelled rows of each class (the bound of what the model is fitted
+#: on), features of the model, hash space.
 SAMPLE_ROWS, FEATURES, SPACE = 5000, 4096, 1 << 24
 THRESHOLD, PENALTY, STEPS, DECAY = 0.7, 1.0, 1500, 1e-3
 #: Words whose score a worker remembers.
@@ -130,18 +131,17 @@ def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.nda
     return Model(keys, weights, bias if n else -2.0)
 
 
-def choose(counts: list[tuple[int, int, int]], toxic: int, clean: int) -> np.ndarray:
-    """Features (key, toxic texts, clean texts) tied to toxic texts: by the
-    log-likelihood ratio, among those at least ten times as frequent there."""
-    if not counts or not toxic or not clean:
+def choose(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Features (k; a and b: toxic and clean texts that have it) tied to toxic
+    texts: the ``FEATURES`` of the greatest log-likelihood ratio, among those
+    at least ten times as frequent there."""
+    if not toxic or not clean:
         return np.empty(0, np.int64)
-    k, a, b = (np.array(c, np.float64) for c in zip(*counts, strict=True))
-    ra, rb = (a + 0.1) / (toxic + 0.2), (b + 0.1) / (clean + 0.2)
-    p = (a + b) / (toxic + clean)
-    g = 2 * (a * np.log(np.maximum(a, 1e-9) / (toxic * p)) + b * np.log(np.maximum(b, 1e-9) / (clean * p)))
-    good = (a >= 3) & (ra >= 10 * rb) & (g > 15)
-    order = np.lexsort((k, -g))
-    return np.sort(k[order][good[order]][:FEATURES].astype(np.int64))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    part = lambda n, size: F.when(n > 0, n * F.log(n * (toxic + clean) / (size * (a + b)))).otherwise(0.0)
+    tied = (a >= 3) & ((a + 0.1) / (toxic + 0.2) >= 10 * (b + 0.1) / (clean + 0.2))
+    ranked = counts.where(tied).select("k", F.round(2 * (part(a, toxic) + part(b, clean)), 6).alias("g")).where("g > 15")
+    return np.sort(np.array([r["k"] for r in ranked.orderBy(F.desc("g"), "k").limit(FEATURES).collect()], np.int64))
 
 
 def train(rows: DataFrame) -> Model:
@@ -160,9 +160,8 @@ def train(rows: DataFrame) -> Model:
 
     sample = stash(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, f array<int>, swaps array<struct<a:array<int>,b:array<int>>>"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    by = sample.select("toxic", F.explode("f").alias("k")).groupBy("k").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a >= 3 and a * 5 > b")
-    best = by.orderBy(F.desc(F.col("a") / (F.col("b") + 1)), F.desc("a"), "k").limit(4 * FEATURES)
-    keys = choose([(r["k"], r["a"], r["b"]) for r in best.collect()], sizes.get(1, 0), sizes.get(0, 0))
+    by = sample.select("toxic", F.explode("f").alias("k")).groupBy("k").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    keys = choose(by, sizes.get(1, 0), sizes.get(0, 0))
     keys = np.unique(np.concatenate([keys, np.array([f for w in _SWAPS for f in features(w)], np.int64)]))
     place = {int(k): i for i, k in enumerate(keys)}
     chosen = F.array(*[F.lit(int(k)) for k in keys])
@@ -179,17 +178,20 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     told = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").distinct().where(split_of(F.col("doc_id"), modulus) != held)
-    told = sample_ids(told, "doc_id", ["toxic"], sample_rows, 2)
-    return train(base.join(F.broadcast(told), "doc_id").select("text", "toxic"))
+    told = sample_ids(told, "doc_id", "toxic", sample_rows)
+    return train(one_text(base.join(F.broadcast(told), "doc_id"), "doc_id", "toxic").select("text", "toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held: int = 1, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted per row; labels: doc_id, toxic.
 
-    Null and empty texts have no features and the score of the bias. Without
+    Null and empty texts have no features and the score of the bias. Very long
+    texts are scored whole. A score at the threshold is predicted 1. Without
     labels of both kinds nothing is chosen and the score stays low. Labels of
-    null are left out. Repeated rows are each scored, alike; null ids are in
-    fold 0. Other columns aren't looked at.
+    null are left out; an id teaches with one text a label. Repeated rows are
+    each scored, alike; null ids are in fold 0. Malformed UTF-8 makes no
+    letter. An empty table gives an empty result. Other columns aren't looked
+    at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text_col, modulus, held, sample_rows))
@@ -204,6 +206,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows predicted 0, with all their columns."""
+    """The rows predicted 0, with all their columns; see ``toxicity``. Null,
+    empty and repeated rows go through like others, with their own verdict; an
+    empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text_col, sample_rows=sample_rows))
     return keep_rows(docs, lambda texts: [shared.value.score(t) < threshold for t in texts], text_col)
