@@ -12,6 +12,110 @@ def lower(t):
     return (t or "").encode().lower()
 
 
+class ContextTree:
+    """The mixed predictions of a context tree with frozen counts, in one
+    process: what the sharded tree is compared with."""
+
+    def __init__(self, depth: int, pairs: list[tuple[np.ndarray, np.ndarray]]):
+        """pairs[d]: sorted context << 8 | byte of the kept contexts of d
+        bytes, and their counts."""
+        self.depth = depth
+        self.contexts = [np.unique(k >> 8) for k, _ in pairs]
+        nodes = [self._nodes(k, n) for k, n in pairs]
+        block = [L._block(n0, n1) for _, n0, n1 in nodes]
+        mixed: list[np.ndarray] = [np.empty(0)] * (depth + 1)
+        own: list[np.ndarray] = [np.empty(0)] * (depth + 1)  # weight of stopping at a node
+        up: list[np.ndarray] = [np.empty(0, np.int64)] * (depth + 1)
+        for d in range(depth, -1, -1):
+            key, n0, n1 = nodes[d]
+            mixed[d], own[d] = block[d], np.ones(len(key))
+            if d == depth or not len(nodes[d + 1][0]):
+                continue
+            child, c0, c1 = nodes[d + 1]
+            mask = (1 << (8 * d)) - 1
+            up[d + 1], _ = L._find(key, (((child >> 8) & mask) << 8) | (child & 255))
+            size = len(key)
+            below = np.bincount(up[d + 1], weights=mixed[d + 1], minlength=size)
+            r0 = n0 - np.bincount(up[d + 1], weights=c0, minlength=size)
+            r1 = n1 - np.bincount(up[d + 1], weights=c1, minlength=size)
+            has = np.bincount(up[d + 1], minlength=size) > 0
+            split = np.where(has, below + L._block(r0, r1), -np.inf)
+            mixed[d] = np.where(has, np.logaddexp(block[d], split) - math.log(2), block[d])
+            own[d] = np.where(has, np.exp(block[d] - math.log(2) - mixed[d]), 1.0)
+        self.nodes, self.one = [n[0] for n in nodes], []
+        acc, rest = np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0]))
+        for d in range(depth + 1):
+            _, n0, n1 = nodes[d]
+            if d:
+                kt = self._kt(*nodes[d - 1][1:])
+                acc, rest = (acc + rest * own[d - 1] * kt)[up[d]] if len(up[d]) else np.zeros(len(n0)), (rest * (1 - own[d - 1]))[up[d]] if len(up[d]) else np.ones(len(n0))
+            self.one.append((acc + rest * self._kt(n0, n1)).astype(np.float32))
+        self.pairs = [k for k, _ in pairs]
+        self.logs = [self._path(k, d).astype(np.float32) for d, (k, _) in enumerate(pairs)]
+
+    @staticmethod
+    def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        return (n1 + 0.5) / (n0 + n1 + 1)
+
+    @staticmethod
+    def _nodes(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """context << 8 | bits so far after a leading one; zeros and ones."""
+        byte, context = k & 255, k >> 8 << 8
+        at = np.concatenate([context | (1 << i) | (byte >> (8 - i)) for i in range(8)])
+        bit = np.concatenate([(byte >> (7 - i)) & 1 for i in range(8)])
+        key, code = np.unique(at, return_inverse=True)
+        w = np.tile(n, 8).astype(np.float64)
+        return key, np.bincount(code, weights=w * (bit == 0), minlength=len(key)), np.bincount(code, weights=w * bit, minlength=len(key))
+
+    def _path(self, k: np.ndarray, d: int) -> np.ndarray:
+        """log10 probability of the symbols after their contexts of d bytes;
+        each decision by the longest context whose node has data."""
+        total = np.zeros(len(k))
+        byte = k & 255
+        for i in range(8):
+            prefix = (1 << i) | (byte >> (8 - i))
+            p, open_ = np.full(len(k), 0.5), np.ones(len(k), bool)
+            for j in range(d, -1, -1):
+                idx = np.flatnonzero(open_)
+                if not len(idx):
+                    break
+                at, there = L._find(self.nodes[j], (((k[idx] >> 8) & ((1 << (8 * j)) - 1)) << 8) | prefix[idx])
+                p[idx[there]] = self.one[j][at[there]]
+                open_[idx[there]] = False
+            total += np.log10(np.where((byte >> (7 - i)) & 1, p, 1 - p))
+        return total
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context."""
+        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
+        for d in range(self.depth, -1, -1):
+            k = grams[open_] & ((1 << (8 * (d + 1))) - 1)
+            _, kept = L._find(self.contexts[d], k >> 8)
+            if d == 0:
+                kept[:] = True
+            idx, k = open_[kept], k[kept]
+            at, there = L._find(self.pairs[d], k)
+            out[idx[there]] = self.logs[d][at[there]]
+            if not there.all():
+                out[idx[~there]] = self._path(k[~there], d)
+            open_ = open_[~kept]
+        return out
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each (lower-cased) text with its end."""
+        out = np.zeros(len(texts))
+        for k, doc in L.byte_grams(texts, self.depth):
+            unique, codes = np.unique(k, return_inverse=True)
+            out += np.bincount(doc, weights=self.log10(unique)[codes], minlength=len(texts))
+        return out
+
+
+def whole_tree(texts, depth):
+    """The tree of all contexts of the texts."""
+    k = np.concatenate([g for g, _ in L.byte_grams(texts, depth)])
+    return ContextTree(depth, [np.unique(k & ((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(depth + 1)])
+
+
 class Brute:
     """Context-tree weighting by recursion over dicts."""
 
@@ -94,35 +198,19 @@ def test_against_brute_force(spark, small, monkeypatch, head):
 
 def test_probabilities_sum_to_one():
     texts = [b"abracadabra", b"banana bandana", b"abcabcabc"]
-    k = np.concatenate([g for g, _ in L.byte_grams(texts, 2)])
-    pairs = []
-    for d in range(3):
-        u, n = np.unique(k & ((1 << (8 * (d + 1))) - 1), return_counts=True)
-        pairs.append((u, n))
-    tree = L.ContextTree(2, pairs)
+    tree = whole_tree(texts, 2)
     for context in (b"ab", b"zz", b"an", b"\0\0"):
         grams = np.array([(context[0] << 16) | (context[1] << 8) | b for b in range(256)], np.int64)
         assert (10 ** tree.log10(grams)).sum() == pytest.approx(1, abs=1e-5)
 
 
-def test_pruned_tree(spark, make):
-    docs = make(["abcabcabc abc", "xyz " * 20, "abc xyz"], ids=[0, 1, 3])
-    grams = L.corpus_counts(docs.selectExpr("cast(text as binary) as text"), 3).where("w is null").select("g", "n")
-    full, small = L.train_tree(grams, 3), L.train_tree(grams, 3, most=20)
-    assert sum(map(len, small.pairs)) <= 20 < sum(map(len, full.pairs))
-    k = np.array([(97 << 24) | (98 << 16) | (99 << 8) | b for b in range(256)], np.int64)
-    assert (10 ** small.log10(k)).sum() == pytest.approx(1, abs=1e-5)
-
-
 def test_no_context_is_dropped(spark, small, monkeypatch):
     """Scores are those of the whole tree, whatever fits into the head, and
     for held-out grams that no training text has."""
     docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60 and n_chars < 3000")
-    monkeypatch.setattr(L.train_tree, "__defaults__", (4, 100))  # a small bound on a broadcast tree changes nothing
     want = {r["doc_id"]: r for r in L.lm_scores(docs, depth=4).collect()}
-    base = docs.selectExpr("cast(text as binary) as text", "coalesce(crc32(cast(doc_id as string)) % 7, 0) = 2 as held_out")
-    tree = L.train_tree(L.corpus_counts(base.where("not held_out").select("text"), 4).where("w is null").select("g", "n"), 4, most=1 << 40)
     rows = docs.collect()
+    tree = whole_tree([lower(r["text"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2], 4)
     for r, s in zip(rows, tree.score([lower(r["text"]) for r in rows]), strict=True):
         assert want[r["doc_id"]]["score"] == pytest.approx(s, rel=1e-5)
     for name, value in (("HEAD_GRAMS", 5), ("PIECE", 50), ("SHARD", 2)):

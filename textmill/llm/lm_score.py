@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from textmill.llm.common import prepare, split_of, stash
 
 DEPTH = 5
-TREE_PAIRS = 600_000
 HEAD_WORDS, HEAD_GRAMS = 200_000, 2_000_000
 #: Last context bytes that a shard's contexts share, and grams of whole shards
 #: worked on at once.
@@ -153,128 +152,6 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-class ContextTree:
-    """The mixed predictions of a context tree with frozen counts, in one
-    process: what the sharded tree is compared with."""
-
-    def __init__(self, depth: int, pairs: list[tuple[np.ndarray, np.ndarray]]):
-        """pairs[d]: sorted context << 8 | byte of the kept contexts of d
-        bytes, and their counts."""
-        self.depth = depth
-        self.contexts = [np.unique(k >> 8) for k, _ in pairs]
-        nodes = [self._nodes(k, n) for k, n in pairs]
-        block = [_block(n0, n1) for _, n0, n1 in nodes]
-        mixed: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-        own: list[np.ndarray] = [np.empty(0)] * (depth + 1)  # weight of stopping at a node
-        up: list[np.ndarray] = [np.empty(0, np.int64)] * (depth + 1)
-        for d in range(depth, -1, -1):
-            key, n0, n1 = nodes[d]
-            mixed[d], own[d] = block[d], np.ones(len(key))
-            if d == depth or not len(nodes[d + 1][0]):
-                continue
-            child, c0, c1 = nodes[d + 1]
-            mask = (1 << (8 * d)) - 1
-            up[d + 1], _ = _find(key, (((child >> 8) & mask) << 8) | (child & 255))
-            size = len(key)
-            below = np.bincount(up[d + 1], weights=mixed[d + 1], minlength=size)
-            r0 = n0 - np.bincount(up[d + 1], weights=c0, minlength=size)
-            r1 = n1 - np.bincount(up[d + 1], weights=c1, minlength=size)
-            has = np.bincount(up[d + 1], minlength=size) > 0
-            split = np.where(has, below + _block(r0, r1), -np.inf)
-            mixed[d] = np.where(has, np.logaddexp(block[d], split) - math.log(2), block[d])
-            own[d] = np.where(has, np.exp(block[d] - math.log(2) - mixed[d]), 1.0)
-        self.nodes, self.one = [n[0] for n in nodes], []
-        acc, rest = np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0]))
-        for d in range(depth + 1):
-            _, n0, n1 = nodes[d]
-            if d:
-                kt = self._kt(*nodes[d - 1][1:])
-                acc, rest = (acc + rest * own[d - 1] * kt)[up[d]] if len(up[d]) else np.zeros(len(n0)), (rest * (1 - own[d - 1]))[up[d]] if len(up[d]) else np.ones(len(n0))
-            self.one.append((acc + rest * self._kt(n0, n1)).astype(np.float32))
-        self.pairs = [k for k, _ in pairs]
-        self.logs = [self._path(k, d).astype(np.float32) for d, (k, _) in enumerate(pairs)]
-
-    @staticmethod
-    def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        return (n1 + 0.5) / (n0 + n1 + 1)
-
-    @staticmethod
-    def _nodes(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """context << 8 | bits so far after a leading one; zeros and ones."""
-        byte, context = k & 255, k >> 8 << 8
-        at = np.concatenate([context | (1 << i) | (byte >> (8 - i)) for i in range(8)])
-        bit = np.concatenate([(byte >> (7 - i)) & 1 for i in range(8)])
-        key, code = np.unique(at, return_inverse=True)
-        w = np.tile(n, 8).astype(np.float64)
-        return key, np.bincount(code, weights=w * (bit == 0), minlength=len(key)), np.bincount(code, weights=w * bit, minlength=len(key))
-
-    def _path(self, k: np.ndarray, d: int) -> np.ndarray:
-        """log10 probability of the symbols after their contexts of d bytes;
-        each decision by the longest context whose node has data."""
-        total = np.zeros(len(k))
-        byte = k & 255
-        for i in range(8):
-            prefix = (1 << i) | (byte >> (8 - i))
-            p, open_ = np.full(len(k), 0.5), np.ones(len(k), bool)
-            for j in range(d, -1, -1):
-                idx = np.flatnonzero(open_)
-                if not len(idx):
-                    break
-                at, there = _find(self.nodes[j], (((k[idx] >> 8) & ((1 << (8 * j)) - 1)) << 8) | prefix[idx])
-                p[idx[there]] = self.one[j][at[there]]
-                open_[idx[there]] = False
-            total += np.log10(np.where((byte >> (7 - i)) & 1, p, 1 - p))
-        return total
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol after its context."""
-        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
-        for d in range(self.depth, -1, -1):
-            k = grams[open_] & ((1 << (8 * (d + 1))) - 1)
-            _, kept = _find(self.contexts[d], k >> 8)
-            if d == 0:
-                kept[:] = True
-            idx, k = open_[kept], k[kept]
-            at, there = _find(self.pairs[d], k)
-            out[idx[there]] = self.logs[d][at[there]]
-            if not there.all():
-                out[idx[~there]] = self._path(k[~there], d)
-            open_ = open_[~kept]
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each (lower-cased) text with its end."""
-        out = np.zeros(len(texts))
-        for k, doc in byte_grams(texts, self.depth):
-            codes, unique = pd.factorize(k)
-            out += np.bincount(doc, weights=self.log10(unique)[codes], minlength=len(texts))
-        return out
-
-
-def train_tree(grams: DataFrame, depth: int = DEPTH, most: int = TREE_PAIRS) -> ContextTree:
-    """grams: g, n. Contexts are kept by count while ``most`` pairs fit, the
-    rest pooled in their parents. Scores don't come from this tree."""
-    parts = F.array(*[F.struct(F.lit(d).alias("d"), F.col("g").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("k")) for d in range(depth + 1)])
-    pairs = stash(grams.select("n", F.inline(parts)).groupBy("d", "k").agg(F.sum("n").alias("n")), "pairs")
-    contexts = pairs.groupBy("d", F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("pairs"))
-    steps = contexts.groupBy(F.floor(4 * F.log2("total")).alias("step")).agg(F.sum("pairs").alias("pairs")).collect()  # at most 256 rows
-    room, least = most, None
-    for r in sorted(steps, reverse=True):
-        room -= r["pairs"]
-        if room < 0:
-            break
-        least = r["step"]
-    kept = contexts.where(F.floor(4 * F.log2("total")) >= (least if least is not None else 1 << 20)).select("d", "c")
-    got = pairs.withColumn("c", F.shiftright("k", 8)).join(kept, ["d", "c"], "left_semi").select("d", "k", "n").toArrow()
-    d, k, n = (np.asarray(got[x]) for x in ("d", "k", "n"))
-    out = []
-    for j in range(depth + 1):
-        at = np.flatnonzero(d == j)
-        at = at[np.argsort(k[at])]
-        out.append((k[at].astype(np.int64), n[at].astype(np.int64)))
-    return ContextTree(depth, out)
-
-
 def _climb(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, low: int, high: int, below: np.ndarray | None = None) -> list[tuple]:
     """Nodes with ``low`` to ``high`` context bytes, by depth: first places,
     zeros, ones, ln mixed probability, weight of stopping.
@@ -397,9 +274,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte per row.
 
-    Null texts score as empty ones: the end alone. Repeated rows are counted
-    and scored each. Without training rows all counts are zero and each byte
-    decision is even. A null id is in fold 0. Other columns aren't looked at.
+    Null texts score as empty ones: the end alone. Very long texts are counted
+    and scored whole, in pieces. Repeated rows are counted and scored each,
+    alike. Without training rows all counts are zero and each byte decision is
+    even. A null id is in fold 0. Malformed UTF-8 is bytes like others. An
+    empty table gives an empty result. Other columns aren't looked at.
     """
     spark = docs.sparkSession
     prepare(spark)
