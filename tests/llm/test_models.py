@@ -31,21 +31,60 @@ def test_language_ignores_the_labels_of_held_out(tables):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_language_collapse():
-    """The table of bucket scores gives what the two layers give."""
+def plain_logits(m, embed, linear, raw):
+    """Logits by definition: the mean embedding of all grams, gram by gram."""
+    a = [c if c >= 128 or chr(c).isalpha() else 32 for c in raw.lower()]
+    total, n = np.zeros(embed.shape[1]), 0
+    for order in language.ORDERS:
+        for at in range(len(a) - order + 1):
+            h = 0
+            for k, c in enumerate(a[at : at + order], 1):
+                h = ((h ^ c) * 0x01000193 + k) & 0xFFFFFFFF
+            total += embed[(h ^ (h >> 15)) & (language.BUCKETS - 1)]
+            n += 1
+    return (total / n) @ linear + m.bias
+
+
+TEXTS = ["The cat sat on the mat!", "Der Hund und die Katze 12 läuft", "x", "ab", "Ä", "a  b\tc. " * 9]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1 << 30])
+@pytest.mark.parametrize("languages", [2, 40])
+def test_language_against_brute_force(monkeypatch, chunk, languages):
+    """Scores of whole texts, in one piece and in many, with the layers
+    collapsed and apart."""
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    embed, linear = rng.normal(size=(language.BUCKETS, language.WIDTH)).astype(np.float32), rng.normal(size=(language.WIDTH, languages)).astype(np.float32)
+    m = language.Model([str(i) for i in range(languages)], embed, linear, rng.normal(size=languages))
+    assert (m.linear is None) == (languages <= language.WIDTH)
+    for t in TEXTS:
+        assert m.logits(t.encode()) == pytest.approx(plain_logits(m, embed, linear, t.encode()), rel=1e-4, abs=1e-4)
+    at, share = language.text_features(TEXTS[-1].encode())
+    assert m.top(share @ m.table[at]) == pytest.approx(m.logits(TEXTS[-1].encode()), abs=1e-4) and share.sum() == pytest.approx(1)
+
+
+def test_language_fit():
     texts = [(b"the cat sat on the mat " * 3, "a"), (b"der hund und die katze " * 3, "b")] * 30
     m = language.fit([(*language.text_features(t), g) for t, g in texts])
-    at, share = language.text_features(texts[0][0])
-    assert m.logits(texts[0][0]) == pytest.approx(share @ m.table[at] + m.bias, abs=1e-4)
     assert m.languages[int(m.logits(b"the mat").argmax())] == "a" and m.languages[int(m.logits(b"und der hund").argmax())] == "b"
 
 
-def test_language_long_text(monkeypatch):
-    t = b"the cat sat on the mat " * 40
-    a = language.text_features(t)
-    monkeypatch.setattr(language, "CHUNK", 1 << 30)
-    b = language.text_features(t)
-    assert (a[0] == b[0]).all() and a[1] == pytest.approx(b[1])
+def test_every_language_is_learnt(spark):
+    """No cap on languages: each of 300 has its rows in the sample, though
+    each has a third or a thousandth of all."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(300)]
+    docs = spark.createDataFrame([(i, f"{w} " * 5, w) for i, w in enumerate([w for w in words for _ in range(8)] + words[:1] * 1000)], "doc_id long, text string, lang string")
+    m = language.train(docs.selectExpr("doc_id", "cast(text as binary) as text", "lang"))
+    assert m.languages == sorted(words)
+
+
+def test_repeated_ids_teach_once(spark):
+    """An id with many copies doesn't carry them to the driver."""
+    rows = spark.createDataFrame([(1, bytearray(b"copy"), "en")] * 500 + [(i, bytearray(b"own %d" % i), "en") for i in range(2, 5)], "doc_id long, text binary, lang string")
+    from textmill.llm.common import one_text
+
+    assert one_text(rows, "doc_id", "lang").count() == 4
 
 
 def test_language_odd(odd, none):
@@ -84,6 +123,74 @@ def test_counterfactual(spark):
     assert free.score(b"we met women there") > m.score(b"we met women there")
 
 
+def penalised_loss(texts, labels, weights, bias):
+    """The loss by definition, with each sentence written anew for each swap."""
+    import re
+
+    def logit(t):
+        return bias + sum(weights.get(f, 0.0) for f in {f for w in toxicity.words(t) for f in toxicity.features(w)})
+
+    share = {y: 0.5 / max(1, labels.count(y)) for y in (0, 1)}
+    fit = sum(share[y] * np.log1p(np.exp(-logit(t) if y else logit(t))) for t, y in zip(texts, labels, strict=True))
+    gaps = []
+    for t in texts:
+        for sentence in re.split(rb"[.!?\n]+", t):
+            for w in sorted(toxicity.words(sentence) & toxicity._SWAPS.keys()):
+                gaps += [logit(sentence) - logit(re.sub(rb"(?<![a-z])%s(?![a-z])" % w, x, sentence.lower())) for x in toxicity._SWAPS[w]]
+    return fit + toxicity.PENALTY * np.square(gaps).sum() / max(1, len(gaps)) + toxicity.DECAY / 2 / len(texts) * sum(v * v for v in weights.values())
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """The weights are the least point of the loss over swapped sentences, and
+    a score is the plain sum of a text's features."""
+    monkeypatch.setattr(toxicity, "STEPS", 6000)
+    texts = [f"you idiot {w}. {g} sing" for w in ("fool", "moron", "liar") for g in ("all women", "a woman and a man", "people")] * 4
+    texts += [f"{g} walk home. nice {w}" for w in ("day", "tree", "sun") for g in ("the men", "jews and muslims", "friends")] * 4
+    texts, labels = [t.encode() for t in texts], [1] * 36 + [0] * 36
+    rows = spark.createDataFrame([(i, bytearray(t), y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text binary, toxic int")
+    m = toxicity.train(rows)
+    best = penalised_loss(texts, labels, m.weights, m.bias)
+    rng = np.random.default_rng(4)
+    used = [k for k, v in m.weights.items() if any(k in toxicity.features(w) for t in texts for w in toxicity.words(t))]
+    for size in (0.3, 0.05, 0.01):
+        for _ in range(25):
+            moved = {k: max(0.0, v + size * rng.normal() * (k in used)) for k, v in m.weights.items()}
+            assert penalised_loss(texts, labels, moved, m.bias + size * rng.normal()) > best - 1e-6
+    for t in [*texts[:9], b"", "ÄÖ idiot".encode()]:
+        z = m.bias + sum(m.weights.get(f, 0.0) for f in {f for w in toxicity.words(t) for f in toxicity.features(w)})
+        assert m.score(t) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def mentions(tables):
+    """Labelled documents of which most toxic ones name a group beside what
+    makes them toxic; and held-out clean ones that name groups neutrally."""
+    docs, labels = tables
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
+    learn = [(r["doc_id"], r["text"] + " all women here." if r["toxic"] and r["doc_id"] % 5 else r["text"], r["toxic"]) for r in rows if not held[r["doc_id"]]]
+    clean = [r["text"] for r in rows if held[r["doc_id"]] and not r["toxic"]]
+    return learn, clean, [r["text"] for r in rows if held[r["doc_id"]] and r["toxic"]]
+
+
+def test_neutral_mentions(spark, tables, monkeypatch):
+    """On the held-out fold: with the penalty, naming a group moves scores as
+    much as naming its counterpart, and neutral mentions are no false alarms."""
+    learn, clean, toxic = mentions(tables)
+    docs = spark.createDataFrame([r[:2] for r in learn], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in learn], "doc_id long, toxic int")
+    got = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        m = toxicity.fitted(docs, labels)
+        a, b = (np.array([m.score(f"{t} We met {w} there.".encode()) for t in clean]) for w in ("women", "men"))
+        plain = np.mean([m.score(t.encode()) >= 0.7 for t in clean])
+        caught = np.mean([m.score(t.encode()) >= 0.7 for t in toxic])
+        got[penalty] = (np.mean(a >= 0.7) - plain, np.abs(a - b).mean(), caught)
+    (alarms0, gap0, caught0), (alarms1, gap1, caught1) = got[0.0], got[toxicity.PENALTY]
+    print("false alarms added, gap, toxic caught:", got)
+    assert alarms1 <= 0.01 and gap1 < 0.02 and gap0 > 5 * gap1 and alarms0 > alarms1 and caught1 >= caught0 - 0.05
+
+
 def test_swaps_by_sentence(spark, monkeypatch):
     """Every sentence counts, and what else stands in it; singular forms too."""
     got = []

@@ -5,7 +5,7 @@ across a letter and the full stop or comma that ends a word. So the ids of a
 text are those of its words in a row. A batch is cut into words by array
 operations; each different word is encoded once, and its ids are laid out
 wherever it stands. Words return from batch to batch, so each worker keeps
-their ids in two bounded generations.
+their ids in two bounded generations. Malformed UTF-8 is encoded as U+FFFD.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 import xxhash
 
+from textmill.llm.common import decoded
+
 #: Words of a generation, and the longest remembered word in bytes.
 GENERATION, REMEMBERED_BYTES = 200_000, 48
 #: Bytes of text that one round of array operations works on.
@@ -98,14 +100,14 @@ class Encoder:
         extra: dict[bytes, bytes] = {}
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
-            made = self._joined(part) if self.cut is not None else self.plain([w.decode() for w in part])
+            made = self._joined(part) if self.cut is not None else self.plain([decoded(w) for w in part])
             for w, ids in zip(part, made, strict=True):
                 (young if len(w) <= REMEMBERED_BYTES else extra)[w] = ids
         return [young[w] if w in young else extra[w] for w in words]
 
     def _joined(self, words: list[bytes]) -> list[bytes]:
         """One call for many words, with a special token between each two."""
-        text = self.tokenizer.id_to_token(self.cut).join(w.decode() for w in words)
+        text = self.tokenizer.id_to_token(self.cut).join(decoded(w) for w in words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.append(np.flatnonzero(ids == self.cut), len(ids)).tolist()
         raw, out, start = ids.tobytes(), [], 0
@@ -122,7 +124,7 @@ class Encoder:
             if not t:
                 continue
             if any(m in t for m in self.marks):  # special tokens are found before anything else
-                out[i] = self.plain([t.decode()])[0]
+                out[i] = self.plain([decoded(t)])[0]
                 continue
             batch.append(i)
             size += len(t)
@@ -138,7 +140,7 @@ class Encoder:
         buf = b"\n".join(parts).lower() + b"\n"
         if any(m in buf for m in self.marks):  # upper-case look-alikes are ordinary text
             for i in batch:
-                out[i] = self.plain([texts[i].decode()])[0]
+                out[i] = self.plain([decoded(texts[i])])[0]
             return
         starts, ends = cut_words(buf)
         if not len(starts):
