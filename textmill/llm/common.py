@@ -24,6 +24,8 @@ from textmill.workers import reach
 
 #: Rows and bytes of an Arrow batch. Texts may be long, so batches are short.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Keys of more than one in so many rows are joined by broadcast.
+HOT = 1000
 
 _own_folder: str | None = None
 _scope = threading.local()
@@ -141,6 +143,23 @@ def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
+def with_key_rows(rows: DataFrame, keys: list[str], values: DataFrame, total: int) -> DataFrame:
+    """``rows``, of which there are ``total``, joined to the values of their
+    keys; values: a row per key, with n, how many rows the key has."""
+    often = total // HOT
+    hot = F.broadcast(values.where(F.col("n") > often))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("n") <= often), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_rows(docs: DataFrame, keep, *needed: str) -> DataFrame:
     """The rows of ``docs``, all columns, for which ``keep(*lists)`` says true.
 

@@ -10,6 +10,11 @@ Equal fingerprints are one node. A bucket yields a spanning forest of its
 links, never all its pairs. A bucket of more than ``BUCKET`` different
 fingerprints is covered a second time over the bits that its mask leaves
 free, which bounds every group at 2**15 fingerprints, whatever the data.
+
+What is said per fingerprint, bucket, hub or component is joined to its rows
+by broadcast for the keys of more than a thousandth of the rows (so at most a
+thousand keys), and by a shuffle for the others: no task gets the rows of a
+hot key.
 """
 
 from __future__ import annotations
@@ -22,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, stash
+from textmill.llm.common import fresh, prepare, stash, with_key_rows
 
 SEED = 42
 RADIUS = 3
 SHINGLE = 3
 BUCKET = 4096
-HOT = 1000
 _ALL = (1 << 64) - 1
 
 
@@ -121,7 +125,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     masks = covering_masks(list(range(64)), radius)
     keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
     sizes = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keys.join(sizes, ["t", "k"])
+    met = with_key_rows(keys, ["t", "k"], sizes, len(masks) * fps.count())
     small = met.where(F.col("n") <= bucket).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
     finer = [[m | s for s in covering_masks([p for p in range(64) if not m >> p & 1], radius)] for m in masks]
     table = F.array(*[F.array(*[F.lit(_signed(x)) for x in row]) for row in finer])
@@ -137,18 +141,18 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     step keeps a written table, and ends when a round changes nothing.
     """
     now = stash(edges.select("a", "b").where("a <> b"), "links")
-    mark = None
+    size, mark = now.count(), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("p")).distinct()
-        low = star.groupBy("u").agg(F.min("p").alias("m"))
-        small = star.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m")), F.struct(F.col("p").alias("x"), F.col("m")))).alias("e"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", "n", F.least("a", "m").alias("m"))
+        star = stash(with_key_rows(both, ["a"], least, 2 * size).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("p")).distinct(), "large")
+        low = star.groupBy("u").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_key_rows(star, ["u"], low, star.count()).select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m")), F.struct(F.col("p").alias("x"), F.col("m")))).alias("e"))
         now = stash(small.select(F.least("e.x", "e.m").alias("a"), F.greatest("e.x", "e.m").alias("b")).where("a <> b").distinct(), "stars")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        size, mark = seen[0], seen
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -161,15 +165,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFram
     each = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(links(nodes.select("fp"), radius))
-    named = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    linked = named.join(least, "root").select("fp", "least")
+    named = stash(roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first"), "members")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    linked = with_key_rows(named, ["root"], least, named.count()).select("fp", "least")
     of = stash(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("best")), "names")
-    # at most HOT fingerprints have more than 1/HOT of the rows: they are joined by broadcast, so that no task gets the rows of one of them
-    often = each.count() // HOT
-    hot = F.broadcast(of.where(F.col("n") > often).select("fp", "best"))
-    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") <= often).select("fp", "best"), "fp")
-    return each.join(hot, "fp").unionByName(rest)
+    return with_key_rows(each, ["fp"], of, each.count()).drop("n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and wordless texts have fingerprint zero and link like any other.
     Repeated rows share a fingerprint and so a component. A null doc_id is
     never a component's id; a component of null ids alone has a null id. An
-    empty table gives an empty result. Other columns are not looked at.
+    empty table gives an empty result. Very long texts are read whole; bytes
+    of malformed UTF-8 are bytes of words. Other columns are not looked at.
     """
     found = _found(docs, id_col, text_col, radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
@@ -189,8 +190,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows of one id with different texts are kept apart by the texts' hashes;
     null ids are members like others, kept where a component has no other.
-    Only what to drop is joined. Rows that repeat a kept id and text are
-    reduced to one (those rows alone are shuffled for it).
+    Null and empty texts are copies of one another; an empty table stays empty;
+    other columns may have any name. Only what to drop is joined. Rows that
+    repeat a kept id and text are reduced to one (those rows alone are shuffled
+    for it).
     """
     found = stash(_found(docs, id_col, text_col, RADIUS).select("doc_id", "key", "best"), "components")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
@@ -200,5 +203,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = found.where(same).groupBy(*names).count().where("count > 1").drop("count")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, here(repeated), "left_semi").withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
+    key = fresh("key", docs)
+    once = kept.join(repeated, here(repeated), "left_semi").withColumn(key, F.xxhash64(text_col)).dropDuplicates([id_col, key]).drop(key)
     return kept.join(repeated, here(repeated), "left_anti").unionByName(once)
