@@ -50,22 +50,59 @@ def test_against_brute_force(tables):
     assert sorted((tuple(r) for r in D.contamination(*tables).collect()), key=str) == brute(DOCS, BENCH)
 
 
-def test_shuffled_lookup(tables, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+@pytest.mark.parametrize(("anchors", "windows"), [(3, 0), (1 << 40, 0), (3, 1 << 40)])
+def test_more_windows_than_are_broadcast(tables, monkeypatch, anchors, windows):
+    """In several passes over the anchors, and with the windows shuffled."""
+    monkeypatch.setattr(D, "ANCHORS", anchors)
+    monkeypatch.setattr(D, "WINDOWS", windows)
     assert sorted((tuple(r) for r in D.contamination(*tables).collect()), key=str) == brute(DOCS, BENCH)
 
 
-def test_shuffled_words_carry_no_text(tables, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
-    _, found = D.hits(*tables)
-    joins, todo = [], [found._jdf.queryExecution().optimizedPlan()]
+def test_many_windows_and_long_texts(spark):
+    """Over 200,000 windows, by the plan that production takes then."""
+    items = spark.range(11_000).selectExpr("id AS item_id", "array_join(transform(sequence(0, 31), i -> concat('w', (id * 20 + i) % 210000)), ' ') AS text")
+    windows = D.benchmark_windows(items)[0]
+    assert windows.count() > D.WINDOWS
+    # items 0 to 999 start in the words of text 0, and items 10500 to 10999 repeat the first 500
+    # texts of 20,000 words: one follows the items' words, one jumps after every twelfth
+    docs = spark.range(2).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 19999), i -> concat('w', if(id = 0, i, i * 2 div 24 * 24 + i % 12))), ' ') AS text")
+    r = {x["doc_id"]: x for x in D.contamination(docs, items).collect()}
+    assert (r[0]["n_words"], r[0]["n_hit"], r[0]["n_items"]) == (20_000, 20_000, 1500) and r[1]["n_hit"] < 20_000
+    want = brute([(1, docs.where("doc_id = 1").first()["text"][:3000])], [(i["item_id"], i["text"]) for i in items.limit(40).collect()])
+    got = D.contamination(docs.where("doc_id = 1").selectExpr("doc_id", "substring(text, 1, 3000) AS text"), items.limit(40)).collect()
+    assert [tuple(x) for x in got] == want
+
+
+def test_no_text_is_shuffled(spark, tables, monkeypatch):
+    """Of a text, only the words around met anchors cross an exchange."""
+    monkeypatch.setattr(D, "WINDOWS", 0)
+    monkeypatch.setattr(D, "ANCHORS", 3)
+    _, found, _ = D.hits(*tables)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges, todo = [], [found._jdf.queryExecution().executedPlan()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     while todo:
         node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
-        if node.nodeName() == "Join":
-            joins.append([x.split("#")[0] for x in node.left().output().mkString(",").split(",")])
-    assert all("w" not in j for j in joins) and any("h" in j for j in joins)
+        if node.nodeName() == "Exchange":
+            exchanges.append({x.split("#")[0] for x in node.output().mkString(",").split(",")})
+    assert any("around" in x for x in exchanges) and all(not x & {"w", "text"} for x in exchanges)
+
+
+def test_a_window_of_all_items(spark):
+    """A passage that all items share is kept as one set of items."""
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(i, f"{shared} own{i} " + " ".join(f"x{i}y{j}" for j in range(15))) for i in range(300)]
+    docs = [(i, f"before {shared} after {i}") for i in range(40)] + [(99, items[7][1]), (100, "nothing")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    windows, sets = D.benchmark_windows(b)
+    assert windows.groupBy("set").count().where("count = 1").count() == 1 and sets.count() == 300 + 300
+    assert sorted(tuple(r) for r in D.contamination(d, b).collect()) == sorted(brute(docs, items))
 
 
 def test_empty(tables, odd, none):

@@ -1,12 +1,18 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-The set of benchmark windows is keyed by the hash of one pair of neighbouring
-words of each window, its anchor: the longest pair, which is the most telling.
-The pairs of a training text are hashed once and looked up in that set by a
-broadcast hash join (an ordinary join if the set is larger than
-``BROADCAST_WINDOWS``); where an anchor is met, the whole window around it is
-compared word by word. Every occurrence of a window contains its anchor, so
-none is missed. Only verified hits are shuffled.
+Each benchmark window is keyed by the hash of one pair of neighbouring words of
+it, its anchor: the longest pair, which is the most telling. The pairs of a
+training text are hashed once and looked up in the broadcast set of anchors
+(of a set of more than ``ANCHORS``, in as many passes over the texts as there
+are parts of it). A word pair that is met takes the few words around it to the
+windows of its anchor, where the whole window is compared word by word. Every
+occurrence of a window contains its anchor, so none is missed. No text is
+shuffled, only met pairs with their words; the windows are broadcast up to
+``WINDOWS`` of them, else met by a shuffle join.
+
+What items a window is in is kept once for each different set of items; a text
+carries the sets' hashes, and each different collection of sets is resolved to
+item ids once, however many texts have it.
 """
 
 from __future__ import annotations
@@ -14,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.common import stash, with_key_rows
+
 N = 13
-#: Benchmark windows that may be broadcast (about 0.2 KB each).
-BROADCAST_WINDOWS = 200_000
+#: Anchors that a pass broadcasts (about 32 bytes each), and benchmark windows
+#: that may be broadcast (about 0.2 KB each).
+ANCHORS, WINDOWS = 2_000_000, 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -48,27 +57,27 @@ def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """gram, items, h, off: the different windows with the items they are in,
-    and the hash and place of their anchor (of a single word: the word)."""
-    b = _once(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "w", words(F.col("text")), "item_id")
-    b = b.where(F.size("w") > 0).select("item_id", "w", F.least(F.lit(n), F.size("w")).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))).alias("at"))
-    b = _once(b, "gram", F.slice("w", F.col("at"), F.col("size")), "item_id").groupBy("gram").agg(F.collect_set("item_id").alias("items"))
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
+    """(windows, sets). windows: gram, h, off, set: the different windows with
+    the hash and place of their anchor (of a single word: the word) and the
+    set of items they are in. sets: set and item, a row for each item of a
+    set, as text."""
+    b = _once(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")), "w", words(F.col("text")), "item")
+    b = b.where(F.size("w") > 0).select("item", "w", F.least(F.lit(n), F.size("w")).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))).alias("at"))
+    b = _once(b, "gram", F.slice("w", F.col("at"), F.col("size")), "item").groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
     follow = lambda i: F.coalesce(F.get("gram", i + 1), F.lit(""))
     heads = F.slice("gram", 1, F.greatest(F.lit(1), F.size("gram") - 1))
     anchor = F.array_max(F.transform(heads, lambda w, i: F.struct((F.length(w) + F.length(follow(i))).alias("n"), w.alias("w"), follow(i).alias("v"), i.alias("i"))))
-    return _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w", "a.v").alias("h"), F.col("a.i").alias("off"))
+    b = _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w", "a.v").alias("h"), F.col("a.i").alias("off"))
+    b = stash(b.withColumn("set", F.sha2(F.concat_ws(",", "items"), 256)), "windows")
+    return b.drop("items"), b.dropDuplicates(["set"]).select("set", F.explode("items").alias("item"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows has id, key (hash of the text) and n_words of every
-    row; found has, per id and key, its spans (first word, words) and the
-    sorted item ids, for the texts that any window occurs in."""
-    lookup = benchmark_windows(benchmark, n=n)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = base.select("doc_id", F.xxhash64("text").alias("key"), n_words(F.col("text")).alias("n_words"))
-    w = _once(base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text")), "w", words(F.col("text")), "doc_id", "key")
-    known = lookup.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("gram") == 1).alias("single")).first()
+def _met(w: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """doc_id, key, place, start, around, h: the word pairs (of windows of a
+    single word: the words) that are anchors, with the words around them from
+    ``start`` on. w: doc_id, key, w."""
+    known = windows.agg(F.countDistinct("h").alias("anchors"), F.count_if(F.size("gram") == 1).alias("single")).first()
     keys = F.transform("w", lambda x, i: F.xxhash64(x, F.coalesce(F.get("w", i + 1), F.lit(""))))
     if known["single"]:
         keys = F.concat(keys, F.transform("w", lambda x: F.xxhash64(x, F.lit(""))))
@@ -76,18 +85,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     each = _once(w, "keys", keys, "doc_id", "key", "w").select("doc_id", "key", "w", F.posexplode("keys").alias("place", "h"))
     if known["single"]:
         each = each.withColumn("place", F.col("place") % F.size("w"))
-    if known["n"] <= BROADCAST_WINDOWS:
-        met = each.join(F.broadcast(lookup), "h")
-    else:  # the shuffled words have no text beside them; texts with candidates are met again, each once
-        met = each.select("doc_id", "key", "place", "h").join(lookup, "h").groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "off", "gram", "items")).alias("c"))
-        met = met.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "c")
-        texts = base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text"))
-        texts = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-        met = _once(texts, "w", words(F.col("text")), "doc_id", "key", "c").select("doc_id", "key", "w", F.inline("c"))
-    found = met.where((F.col("place") >= F.col("off")) & (F.slice("w", F.col("place") - F.col("off") + 1, F.size("gram")) == F.col("gram")))
-    found = found.select("doc_id", "key", F.struct((F.col("place") - F.col("off")).alias("at"), F.size("gram").alias("size")).alias("span"), "items")
-    found = found.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return rows, found
+    passes = max(1, -(-known["anchors"] // ANCHORS))
+    part = lambda df, i: df if passes == 1 else df.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == i)
+    met = None
+    for i in range(passes):
+        own = part(each, i).join(F.broadcast(part(windows.select("h").distinct(), i)), "h", "left_semi")
+        met = own if met is None else met.unionByName(own)
+    start = F.greatest(F.lit(0), F.col("place") - (n - 2))
+    return met.select("doc_id", "key", "h", "place", start.alias("start"), F.slice("w", start + 1, F.col("place") - start + n).alias("around"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, found, sets): rows has id, key (hash of the text) and n_words of
+    every row; found has, per id and key, the spans (first word, words) and the
+    sorted sets of items of the windows that occur in the text; sets has the
+    items of each set."""
+    windows, sets = benchmark_windows(benchmark, n=n)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = base.select("doc_id", F.xxhash64("text").alias("key"), n_words(F.col("text")).alias("n_words"))
+    w = _once(base.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text")), "w", words(F.col("text")), "doc_id", "key")
+    few = windows.count() <= WINDOWS
+    met = _met(w, windows, n).join(F.broadcast(windows) if few else windows, "h")
+    at = F.col("place") - F.col("off")
+    found = met.where((at >= 0) & (F.slice("around", at - F.col("start") + 1, F.size("gram")) == F.col("gram")))
+    found = found.select("doc_id", "key", F.struct(at.alias("at"), F.size("gram").alias("size")).alias("span"), "set")
+    return rows, found.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("set")).alias("sets")), sets
 
 
 def covered(spans: str) -> Column:
@@ -104,26 +126,23 @@ def covered(spans: str) -> Column:
     return fold["n"]
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    rows, found = hits(docs, benchmark, id_col, text_col, n)
-    found = found.select(
-        F.col("doc_id").alias("_id"),
-        F.col("key").alias("_key"),
-        covered("spans").alias("hit"),
-        F.size("items").cast("long").alias("items"),
-        F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string")))).alias("ids"),
-    )
+def _counted(rows: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """doc_id, key, n_words, n_hit, contaminated per row, and more columns of
+    found."""
+    found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered("spans").alias("hit"), *more)
     j = rows.join(found, rows.doc_id.eqNullSafe(found["_id"]) & rows.key.eqNullSafe(found["_key"]), "left")
     hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return j.select(
-        "doc_id",
-        "key",
-        "n_words",
-        hit.alias("n_hit"),
-        F.coalesce("items", F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    return j.select("doc_id", "key", "n_words", hit.alias("n_hit"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), *more)
+
+
+def _with_items(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """found with n_items and ids (the sorted items, joined)."""
+    found = stash(found.withColumn("which", F.sha2(F.concat_ws(",", "sets"), 256)), "found")
+    kinds = found.groupBy("which").agg(F.count(F.lit(1)).alias("n"), F.first("sets").alias("sets"))
+    items = kinds.select("which", "n", F.explode("sets").alias("set")).join(sets, "set").groupBy("which").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("item")).alias("items"))
+    items = items.select("which", "n", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    none = kinds.join(items.select("which"), "which", "left_anti").select("which", "n", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))  # items without an id
+    return with_key_rows(found, ["which"], items.unionByName(none), found.count())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -131,23 +150,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null, empty and wordless texts have no words and are clean, with the hash
     of the empty string. Items without words have no window; an empty
-    benchmark leaves every text clean. Repeated rows give equal rows; rows of
-    one id with different texts are kept apart by the texts' hashes. Other
-    columns are not looked at.
+    benchmark leaves every text clean, an empty table of documents gives an
+    empty result. Very long texts are read whole. Malformed UTF-8 is word
+    characters. Repeated rows give equal rows; rows of one id with different
+    texts are kept apart by the texts' hashes. Other columns are not looked at.
     """
-    return _judged(docs, benchmark, id_col, text_col, n).drop("key")
+    rows, found, sets = hits(docs, benchmark, id_col, text_col, n)
+    j = _counted(rows, _with_items(found, sets), "n_items", "items_sha256")
+    return j.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), "contaminated")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = _judged(docs, benchmark, id_col, text_col, n).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    Null, empty and wordless texts stay, as does every text where there is no
+    benchmark; repeated rows go or stay together; an empty table stays empty.
+    """
+    rows, found, _ = hits(docs, benchmark, id_col, text_col, n)
+    bad = _counted(rows, found).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(bad["_key"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """doc_id, text: the hit words cut from each text (with what stands
     between two cut words), every other character kept."""
-    _, found = hits(docs, benchmark, id_col, text_col, n)
+    _, found, _ = hits(docs, benchmark, id_col, text_col, n)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     f = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))).alias("cut"))
     j = base.join(f, base.doc_id.eqNullSafe(f["_id"]) & base.key.eqNullSafe(f["_key"]), "left")
