@@ -1,6 +1,7 @@
 """Held-out accuracy and odd inputs of the trained operators."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -209,65 +210,109 @@ def test_toxicity_odd(odd, none, no_labels, spark):
     assert toxicity.toxicity(odd, labels).count() == odd.count() and toxicity.toxicity(none, labels).count() == 0
 
 
-def kneser_ney(texts):
+class KneserNey:
     """The estimate by its definition, over dicts."""
-    from collections import Counter, defaultdict
 
-    tri = Counter()
-    for t in texts:
-        w = ["<s>", "<s>", *t, "</s>"]
-        tri.update(zip(w, w[1:], w[2:], strict=False))
-    left2 = defaultdict(set)
-    for a, b, c in tri:
-        left2[b, c].add(a)
-    bi = {k: len(v) for k, v in left2.items()}
-    for b, c in bi:
-        if b == "<s>":
-            bi[b, c] = sum(n for (x, y, z), n in tri.items() if (y, z) == (b, c))
-    left1 = defaultdict(set)
-    for b, c in bi:
-        left1[c].add(b)
-    uni = {k: len(v) for k, v in left1.items()}
-
-    def disc(counts):
-        return perplexity._discounts(np.array(list(counts.values())))
-
-    d1, d2, d3 = disc(uni), disc(bi), disc(tri)
-    size = len({w for t in texts for w in t}) + 2
-
-    def p1(c):
-        total = sum(uni.values())
-        return (max(0, uni.get(c, 0) - d1[min(uni.get(c, 0), 3)]) + sum(d1[min(n, 3)] for n in uni.values()) / size) / total
-
-    def p2(b, c):
-        h = {k: n for k, n in bi.items() if k[0] == b}
-        if not h:
-            return p1(c)
-        s, n = sum(h.values()), h.get((b, c), 0)
-        return (max(0, n - d2[min(n, 3)]) + sum(d2[min(x, 3)] for x in h.values()) * p1(c)) / s
-
-    def p3(a, b, c):
-        h = {k: n for k, n in tri.items() if k[:2] == (a, b)}
-        if not h:
-            return p2(b, c)
-        s, n = sum(h.values()), h.get((a, b, c), 0)
-        return (max(0, n - d3[min(n, 3)]) + sum(d3[min(x, 3)] for x in h.values()) * p2(b, c)) / s
-
-    return p3
-
-
-def test_kneser_ney(make):
-    texts = ["a b c a b d", "a b c", "b a b c d d", "c a", "a b", "d", "a b c a b d e f g", "", "x y z a b"]
-    m = perplexity.train(make(texts).selectExpr("cast(text as binary) as text"))
-    p3 = kneser_ney([t.split() for t in texts])
-    for t in [*texts, "a q b", "q", "b c a b z"]:
-        known = {w for x in texts for w in x.split()}
-        w = ["<s>", "<s>", *[x if x in known else "<?>" for x in t.split()], "</s>"]
-        want = -sum(np.log10(p3(*g)) for g in zip(w, w[1:], w[2:], strict=False))
-        assert m.loss(t.encode())[0] == pytest.approx(want, rel=1e-9), t
-    vocab = [*{w for x in texts for w in x.split()}, "</s>", "<?>"]
-    for h in (("a", "b"), ("<s>", "<s>"), ("q", "q")):
-        assert sum(p3(*h, c) for c in vocab) == pytest.approx(1)
+    def __init__(self, texts, vocabulary=None):
+        """texts: lists of words; words beyond the vocabulary are one."""
+        self.known = {w for t in texts for w in t} if vocabulary is None else vocabulary
+        tri = Counter(g for t in texts for g in self.triples(t))
+        bi = Counter((b, c) for _, b, c in tri)
+        for b, c in bi:
+            if b == "<s>":
+                bi[b, c] = sum(n for (_, y, z), n in tri.items() if (y, z) == (b, c))
+        uni = Counter(c for _, c in bi)
+        self.counts = {1: {(c,): n for c, n in uni.items()}, 2: dict(bi), 3: dict(tri)}
+        self.size = len(self.known) + 2
+        self.d = {k: perplexity.discounts(Counter(v.values())) for k, v in self.counts.items()}
+        self.sums = {k: Counter() for k in (1, 2, 3)}
+        self.left = {k: Counter() for k in (1, 2, 3)}
+        for k, v in self.counts.items():
+            for g, n in v.items():
+                self.sums[k][g[:-1]] += n
+                self.left[k][g[:-1]] += self.d[k][min(n, 3)]
+
+    def triples(self, words):
+        w = ["<s>", "<s>", *[x if x in self.known else "<?>" for x in words], "</s>"]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    def p(self, *gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / self.size
+        lower = self.p(*gram[1:])
+        if not self.sums[k][gram[:-1]]:
+            return lower
+        n = self.counts[k].get(gram, 0)
+        return (max(0, n - self.d[k][min(n, 3)]) + self.left[k][gram[:-1]] * lower) / self.sums[k][gram[:-1]]
+
+    def loss(self, text):
+        return -sum(np.log10(self.p(*g)) for g in self.triples(text.encode().lower().split()))
+
+
+SHORT = ["a b c a b d", "a b c", "b a b c d d", "c a", "a b", "d", "a b c a b d e f g", "", "x y z a b"]
+
+
+@pytest.mark.parametrize(("head", "vocabulary", "chunk"), [(0, 1 << 20, 10), (6, 1 << 20, 1 << 20), (1 << 20, 1 << 20, 3), (6, 3 + 5, 7)])
+def test_kneser_ney(make, monkeypatch, head, vocabulary, chunk):
+    """All grams in the shards, some, none; and words beyond the vocabulary."""
+    for name, value in (("HEAD_GRAMS", head), ("VOCABULARY", vocabulary), ("CHUNK", chunk)):
+        monkeypatch.setattr(perplexity, name, value)
+    as_bytes = lambda texts: make(texts).selectExpr("doc_id", "cast(text as binary) as text")
+    m = perplexity.train(as_bytes(SHORT).select("text"))
+    split = [t.encode().split() for t in SHORT]
+    kn = KneserNey(split, set(m.head.value.ids))
+    assert len(m.head.value.ids) == min(10, vocabulary - 3) and (m.others.count() > 0) == (head < 100)
+    asked = [*SHORT, "a q b", "q", "b c a b z", "x a a a a", None]
+    got = {r["doc_id"]: r for r in perplexity.losses(as_bytes(asked), m).collect()}
+    for i, t in enumerate(asked):
+        assert got[i]["total"] == pytest.approx(kn.loss(t or ""), rel=1e-9) and got[i]["n_tokens"] == len((t or "").split()) + 1, t
+    for h in ((b"a", b"b"), ("<s>", "<s>"), (b"q", b"q")):
+        assert sum(kn.p(*h, c) for c in [*kn.known, "</s>", "<?>"]) == pytest.approx(1)
+
+
+def test_bloom(spark):
+    """No gram is lost; few others pass, also where bits are scarce."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 20_000))
+    f = perplexity.bloom(spark.createDataFrame([(int(k),) for k in keys], "g long"), len(keys))
+    other = rng.integers(-(1 << 62), 1 << 62, 20_000)
+    assert perplexity.may_have(f, keys).all() and perplexity.may_have(f, other).mean() < 0.02
+    assert not perplexity.may_have(perplexity.bloom(spark.createDataFrame([], "g long"), 0), other).any()
+
+
+def brute_quality(docs, labels):
+    """doc_id, text, lang -> verdict: the model by its definition, trained on
+    the operator's own sample, and limits of unseen trusted texts by numpy."""
+    base = docs.selectExpr("doc_id", "cast(text as binary) as text", "lang")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    sample, trains = perplexity.trusted_sample(base, good, perplexity.TRUSTED_ROWS)
+    kn = KneserNey([bytes(r["text"] or b"").lower().split() for r in sample.collect()])
+    trusted = {r["doc_id"] for r in good.collect()}
+    train = {r["doc_id"] for r in base.where(trains).select("doc_id").collect()}
+    lost = {(r["doc_id"], r["text"], r["lang"]): (kn.loss(r["text"] or ""), len((r["text"] or "").encode().split()) + 1) for r in docs.collect()}
+    seen = {None: [x / n for (i, _, _), (x, n) in lost.items() if i in trusted and i not in train]}
+    for (i, _, g), (x, n) in lost.items():
+        if g is not None and i in trusted and i not in train:
+            seen.setdefault(g, []).append(x / n)
+    limits = {g: np.quantile(v, [0.5, perplexity.QUANTILE]) for g, v in seen.items() if len(v) >= (perplexity.LEAST_TEXTS if g else 1)}
+    out = {}
+    for row, (x, n) in lost.items():
+        mid, high = limits.get(row[2], limits.get(None, (0.0, np.inf)))
+        out[row] = (x + perplexity.PRIOR * mid) / (n + perplexity.PRIOR) <= (high + perplexity.SLACK * (high - mid) if np.isfinite(high) else np.inf)
+    return out, lost
+
+
+def test_quality_against_brute_force(spark, small, monkeypatch):
+    """Losses and verdicts, with nearly all grams in the shards."""
+    monkeypatch.setattr(perplexity, "HEAD_GRAMS", 50)
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    want, lost = brute_quality(docs, labels)
+    got = {r["doc_id"]: r for r in perplexity.quality(docs, labels).collect()}
+    for (i, text, lang), kept in want.items():
+        x, n = lost[i, text, lang]
+        assert got[i]["kept"] == kept and got[i]["n_tokens"] == n and got[i]["perplexity"] == pytest.approx(10 ** (x / n), rel=1e-6)
+    assert sorted(r["doc_id"] for r in perplexity.keep_good(docs, labels).collect()) == sorted(k[0] for k, v in want.items() if v)
 
 
 def test_quality(tables):
@@ -280,9 +325,11 @@ def test_quality(tables):
 
 
 def test_quality_odd(odd, none, no_labels, spark):
-    assert all(x["kept"] for x in perplexity.quality(odd, no_labels).collect())
+    assert all(x["kept"] for x in perplexity.quality(odd, no_labels).collect()) and perplexity.keep_good(odd, no_labels).count() == odd.count()
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    assert perplexity.quality(odd, labels).count() == odd.count() and perplexity.quality(none, labels).count() == 0
+    r = perplexity.quality(odd, labels).collect()
+    assert len(r) == odd.count() and {x["n_tokens"] for x in r if x["doc_id"] in (0, 1, 2)} == {1} and {x["n_tokens"] for x in r if x["doc_id"] == 3} == {60_001}
+    assert perplexity.quality(none, labels).count() == 0 and perplexity.keep_good(none, labels).count() == 0
 
 
 def test_quantiles(spark):
@@ -302,13 +349,15 @@ def test_quality_of_a_small_language(spark):
     make = lambda g, n: [(g, " ".join(f"{g}{i}" for i in rng.integers(0, 50, 12))) for _ in range(n)]
     rows = [(i, t, g) for i, (g, t) in enumerate(make("aa", 29_700) + make("bb", 300))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    j = perplexity.fitted(docs, docs.selectExpr("doc_id", "1 as quality"))
-    assert set(j.by) == {"aa", "bb"} and sum(w.startswith(b"bb") for w in j.model.ids) == 50
-    kept = perplexity.quality(docs, docs.selectExpr("doc_id", "1 as quality")).where("lang = 'bb'")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    sample, _ = perplexity.trusted_sample(docs.selectExpr("doc_id", "cast(text as binary) as text", "lang"), labels, perplexity.TRUSTED_ROWS)
+    texts = [bytes(r["text"]) for r in sample.collect()]
+    assert len({w for t in texts if t.startswith(b"bb") for w in t.split()}) == 50 and 3000 < len(texts) < 5000
+    kept = perplexity.quality(docs, labels).where("lang = 'bb'")
     assert kept.where("kept").count() >= 297 and kept.select("threshold").distinct().count() == 1
 
 
 def test_discounts_leave_weight():
     """More fours than threes would give a discount below zero."""
-    d = perplexity._discounts(np.array([1] * 10 + [2] * 5 + [3] + [4] * 9))
-    assert d[0] == 0 and (d[1:] > 0).all()
+    d = perplexity.discounts({1: 10, 2: 5, 3: 1, 4: 9})
+    assert d[0] == 0 and all(x > 0 for x in d[1:])

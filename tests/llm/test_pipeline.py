@@ -2,9 +2,10 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.test_decontaminate import brute as contaminated
+from tests.llm.test_models import brute_quality
 from tests.llm.test_near_dedup import brute_components, brute_fingerprint
 from tests.llm.test_packing import check
-from textmill.llm import perplexity, toxicity
+from textmill.llm import toxicity
 
 
 def test_stages():
@@ -13,7 +14,7 @@ def test_stages():
 
 def test_against_brute_force(spark, small, tmp_path):
     """Each stage, on what its predecessor kept, against a plain version: the
-    models' own verdicts row by row, the rest by brute force."""
+    toxicity model's own scores row by row, the rest by brute force."""
     read = lambda t: spark.read.parquet(f"{small}/{t}.parquet")
     docs, labels = read("documents"), read("labels")
     bench = [(r["item_id"], r["text"]) for r in read("benchmark").collect()]
@@ -23,8 +24,7 @@ def test_against_brute_force(spark, small, tmp_path):
             m = toxicity.fitted(docs, labels)
             want = {k for k, r in before.items() if m.score(r["text"].encode()) < 0.7}
         elif name == "quality":
-            j = perplexity.fitted(docs, labels)
-            want = {k for k, r in before.items() if j.judge(r["text"].encode(), r["lang"])[3]}
+            want = {k[0] for k, kept in brute_quality(docs, labels)[0].items() if kept}
         elif name == "near_dedup":
             want = set(brute_components(list(before), [brute_fingerprint(r["text"]) for r in before.values()]))
         elif name == "decontamination":
