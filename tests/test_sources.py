@@ -56,6 +56,33 @@ def test_dbf(spark, tmp_path):
     assert r[0][:3] == ("12", "2024-01-15", "True") and r[0][3].startswith("Memo text") and r[1] == ("1.5", "", "False", "x" * 512 + "y") and r[2] == ("", "", "", "")
 
 
+@pytest.mark.parametrize(("raw", "kind", "want"), [(b"9007199254740993", "N", "9007199254740993"), (b"   1e5", "N", "1e5"), (b" 1.50 ", "N", "1.5"), (b"-007", "N", "-7"), (b"  ab  ", "C", "  ab"), (b"  1.50 ", "F", "  1.50"), (b"x.y", "N", "x.y"), (b"    ", "N", "")])
+def test_dbf_fields(raw, kind, want):
+    """Long integers keep their digits, and blanks before a text stay."""
+    assert dbf.field_text(raw, kind) == want
+
+
+def test_dbf_writer(spark, tmp_path):
+    rows = [("  a", "12", "lang " * 300, "20240115"), ("", "", "", "")]
+    dbf.write(str(tmp_path / "w.dbf"), [("C", "C", 5), ("N", "N", 4), ("M", "M", 10), ("D", "D", 8)], rows, str(tmp_path / "w.dbt"))
+    dbf.register(spark)
+    got = [tuple(r) for r in spark.read.format("dbf").option("memo", str(tmp_path / "w.dbt")).load(str(tmp_path / "w.dbf")).collect()]
+    assert got == [("  a", "12", ("lang " * 300).strip(), "2024-01-15"), ("", "", "", "")]
+
+
+def test_lexical_index(spark, tmp_path):
+    from textmill.operators import retrieve
+
+    d = spark.createDataFrame([(1, "rot blau"), (2, "blau gelb gelb"), (3, "")], "id long, text string")
+    path = str(tmp_path / "i")
+    assert sinks.read_lexical_index(spark, path) is None
+    sinks.write_lexical_index(retrieve.bm25_index(d, "text"), path)
+    q = spark.createDataFrame([(1, "gelb")], "query_id long, query string")
+    assert [r["id"] for r in retrieve.bm25_search(q, sinks.read_lexical_index(spark, path)).collect()] == [2]
+    with pytest.raises(ValueError, match="more than 2"):
+        sinks.markdown(d, most=2)
+
+
 def test_tickets(spark):
     cols = list(files.TICKET_COLUMNS)
     rows = [("1", "K", "1", "2", "Titel", "1", "Fehler &amp; mehr", "Antwort\nMit freundlichen Grüssen\nX", "1000", "2024-01-15T00"), ("2", "K", "1", "2", "T", "999", "F", "  ", "999", ""), ("3", "K", "1", "2", "T", "2", "F", "ok", "7", None)]

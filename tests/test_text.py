@@ -114,3 +114,20 @@ def test_windows(spark):
     assert one(spark, None, windows(WORDS.split(T), 2, 1)) == []
     text = "  x y\nz  "
     assert "".join(one(spark, text, WORDS.split(T))) == text
+
+
+def test_byte_pair_tokens(spark, tmp_path):
+    """Joined tokens give the text back, also where a character is cut."""
+    import base64
+
+    from pyspark.sql import functions as F
+
+    from textmill.functions.tokens import tiktoken_tokenizer
+
+    ranks = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(ranks)))
+    tok = tiktoken_tokenizer(str(path), r"\S+|\s+")
+    for t, n in (("abc ab ä€😀", 4 + 2 + 3 + 4), ("", 0)):
+        r = spark.createDataFrame([(t,)], "t string").select(tok.split(F.col("t")).alias("x"), tok.count(F.col("t")).alias("n")).first()
+        assert "".join(r["x"]) == t and r["n"] == n == len(r["x"])

@@ -8,9 +8,12 @@ column to an array of token texts, one to their number.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,21 +32,36 @@ WORDS = Tokenizer(lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")),
 
 
 def tiktoken_tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
-    """Byte-pair tokens of a rank file ("base64 rank" lines), by an Arrow UDF."""
-    import pandas as pd
+    """Byte-pair tokens of a rank file ("base64 rank" lines), by an Arrow UDF.
+
+    Joined tokens give the text back: a character whose bytes are dealt to
+    several tokens is in the text of the one that ends it, and the others have
+    what is whole before it. The number of tokens is exact.
+    """
 
     @F.pandas_udf("array<string>")
     def split(text: pd.Series) -> pd.Series:
-        import base64
+        enc = _ranked(ranks_path, pattern)
+        return text.map(lambda t: _token_texts([enc.decode_single_token_bytes(i) for i in enc.encode_ordinary(t or "")]))
+
+    return Tokenizer(lambda text: split(text))
 
-        import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return text.map(lambda t: [enc.decode([i]) for i in enc.encode_ordinary(t or "")])
+@cache
+def _ranked(path: str, pattern: str):
+    """One encoding for each rank file and worker process."""
+    import base64
 
-    return Tokenizer(lambda text: split(text))
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _token_texts(tokens: list[bytes]) -> list[str]:
+    whole = codecs.getincrementaldecoder("utf-8")("replace")
+    return [whole.decode(t) for t in tokens]
 
 
 def n_windows(n: Column, size: int, overlap: int) -> Column:

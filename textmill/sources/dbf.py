@@ -48,14 +48,12 @@ class Layout:
 
 
 def number_text(text: str) -> str:
-    """A number field's text: integers plainly, others without end zeros."""
-    if not text:
-        return ""
+    """A number field's text: integers of any length plainly, those with a
+    point without end zeros; what is no number stays."""
     try:
-        v = float(text)
+        return str(float(text) if "." in text else int(text))
     except ValueError:
         return text
-    return str(int(v)) if v.is_integer() and "." not in text else str(v)
 
 
 def memo_text(memo, block: int, encoding: str) -> str:
@@ -73,8 +71,9 @@ def memo_text(memo, block: int, encoding: str) -> str:
 
 
 def field_text(raw: bytes, kind: str, memo=None, encoding: str = "cp850") -> str:
-    text = raw.decode(encoding, "replace").strip().strip("\0").strip()
-    if kind in "NF":
+    whole = raw.decode(encoding, "replace")
+    text = whole.strip()
+    if kind == "N":
         return number_text(text)
     if kind == "D":
         return f"{text[:4]}-{text[4:6]}-{text[6:8]}" if len(text) == 8 and text.isdigit() else ""
@@ -82,7 +81,7 @@ def field_text(raw: bytes, kind: str, memo=None, encoding: str = "cp850") -> str
         return "True" if text.upper() in ("T", "Y") else "False" if text.upper() in ("F", "N") else ""
     if kind == "M":
         return memo_text(memo, int(text) if text.isdigit() else 0, encoding)
-    return text
+    return whole.rstrip()  # blanks before a text are part of it
 
 
 class _Range(InputPartition):
@@ -128,6 +127,27 @@ class DbfSource(DataSource):
         return DbfReader(self.options)
 
 
+def write(path: str, fields: list[tuple[str, str, int]], rows: list[tuple[str, ...]], memo: str = "", encoding: str = "cp850") -> None:
+    """A small table (fixtures, exports of a sample): (name, kind, width) per
+    field; texts of kind M go to the memo file."""
+    blocks, body = [b""], []
+    for row in rows:
+        record = b" "
+        for text, (_, kind, width) in zip(row, fields, strict=True):
+            if kind == "M" and text:
+                raw = text.encode(encoding, "replace") + bytes([MEMO_END])
+                text, size = str(len(blocks)), -(-len(raw) // MEMO_BLOCK)
+                blocks += [raw[i * MEMO_BLOCK : (i + 1) * MEMO_BLOCK] for i in range(size)]
+            record += text.encode(encoding, "replace")[:width].ljust(width)
+        body.append(record)
+    head = struct.pack("<B3sIHH20s", 3, b"\0\0\0", len(rows), 32 + 32 * len(fields) + 1, 1 + sum(w for _, _, w in fields), b"")
+    with open(path, "wb") as f:
+        f.write(head + b"".join(struct.pack("<11sc4xB15x", n.encode(), k.encode(), w) for n, k, w in fields) + bytes([HEADER_END]) + b"".join(body))
+    if memo:
+        with open(memo, "wb") as f:
+            f.write(b"".join(b.ljust(MEMO_BLOCK, b"\0") for b in blocks))
+
+
 def register(spark: SparkSession) -> None:
     reach(spark)
     spark.dataSource.register(DbfSource)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from zlib import crc32
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import slug
@@ -32,11 +34,19 @@ def write_lexical_index(index: dict[str, DataFrame], path: str, buckets: int = 0
     ``buckets`` the postings become a table bucketed by term."""
     for name, df in index.items():
         if buckets and name == "postings":
-            df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", f"{path}/{name}").saveAsTable(f"postings_{abs(hash(path))}")
+            df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", f"{path}/{name}").saveAsTable(f"postings_{crc32(path.encode()):08x}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def read_lexical_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The index that ``write_lexical_index`` has written; None without one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")}
+
+
 def append_cache(df: DataFrame, path: str) -> None:
     """Adds newly computed entries; a run that stops keeps what it has."""
     df.write.mode("append").json(path)
@@ -67,8 +77,11 @@ def backup_once(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A small aggregate as a Markdown table; nulls are dashes."""
+    """A small aggregate as a Markdown table; nulls are dashes. A table of
+    more than ``most`` rows is no report and raises."""
     show = lambda v: "–" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
