@@ -117,6 +117,9 @@ def test_profile(spark):
     assert {x["bucket"]: x["n"] for x in P.image_sizes(images).collect()} == {"<100": 1, "100-299": 1, ">=800": 1}
     assert P.images_per_page(images).count() == 2
     assert [r["id"] for r in P.systematic_sample(spark.range(10), ["id"], 3).collect()] == [0, 3, 6]
+    many = spark.range(5003).selectExpr("id % 7 AS a", "5003 - id AS b").repartition(5)
+    want = sorted((i % 7, 5003 - i) for i in range(5003))[:: 5003 // 40][:40]
+    assert [tuple(r) for r in P.systematic_sample(many, ["a", "b"], 40).collect()] == want and P.systematic_sample(many.limit(0), ["a"], 3).count() == 0
     assert tuple(P.completeness(t, ["text"]).first()) == (5, 1)
     s = spark.createDataFrame([(0,), (86400,), (259200,)], "s long")
     assert tuple(P.time_span(s, "s").first()) == ("1970-01-02", "1970-01-04", 2)

@@ -108,12 +108,32 @@ def images_per_page(images: DataFrame) -> DataFrame:
     return images.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Ranges that ``systematic_sample`` deals rows to.
+RANGES = 64
+
+
 def systematic_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Every (rows // n)-th row in order, the first n of them. For reports on
-    one document's images; the rows are numbered in one place."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
-    return numbered.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).drop("_i", "_n")
+    """Every (rows // n)-th row in order, the first n of them, in order.
+
+    The rows are dealt by ranges, whose bounds come from a sample. A row's
+    number is its place in its range and the sizes of the ranges before, so no
+    task numbers all rows.
+    """
+    total = df.count()
+    if not total:
+        return df.limit(0)
+    row = lambda *cs: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cs)])
+    drawn = df.select(*order).sample(min(1.0, 64 * RANGES / total), seed=42).sort(*order).collect()
+    bounds = drawn[:: max(1, -(-len(drawn) // RANGES))][1:]
+    at = sum((F.when(row(*map(F.col, order)) >= row(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, b, strict=True)]), 1).otherwise(0) for b in bounds), F.lit(0))
+    ranged = df.withColumn("_range", at)
+    before, seen = {}, 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        before[r["_range"]], seen = seen, seen + r["count"]
+    start = F.element_at(F.create_map(*[F.lit(v) for r in before.items() for v in r]), F.col("_range"))
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + start)
+    step = max(1, total // n)
+    return numbered.where((F.col("_i") % step == 0) & (F.col("_i") < n * step)).drop("_i", "_range").orderBy(*order)
 
 
 def text_faults(df: DataFrame, text: str, subject: str | None = None) -> DataFrame:
