@@ -186,14 +186,24 @@ def section_page_lookup(spark, sf_dir):
     return s.select("doc_id", "title", F.col("s.start").alias("page_start"), F.col("s.end").alias("page_end"))
 
 
+#: Pages of documents as chunks of their source: within the limit whole, else
+#: in windows; n counts the chunks of the document before the page.
+_PAGED = rf"""
+l AS (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS page, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
+t AS (SELECT doc_id, source, page, {TOKENS.format(STRIP.format("line"))} AS t, {STRIP.format("line")} AS text FROM l WHERE {STRIP.format("line")} <> ''),
+c AS (SELECT *, len(t) > 2000 AS cut, CASE WHEN len(t) <= 2000 THEN 1 ELSE 1 + ceil((len(t) - 1500) / 1400.0)::BIGINT END AS parts FROM t),
+s AS (SELECT *, coalesce(sum(parts) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
+chunks AS (SELECT doc_id, source, cut, page, start + i AS n, CASE WHEN cut THEN array_to_string(list_slice(t, i * 1400 + 1, i * 1400 + 1500), '') ELSE text END AS text FROM (SELECT *, unnest(range(parts)) AS i FROM s))
+"""
+
+
 @query(rf"""
-SELECT 'schulungsunterlage__' || doc_id || '_page_' || lpad(i::VARCHAR, 4, '0') AS id, 'file ' || source AS doc_title, '' AS module_filename
-FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))
-WHERE {STRIP.format("l[i]")} <> '' AND len({TOKENS.format(STRIP.format("l[i]"))}) <= 2000
+WITH {_PAGED}
+SELECT 'schulungsunterlage__' || doc_id || '_page_' || lpad(page::VARCHAR, 4, '0') || CASE WHEN cut THEN '_recursive_' || lpad(n::BIGINT::VARCHAR, 4, '0') ELSE '' END AS id, 'file ' || source AS doc_title, '' AS module_filename FROM chunks
 """)
 def chunk_metadata(spark, sf_dir):
     g = gold(spark, sf_dir, "schulungsunterlage")
-    return enrich.with_metadata(chunk.v1(g), g).where("chunking_strategy = 'page'").select("id", "doc_title", "module_filename")
+    return enrich.with_metadata(chunk.v1(g), g).select("id", "doc_title", "module_filename")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -211,13 +221,26 @@ def keyword_quality_gate(spark, sf_dir):
     return enrich.few_keyword_rate(table(spark, sf_dir, "documents").select(ks.alias("keyword_list")))
 
 
-@query()
-def keywords_offline(spark, sf_dir):
+#: The stand-in provider's eight most frequent words of four letters and more
+#: among a text's first 2,000 tokens, as a list.
+KEYWORDS = rf"""
+kw AS (SELECT doc_id, count(*) AS n, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(array_to_string(list_slice({TOKENS.format("coalesce(text, '')")}, 1, 2000), '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents) WHERE length(w) >= 4 GROUP BY doc_id, w),
+best AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM kw QUALIFY r <= 8),
+keyed AS (SELECT d.doc_id, list_filter(coalesce(k, []), lambda w: length(w) BETWEEN 2 AND 60) AS k FROM documents d LEFT JOIN (SELECT doc_id, list(w ORDER BY r) AS k FROM best GROUP BY doc_id) b ON b.doc_id = d.doc_id)
+"""
+
+
+def made_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     none = spark.createDataFrame([], "chunk_id string, keywords array<string>")
     return enrich.new_keywords(c, none, frequent_words())
 
 
+@query(f"WITH {KEYWORDS} SELECT doc_id::VARCHAR AS chunk_id, array_to_string(k, ',') AS keywords FROM keyed")
+def keywords_offline(spark, sf_dir):
+    return made_keywords(spark, sf_dir).select("chunk_id", X.joined_keywords(F.col("keywords")).alias("keywords"))
+
+
 @query(rf"""
 WITH t AS (SELECT {STRIP.format("text")} AS k FROM documents), g AS (SELECT count(*) AS n FROM t WHERE k <> '' GROUP BY k HAVING count(*) >= 2)
 SELECT coalesce(sum(n), 0)::BIGINT AS n_rows, count(*) AS n_groups FROM g

@@ -38,16 +38,17 @@ def name_scalars(spark, sf_dir):
 
 
 @query(rf"""
-SELECT doc_id::VARCHAR AS doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE {STRIP.format("l")} <> '' AND len({TOKENS.format(STRIP.format("l"))}) <= 2000 GROUP BY doc_id
+SELECT doc_id::VARCHAR AS doc_id, sum(CASE WHEN n <= 2000 THEN 1 WHEN n <= 1500 THEN 1 ELSE 1 + ceil((n - 1500) / 1400.0) END)::BIGINT AS n
+FROM (SELECT doc_id, len({TOKENS.format(STRIP.format("l"))}) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE {STRIP.format("l")} <> '') GROUP BY doc_id
 """)
 def chunk_id_parse(spark, sf_dir):
-    c = chunk.by_page(gold(spark, sf_dir, "modulbeschreibung")).where("chunking_strategy = 'page'")
+    c = chunk.by_page(gold(spark, sf_dir, "modulbeschreibung"))
     return c.groupBy(X.doc_id_of_chunk(F.col("id"), F.col("source_type")).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({WORDS}[1:12], lambda k: length(k) BETWEEN 2 AND 60), ',') AS keywords FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter({WORDS}, lambda k: length(k) BETWEEN 2 AND 60), ',') AS keywords FROM documents")
 def keyword_fields(spark, sf_dir):
-    k = X.valid_keywords(F.slice(X.split_words(F.col("text")), 1, 12))
+    k = X.valid_keywords(X.split_words(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", X.joined_keywords(k).alias("keywords"))
 
 

@@ -105,15 +105,46 @@ def prompt_messages(spark, sf_dir):
     return retrieve.messages(_asked(spark, sf_dir), retrieve.with_chunks(_lexical(spark, sf_dir, 5), d))
 
 
-@query()
-def hybrid_search(spark, sf_dir):
-    """The whole v2 path: words hashed to vectors, BM25, fusion, texts."""
-    from textmill.functions.providers import hash_embedder
-    from textmill.operators.enrich import embed
+#: Documents that have a vector, as chunks; the queries are the benchmark items
+#: with the vector of their number. Both lists have {k} hits.
+_RETRIEVED = f"""{_BM25},
+e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT id, v, list_dot_product(v, v) AS vv FROM e),
+vs AS (SELECT a.id AS query_id, b.id, round(1 - (a.vv + b.vv - 2 * list_dot_product(a.v, b.v)), 6) AS similarity FROM n a JOIN benchmark ON item_id = a.id, n b JOIN documents ON doc_id = b.id),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM vs) WHERE rank <= {{k}}),
+f AS (SELECT coalesce(vec.query_id, lex.query_id) AS query_id, coalesce(vec.id, lex.id) AS id, coalesce(vec.similarity, 0.0) AS similarity, round(coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0), 9) AS rrf_score
+      FROM vec FULL JOIN lex ON vec.query_id = lex.query_id AND vec.id = lex.id),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rrf_rank FROM f) WHERE rrf_rank <= {{k}})"""
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = embed(_asked(spark, sf_dir), hash_embedder(), "query")
-    return retrieve.retrieve(q, "v2", embed(d, hash_embedder()), retrieve.bm25_index(d, "text")).select("query_id", "id", "rrf_score", "rrf_rank", "text")
+
+def _retrieved(spark: SparkSession, sf_dir: str, variant: str, today: str | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = _asked(spark, sf_dir).join(e, F.col("query_id") == F.col("vec_id"), "left").drop("vec_id")
+    d = table(spark, sf_dir, "documents")
+    days = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int")), "yyyy-MM-dd")
+    kind = F.when(F.col("doc_id") % 3 == 0, "forum").otherwise("handbuch")
+    chunks = d.join(e, d.doc_id == e.vec_id, "left").select(F.col("doc_id").alias("id"), "text", "embedding", kind.alias("source_type"), days.alias("post_date"), F.lit(None).cast("string").alias("processed_date"))
+    return retrieve.retrieve(asked, variant, chunks, _index(spark, sf_dir), today=today)
+
+
+@query(f"WITH {_RETRIEVED.format(k=5)} SELECT query_id, vec.id, similarity, rank::INTEGER AS rank, text FROM vec JOIN documents ON doc_id = vec.id")
+def retrieve_v0(spark, sf_dir):
+    return _retrieved(spark, sf_dir, "v0").select("query_id", "id", "similarity", "rank", "text")
+
+
+@query(f"WITH {_RETRIEVED.format(k=5)} SELECT query_id, r.id, similarity, rrf_score, rrf_rank::INTEGER AS rrf_rank, text FROM r JOIN documents ON doc_id = r.id")
+def hybrid_search(spark, sf_dir):
+    """The whole v2 path: vectors, BM25, fusion, texts."""
+    return _retrieved(spark, sf_dir, "v2").select("query_id", "id", "similarity", "rrf_score", "rrf_rank", "text")
+
+
+@query(f"""WITH {_RETRIEVED.format(k=10)},
+pool AS (SELECT r.*, text, CASE WHEN id % 3 = 0 THEN date_diff('day', DATE '2020-01-01' + (id % 2000)::INTEGER, DATE '2024-06-01') END AS age FROM r JOIN documents ON doc_id = r.id),
+z AS (SELECT *, round(CASE WHEN age IS NULL OR age < 0 THEN 1.0 ELSE exp(-age * (ln(2) / 1825.0)) END, 9) AS recency_score FROM pool),
+y AS (SELECT *, round(0.8::DOUBLE * rrf_score + (1 - 0.8::DOUBLE) * recency_score, 9) AS final_score FROM z)
+SELECT query_id, id, recency_score, final_score, final_rank::INTEGER AS final_rank, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rrf_rank, id) AS final_rank FROM y) WHERE final_rank <= 5""")
+def retrieve_v3(spark, sf_dir):
+    """The whole v3 path: a pool of ten, ranked again by recency."""
+    return _retrieved(spark, sf_dir, "v3", "2024-06-01").select("query_id", "id", "recency_score", "final_score", "final_rank", "text")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
