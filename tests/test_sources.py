@@ -172,3 +172,10 @@ def test_artifacts_and_ticket_csv(spark, tmp_path):
     assert [p.name for p in (tmp_path / "q").iterdir() if p.is_dir()] == ["artifact=20260101T000000Z_wie_geht_das"]
     (tmp_path / "t.csv").write_text('ID,LOESUNG\n1,"a\nb"\n2,c\n', encoding="utf-8")
     assert [r["LOESUNG"] for r in files.tickets_csv(spark, str(tmp_path / "t.csv")).orderBy("ID").collect()] == ["a\nb", "c"]
+
+
+def test_silver_csv_gives_texts_back(spark, tmp_path):
+    texts = ['a "b", c;\n"d"', "  blanks  ", None, '"', "back\\slash\\", 'x\r\ny\rz', '\\"', 'end\\",next']
+    rows = [(str(i), t) for i, t in enumerate(texts)]
+    sinks.write_silver_csv(spark.createDataFrame(rows, "id string, t string"), str(tmp_path / "c"))
+    assert sorted(map(tuple, files.tickets_csv(spark, str(tmp_path / "c")).collect())) == rows
