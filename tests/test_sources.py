@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import struct
 
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 
 from textmill.operators import prepare
-from textmill.sources import dbf, files, sinks
+from textmill.sources import dbf, files, ranges, sinks
 
 
 def post(post_id, text, forum="15", subject="[b]S[/b]", time="0"):
@@ -40,20 +42,47 @@ def table(path, fields, rows, cut=0):
         f.write(body[: len(body) - cut])
 
 
-def test_dbf(spark, tmp_path):
+@pytest.fixture(params=["128m", "700", "37"])
+def split(spark, request):
+    """Byte ranges of these sizes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_dbf(spark, tmp_path, split):
     p = str(tmp_path / "a.dbf")
     table(p, [("NAME", "C", 10)], [(False, ["Alice"]), (True, ["Bob"]), (False, ["Grün"])])
-    dbf.register(spark)
-    d = spark.read.format("dbf").option("rowsPerPartition", "2").load(p)
-    assert [r["NAME"] for r in d.collect()] == ["Alice", "Grün"] and d.rdd.getNumPartitions() == 2
-    assert dbf.stats(p, 2) == {"records_total": 3, "records_loaded": 2, "records_deleted": 1, "fields": ["NAME"]}
-    table(p, [("NAME", "C", 10)], [(False, ["Alice"]), (False, ["Bob"])], cut=4)
-    assert spark.read.format("dbf").load(p).count() == 1
+    assert sorted(r["NAME"] for r in dbf.read(spark, p).collect()) == ["Alice", "Grün"]
+    assert dbf.stats(spark, p, 2) == {"records_total": 3, "records_loaded": 2, "records_deleted": 1, "fields": ["NAME"]}
+    table(p, [("NAME", "C", 10)], [(False, ["Alice"]), (False, ["Bob"])], cut=1)
+    assert dbf.read(spark, p).count() == 1
+    table(p, [("NAME", "C", 10)], [])
+    assert dbf.read(spark, p).count() == 0
     m = tmp_path / "a.dbt"
     m.write_bytes(b"\0" * 512 + b"Memo text".ljust(512) + b"x" * 512 + b"y\x1arest")
-    table(p, [("N", "N", 8), ("D", "D", 8), ("L", "L", 1), ("M", "M", 10)], [(False, ["      12", "20240115", "T", "1"]), (False, ["1.50", "", "N", "2"]), (False, ["", "x", "", ""])])
-    r = [tuple(x) for x in spark.read.format("dbf").option("memo", str(m)).load(p).collect()]
-    assert r[0][:3] == ("12", "2024-01-15", "True") and r[0][3].startswith("Memo text") and r[1] == ("1.5", "", "False", "x" * 512 + "y") and r[2] == ("", "", "", "")
+    table(p, [("N", "N", 8), ("D", "D", 8), ("L", "L", 1), ("M", "M", 10)], [(False, ["      12", "20240115", "T", "1"]), (False, ["1.50", "", "N", "2"]), (False, ["", "x", "", ""]), (False, ["9", "x", "", "99"])])
+    r = {x["N"]: tuple(x) for x in dbf.read(spark, p, str(m)).collect()}
+    assert r["12"] == ("12", "2024-01-15", "True", ("Memo text".ljust(512) + "x" * 512 + "y")) and r["1.5"] == ("1.5", "", "False", "x" * 512 + "y") and r[""] == ("", "", "", "") and r["9"][3] == ""
+
+
+def test_dbf_in_ranges(spark, tmp_path, split):
+    """Hundreds of records and memos, cut anywhere, of bytes that are no text."""
+    if split == "37":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    p, m = str(tmp_path / "b.dbf"), tmp_path / "b.dbt"
+    texts = [("é" * (i * 37 % 1900) + str(i)) for i in range(300)]
+    blocks, rows = [b"\0" * 512], []
+    for i, t in enumerate(texts):
+        raw = t.encode("cp850") + b"\x1a"
+        rows.append((i % 7 == 0, [f"{i:>5}", "\n \x1a"[: i % 4] + "ß", str(len(blocks))]))
+        blocks += [raw[j : j + 512].ljust(512, b"\xb1") for j in range(0, len(raw), 512)]
+    m.write_bytes(b"".join(blocks))
+    table(p, [("I", "N", 5), ("C", "C", 6), ("M", "M", 10)], rows)
+    got = {r["I"]: (r["C"], r["M"]) for r in dbf.read(spark, p, str(m)).collect()}
+    assert got == {str(i): (("\n \x1a"[: i % 4] + "ß"), t) for i, t in enumerate(texts) if i % 7}
 
 
 @pytest.mark.parametrize(("raw", "kind", "want"), [(b"9007199254740993", "N", "9007199254740993"), (b"   1e5", "N", "1e5"), (b" 1.50 ", "N", "1.5"), (b"-007", "N", "-7"), (b"  ab  ", "C", "  ab"), (b"  1.50 ", "F", "  1.50"), (b"x.y", "N", "x.y"), (b"    ", "N", "")])
@@ -62,12 +91,38 @@ def test_dbf_fields(raw, kind, want):
     assert dbf.field_text(raw, kind) == want
 
 
-def test_dbf_writer(spark, tmp_path):
-    rows = [("  a", "12", "lang " * 300, "20240115"), ("", "", "", "")]
-    dbf.write(str(tmp_path / "w.dbf"), [("C", "C", 5), ("N", "N", 4), ("M", "M", 10), ("D", "D", 8)], rows, str(tmp_path / "w.dbt"))
-    dbf.register(spark)
-    got = [tuple(r) for r in spark.read.format("dbf").option("memo", str(tmp_path / "w.dbt")).load(str(tmp_path / "w.dbf")).collect()]
-    assert got == [("  a", "12", ("lang " * 300).strip(), "2024-01-15"), ("", "", "", "")]
+@pytest.mark.parametrize("parts", [1, 3])
+def test_dbf_writer(spark, tmp_path, split, parts):
+    if split == "37":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    rows = [("  a", "12", "lang " * 300, "20240115"), ("", "", "", ""), ("b", "7", "kurz", ""), ("ß", "8", "x" * 511, ""), ("c", "9", "x" * 512, "")]
+    fields = [("C", "C", 5), ("N", "N", 4), ("M", "M", 10), ("D", "D", 8)]
+    dbf.write(spark.createDataFrame(rows, "C string, N string, M string, D string"), fields, str(tmp_path / "w"), str(tmp_path / "m"), parts)
+    got = sorted(tuple(r) for r in dbf.read(spark, str(tmp_path / "w"), str(tmp_path / "m")).collect())
+    assert got == sorted((c, n, m.strip(), "2024-01-15" if d else "") for c, n, m, d in rows)
+
+
+def test_quoted_records(spark, tmp_path, split):
+    """Records are those of the csv module wherever the ranges are cut, and
+    positions are in their order, over files of different sizes."""
+    if split == "37":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "19")
+    want = []
+    for name, n in (("a", 3), ("b", 40), ("c", 1)):
+        rows = [[f"{name}{i}", ("x\n" * (i % 5)) + 'q"' * (i % 3), ";" * (i % 2), "y\r\nz" if i % 7 == 3 else ""] for i in range(n)]
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, delimiter=";", lineterminator="\r\n" if name == "b" else "\n").writerows(rows)
+        want += rows
+    got = ranges.quoted_records(spark, str(tmp_path)).orderBy("file", "at").collect()
+    assert [next(csv.reader(io.StringIO(r["record"], newline=""), delimiter=";")) for r in got] == want
+
+
+def test_forum_of_several_files(spark, tmp_path, split):
+    """Of equal texts the first by file name stays, though files are read by size."""
+    (tmp_path / "a.csv").write_text(post("1", "gleich") + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([post(str(i), f"Zeile\n{i};\n\nmehr") for i in range(10, 40)] + [post("2", "gleich")]) + "\n")
+    r = {x["post_id"]: x for x in prepare.forum_silver(files.forum_csv(spark, str(tmp_path))).collect()}
+    assert "1" in r and "2" not in r and len(r) == 31 and r["10"]["post_text"] == "Zeile\n10;\nmehr"
 
 
 def test_lexical_index(spark, tmp_path):

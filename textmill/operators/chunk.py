@@ -93,42 +93,79 @@ def by_page(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
     return _shape(t, F.when(F.col("whole"), _id(page)).otherwise(_id(page, F.lit("_recursive_"), _number(F.col("n")))), F.col("n"), F.when(F.col("whole"), "page").otherwise("recursive_fallback"), F.col("page_number"))
 
 
-def pages_text(pages: str | Column, start: Column, end: Column) -> Column:
-    """Texts of the pages in [start, end), stripped, blank ones left out."""
-    inside = F.filter(pages, lambda p: (p["page_number"] >= start) & (p["page_number"] < end))
-    return F.array_join(F.filter(F.transform(inside, lambda p: strip(F.coalesce(p["text"], F.lit("")))), lambda t: t != ""), "\n")
+def entries(docs: DataFrame) -> DataFrame:
+    """The outline entries of each document: at, level, title, page, and last,
+    one past the document's last page. docs: key columns, outline, pages."""
+    keys = [c for c in docs.columns if c not in ("outline", "pages")]
+    last = F.array_max(F.transform("pages", lambda p: p["page_number"])) + 1
+    return docs.select(*keys, last.alias("last"), F.posexplode("outline").alias("at", "e")).select(*keys, "last", "at", "e.level", "e.title", "e.page")
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """The level-2 sections of each outline: h1, title, start and end page.
+def sections(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The level-2 sections of each outline: keys, h2_at, h1, title, start, end.
 
     h1 is the last level-1 title before; the end is the page of the next entry
-    of level 2 or less, else one past the last page. W1 and W2 of the survey
-    are windows over one document, so they are computed inside its row.
+    of level 2 or less, else one past the last page. Both are carried along the
+    document's entries, each by one running window, in outline order and back.
     """
-    o = lambda: F.col("outline")
-    last = F.array_max(F.transform("pages", lambda p: p["page_number"])) + 1
-
-    def section(e: Column, i: Column) -> Column:
-        before = F.filter(F.slice(o(), F.lit(1), i), lambda x: x["level"] == 1)
-        after = F.filter(F.slice(o(), i + 2, F.size(o())), lambda x: x["level"] <= 2)
-        return F.struct(
-            e["level"].alias("level"),
-            F.coalesce(F.try_element_at(before, F.lit(-1))["title"], F.lit("")).alias("h1"),
-            e["title"].alias("title"),
-            e["page"].alias("start"),
-            F.coalesce(F.get(after, 0)["page"], last).alias("end"),
-        )
-
-    every = F.filter(F.transform("outline", section), lambda s: s["level"] == 2)
-    return docs.select("*", F.posexplode(every).alias("h2_at", "h2"))
-
-
-def h3_sections(outline: str, start: Column, end: Column) -> Column:
-    """Level-3 entries on pages of [start, end): title, start, and as end the
-    page of the next of them, else ``end``."""
-    inside = F.filter(outline, lambda e: (e["level"] == 3) & (e["page"] >= start) & (e["page"] < end))
-    return F.transform(inside, lambda e, i: F.struct(e["title"].alias("title"), e["page"].alias("start"), F.coalesce(F.get(inside, i + 1)["page"], end).alias("end")))
+    every = Window.partitionBy(*keys)
+    carried = lambda when, c, w: F.last(F.when(when, F.struct(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))[c]
+    e = entries(docs.select(*keys, "outline", "pages"))
+    e = e.withColumn("h1", carried(F.col("level") == 1, "title", every.orderBy("at"))).withColumn("end", carried(F.col("level") <= 2, "page", every.orderBy(F.desc("at"))))
+    return e.where("level = 2").select(*keys, F.col("at").alias("h2_at"), F.coalesce("h1", F.lit("")).alias("h1"), "title", F.col("page").alias("start"), F.coalesce("end", "last").alias("end"))
+
+
+def inside(ranges: DataFrame, points: DataFrame, keys: tuple[str, ...], of_range: tuple[str, ...]) -> DataFrame:
+    """Which points lie in which range: keys, of_range, rank.
+
+    ranges: keys, of_range (which name a range), start, end (half-open);
+    points: keys, rank (from 1, in order of value), value. A key's ranges and
+    points meet in one sorted stream, where each bound counts the points before
+    it; the points of a range are the ranks between its two counts. So the work
+    is that of a sort and of the result, however many ranges and points there
+    are, and ranges may overlap. A null bound holds nothing.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("value")) for i, c in enumerate(("start", "end"))]))
+    bounds = ranges.select(*keys, *of_range, sides.alias("b")).select(*keys, *of_range, "b.*").where("value is not null")
+    stream = bounds.withColumn("point", F.lit(0)).unionByName(points.select(*keys, "value").withColumn("point", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy("value", "point").rowsBetween(Window.unboundedPreceding, 0)
+    counted = stream.withColumn("n", F.sum("point").over(before)).where("point = 0")
+    one = lambda i: F.max(F.when(F.col("side") == i, F.col("n")))
+    spans = counted.groupBy(*keys, *of_range).agg(one(0).alias("low"), one(1).alias("high")).where("low < high")
+    return spans.select(*keys, *of_range, F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("rank"))
+
+
+def _points(docs: DataFrame, value: str, what: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The elements of an array as points, in order of a field of them: keys,
+    rank, value, at (place in the array), e (the element)."""
+    placed = F.transform(what, lambda e, i: F.struct(e[value].alias("value"), i.alias("at"), e.alias("e")))
+    chosen = F.filter(placed, lambda x: x["value"].isNotNull() & (keep(x["e"]) if keep else F.lit(True)))
+    # ordered by value and place alone: elements need not be comparable, and equal ones of both don't exist
+    order = lambda x, y: F.when(x["value"] < y["value"], -1).when(x["value"] > y["value"], 1).otherwise(F.when(x["at"] < y["at"], -1).otherwise(1))
+    each = docs.select(*_KEY, F.posexplode(F.array_sort(chosen, order)).alias("rank", "x"))
+    return each.select(*_KEY, (F.col("rank") + 1).cast("long").alias("rank"), "x.value", "x.at", "x.e")
+
+
+def ranges_text(docs: DataFrame, ranges: DataFrame, of_range: tuple[str, ...]) -> DataFrame:
+    """keys, of_range, text: the texts of the pages in each range, stripped,
+    blank ones left out, joined in the pages' order; ranges without text go."""
+    pages = _points(docs, "page_number", "pages")
+    text = strip(F.coalesce("e.text", F.lit("")))
+    met = inside(ranges, pages, _KEY, of_range).join(pages.select(*_KEY, "rank", "at", text.alias("text")).where("text <> ''"), [*_KEY, "rank"])
+    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return met.groupBy(*_KEY, *of_range).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def h3_sections(docs: DataFrame, h2: DataFrame) -> DataFrame:
+    """keys, h2_at, h3_at, title, start, end: the level-3 entries on pages of
+    each section's range, wherever they stand in the outline; an entry ends at
+    the page of the next of them, the last one with the section."""
+    points = _points(docs, "page", "outline", lambda e: e["level"] == 3)
+    ranges = h2.select(*_KEY, "h2_at", "start", "end")
+    met = inside(ranges, points, _KEY, ("h2_at",)).join(points.select(*_KEY, "rank", F.col("at").alias("h3_at"), F.col("e.title").alias("title"), F.col("value").alias("start")), [*_KEY, "rank"])
+    met = met.join(ranges.select(*_KEY, "h2_at", F.col("end").alias("h2_end")), [*_KEY, "h2_at"])
+    following = F.lead("start").over(Window.partitionBy(*_KEY, "h2_at").orderBy("h3_at"))
+    return met.select(*_KEY, "h2_at", "h3_at", "title", "start", F.coalesce(following, "h2_end").alias("end"))
 
 
 def by_outline(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
@@ -140,15 +177,19 @@ def by_outline(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
     flat = flat.select(*_KEY, "source_file", F.posexplode(windows(F.col("tokens"), *FALLBACK_WINDOW)).alias("i", "text"))
     flat = _shape(flat, _id("_nooutline_recursive_", _number(F.col("i"))), F.col("i"), F.lit("recursive_fallback"))
 
-    s = sections(base.where(usable).drop("full_text"))
-    s = once(s, "text", pages_text("pages", F.col("h2.start"), F.col("h2.end"))).where("text <> ''")
-    s = once(s, "h3s", h3_sections("outline", F.col("h2.start"), F.col("h2.end")))
-    path = lambda *more: F.array(F.col("h2.h1"), F.col("h2.title"), *more)
-    own = F.array(F.struct(F.lit("h2").alias("kind"), path().alias("path"), F.col("text").alias("text")))
-    finer = F.transform("h3s", lambda h: F.struct(F.lit("h3").alias("kind"), path(h["title"]).alias("path"), pages_text("pages", h["start"], h["end"]).alias("text")))
-    split = (tok.count(F.col("text")) > SECTION_LIMIT) & (F.size("h3s") > 0)
-    p = s.select(*_KEY, "source_file", "h2_at", F.posexplode(F.when(split, finer).otherwise(own)).alias("h3_at", "piece"))
-    p = p.select(*_KEY, "source_file", "h2_at", "h3_at", "piece.kind", "piece.path", "piece.text").where("text <> ''")
+    own = base.where(usable).drop("full_text")
+    h2 = sections(own, _KEY)
+    h3 = h3_sections(own, h2)
+    has_h3 = h3.select(*_KEY, "h2_at").distinct().withColumn("finer", F.lit(True))
+    whole = ranges_text(own, h2, ("h2_at",)).join(has_h3, [*_KEY, "h2_at"], "left")
+    whole = whole.withColumn("finer", F.coalesce("finer", F.lit(False)) & (tok.count(F.col("text")) > SECTION_LIMIT))
+    h3 = h3.join(whole.where("finer").select(*_KEY, "h2_at"), [*_KEY, "h2_at"], "left_semi")
+    named = h2.select(*_KEY, "h2_at", "h1", F.col("title").alias("h2"))
+    path = lambda *more: F.array("h1", "h2", *more).alias("path")
+    coarse = whole.where("not finer").join(named, [*_KEY, "h2_at"]).select(*_KEY, "h2_at", F.lit(-1).alias("h3_at"), F.lit("h2").alias("kind"), path(), "text")
+    fine = ranges_text(own, h3, ("h2_at", "h3_at")).join(h3.select(*_KEY, "h2_at", "h3_at", "title"), [*_KEY, "h2_at", "h3_at"]).join(named, [*_KEY, "h2_at"])
+    p = coarse.unionByName(fine.select(*_KEY, "h2_at", "h3_at", F.lit("h3").alias("kind"), path("title"), "text"))
+    p = p.join(own.select(*_KEY, "source_file"), [*_KEY])
     p = _cut(p, SECTION_LIMIT, tok).drop("text")
     before = Window.partitionBy(*_KEY).orderBy("h2_at", "h3_at").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("start", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)).cast("int"))

@@ -136,7 +136,7 @@ SELECT doc_id::VARCHAR AS doc_id, h1, title, page::INTEGER AS start_page, last::
 """)
 def outline_sections(spark, sf_dir):
     g = gold(spark, sf_dir, "handbuch").select("doc_id", F.col("content.outline").alias("outline"), F.col("content.pages").alias("pages"))
-    return chunk.sections(g).select("doc_id", "h2.h1", "h2.title", F.col("h2.start").alias("start_page"), F.col("h2.end").alias("end_page"))
+    return chunk.sections(g).select("doc_id", "h1", "title", F.col("start").alias("start_page"), F.col("end").alias("end_page"))
 
 
 @query(rf"""
@@ -182,7 +182,8 @@ SELECT doc_id::VARCHAR AS doc_id, title, page::INTEGER AS page_start, last::INTE
 """)
 def section_page_lookup(spark, sf_dir):
     g = gold(spark, sf_dir, "handbuch").select("doc_id", F.col("content.outline").alias("outline"), F.col("content.pages").alias("pages"))
-    s = chunk.sections(g).select("doc_id", "h2.title", enrich.section_pages(F.col("outline"), F.array("h2.h1", "h2.title")).alias("s"))
+    s = chunk.sections(g).join(g.select("doc_id", "outline"), "doc_id")
+    s = s.select("doc_id", "title", enrich.section_pages(F.col("outline"), F.array("h1", "title")).alias("s"))
     return s.select("doc_id", "title", F.col("s.start").alias("page_start"), F.col("s.end").alias("page_end"))
 
 

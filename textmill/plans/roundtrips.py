@@ -29,13 +29,13 @@ posts AS (SELECT doc_id, source, t, strftime(DATE '1970-01-01' + doc_id::INTEGER
 
 
 def _forum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posts as a forum export, read again and made gold."""
+    """The posts as a forum export of several files, read again and made gold."""
     path = scratch(spark)
     own = posts(spark, sf_dir)
     cells = [F.lit("")] * files.FORUM_WIDTH
     for name, at in files.FORUM_COLUMNS.items():
         cells[at] = F.col(name).cast("string")
-    rows = own.coalesce(1).sort("src_pos").select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    rows = own.repartitionByRange(4, "src_pos").sortWithinPartitions("src_pos").select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
     rows.write.csv(path, sep=";", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return prepare.forum_gold(prepare.forum_silver(files.forum_csv(spark, path)))
 
@@ -63,13 +63,13 @@ def forum_chunks(spark, sf_dir):
 
 @query(f"""WITH {_POSTS}, {_FORUM_CHUNKS}, {KEYWORDS} SELECT id, coalesce(array_to_string(k, ','), '') AS keywords, post_date FROM chunks LEFT JOIN keyed ON id = 'forum__forum_' || keyed.doc_id""")
 def chunks_v2(spark, sf_dir):
-    """The v2 chunker with a keyword cache that was written in two parts, the
-    second of which gives some chunks anew: the last line wins."""
+    """The v2 chunker with a keyword cache that was appended to twice, the
+    second time with some chunks anew: the last append wins."""
     path = scratch(spark)
     keys = made_keywords(spark, sf_dir).withColumn("chunk_id", F.concat(F.lit("forum__forum_"), "chunk_id"))
-    sinks.append_cache(keys.withColumn("keywords", F.when(F.crc32("chunk_id") % 2 == 0, F.array(F.lit("alt"))).otherwise(F.col("keywords"))).coalesce(1), f"{path}/a")
-    sinks.append_cache(keys.where(F.crc32("chunk_id") % 2 == 0).coalesce(1), f"{path}/b")
-    cache = files.keyword_cache(spark, f"{path}/b").unionByName(files.keyword_cache(spark, f"{path}/a").where(F.crc32("chunk_id") % 2 == 1))
+    sinks.append_cache(keys.withColumn("keywords", F.when(F.crc32("chunk_id") % 2 == 0, F.array(F.lit("alt"))).otherwise(F.col("keywords"))), path)
+    sinks.append_cache(keys.where(F.crc32("chunk_id") % 2 == 0), path)
+    cache = files.keyword_cache(spark, path)
     return enrich.v2(_forum(spark, sf_dir), cache, gate=False).select("id", "keywords", "post_date")
 
 
@@ -84,16 +84,15 @@ LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in lookups.TICKET_STATES
 WHERE s_suppkey % 5 <> 0
 """)
 def ticket_table(spark, sf_dir):
-    """Suppliers as a dBASE table with memos; each fifth has no solution."""
-    path = scratch(spark).removeprefix("file:")
-    import os
-
-    os.makedirs(path)
+    """Suppliers as a dBASE table of four files with memos, written and read by
+    tasks; each fifth has no solution."""
+    path = scratch(spark)
     rows = table(spark, sf_dir, "supplier").selectExpr(
-        "string(s_suppkey)", "'K'", "'1'", "'2'", "s_name", "string(s_nationkey % 40)", "concat('<b>Saldo</b> ', string(s_acctbal))", "if(s_suppkey % 5 = 0, '', concat('Konto prüfen', char(10), 'Mit freundlichen Grüssen', char(10), s_name))", "string(s_suppkey % 9)", "date_format(date_add(date'2020-01-01', int(s_suppkey % 900)), 'yyyyMMdd')"
+        "string(s_suppkey) AS ID", "'K' AS KATEGORIE", "'1' AS VERSION", "'2' AS VERSIONERL", "s_name AS BESCHREIBU", "string(s_nationkey % 40) AS PRODUKTID", "concat('<b>Saldo</b> ', string(s_acctbal)) AS FEHLER",
+        "if(s_suppkey % 5 = 0, '', concat('Konto prüfen', char(10), 'Mit freundlichen Grüssen', char(10), s_name)) AS LOESUNG", "string(s_suppkey % 9) AS STATUSID", "date_format(date_add(date'2020-01-01', int(s_suppkey % 900)), 'yyyyMMdd') AS BEARBEITET",
     )
-    dbf.write(f"{path}/t.dbf", _FIELDS, [tuple(r) for r in rows.toLocalIterator()], f"{path}/t.dbt")
-    g = prepare.ticket_gold(prepare.ticket_silver(files.tickets_dbf(spark, f"{path}/t.dbf", f"{path}/t.dbt")))
+    dbf.write(rows, _FIELDS, f"{path}/t", f"{path}/memo", parts=4)
+    g = prepare.ticket_gold(prepare.ticket_silver(files.tickets_dbf(spark, f"{path}/t", f"{path}/memo")))
     return g.select("doc_id", "metadata.product", "metadata.status", "metadata.processed_date", "content.full_text")
 
 
@@ -184,10 +183,8 @@ def score_file(spark, sf_dir):
 
 @query(f"WITH {_BM25.format(k=5)} SELECT query_id, id, bm25, rank::INTEGER AS rank FROM lex")
 def bm25_persisted(spark, sf_dir):
-    """The lexical index written once, read back and searched."""
-    path = scratch(spark)
-    sinks.write_lexical_index(_index(spark, sf_dir), path)
-    found = retrieve.bm25_search(_asked(spark, sf_dir), sinks.read_lexical_index(spark, path), 5)
+    """The lexical index as bucketed catalog tables, read back and searched."""
+    found = retrieve.bm25_search(_asked(spark, sf_dir), _index(spark, sf_dir, buckets=8), 5)
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -219,8 +216,24 @@ def image_descriptions(spark, sf_dir):
     path = scratch(spark)
     d = table(spark, sf_dir, "documents").select(F.format_string("img_%d", "doc_id").alias("image_id"), F.col("doc_id").cast("int").alias("page"), (F.col("doc_id") % 700).cast("int").alias("width"), F.lit(100).alias("height"), F.concat(F.lit("url"), F.col("doc_id").cast("string")).alias("url"))
     known = d.where("page % 10 = 0").select("image_id", "page", "width", "height")
-    twice = [known.withColumn("vlm_description", F.lit(t)).withColumn("_t", F.lit(i)) for i, t in enumerate(("alt", "neu"))]
-    sinks.append_cache(reduce(DataFrame.unionByName, twice).coalesce(1).sort("_t").drop("_t"), f"{path}/a")
-    cache = files.image_cache(spark, f"{path}/a")
-    sinks.append_cache(enrich.describe_images(d, cache, lambda urls: [f"Bild {len(u)}" for u in urls]), f"{path}/b")
-    return cache.unionByName(files.image_cache(spark, f"{path}/b")).select("image_id", "page", "width", "height", "vlm_description")
+    for text in ("alt", "neu"):
+        sinks.append_cache(known.withColumn("vlm_description", F.lit(text)), path)
+    sinks.append_cache(enrich.describe_images(d, files.image_cache(spark, path), lambda urls: [f"Bild {len(u)}" for u in urls]), path)
+    return files.image_cache(spark, path).select("image_id", "page", "width", "height", "vlm_description")
+
+
+@query("""
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'third' WHEN doc_id % 50 <> 7 THEN 'second ' || repeat('x', (doc_id % 40)::INTEGER) ELSE 'first' END AS keywords
+FROM documents WHERE doc_id % 50 = 7 OR doc_id % 3 = 0 OR doc_id % 2 = 0
+""")
+def cache_appends(spark, sf_dir):
+    """One log, appended to three times, the smallest first: of an entry that
+    several have, the last one's counts; then compacted, and read again."""
+    path = scratch(spark)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("n"))
+    entry = lambda df, text: df.select("chunk_id", F.array(text).alias("keywords"))
+    sinks.append_cache(entry(d.where("n % 50 = 7"), F.lit("first")).coalesce(1), path)
+    sinks.append_cache(entry(d.where("n % 2 = 0 AND n % 50 <> 7"), F.concat(F.lit("second "), F.repeat(F.lit("x"), (F.col("n") % 40).cast("int")))), path)
+    sinks.append_cache(entry(d.where("n % 3 = 0").repartition(3), F.lit("third")), path)
+    sinks.compact_cache(files.keyword_cache(spark, path), path)
+    return files.keyword_cache(spark, path).select("chunk_id", F.array_join("keywords", ",").alias("keywords"))

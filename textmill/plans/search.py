@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import evaluate, retrieve
-from textmill.plans.registry import query, table
+from textmill.plans.registry import query, scratch, table
 from textmill.schemas import METRICS
+from textmill.sources import sinks
 
 _TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[a-zäöüß0-9]+')"
 #: BM25 as SQL: documents by benchmark items, best k as ``lex``.
@@ -27,9 +28,12 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-def _index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _index(spark: SparkSession, sf_dir: str, buckets: int = 0) -> dict[str, DataFrame]:
+    """The lexical index of the texts, written once and read."""
+    path = scratch(spark)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieve.bm25_index(d, "text")
+    sinks.write_lexical_index(retrieve.bm25_index(d, "text"), path, buckets)
+    return sinks.read_lexical_index(spark, path)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:

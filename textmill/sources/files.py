@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from textmill import schemas
 from textmill.functions.text import is_blank
+from textmill.sources.ranges import quoted_records
 from textmill.workers import reach
 
 # The columns used of a forum export (ordinals) and of tickets.
@@ -21,17 +25,27 @@ def sampled(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame
     return df if n is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, record of a quoted CSV, read in ranges; blank lines go."""
+    own = quoted_records(spark, path)
+    text = F.regexp_replace(F.when(F.col("at") == 0, F.ltrim(F.col("record"), F.lit("\ufeff"))).otherwise(F.col("record")), "\r$", "")
+    return own.select("file", "at", text.alias("record")).where("record <> ''")
+
+
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true"}
+
+
 def forum_csv(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
-    """Posts of a headerless ``;`` export: six named columns and src_pos.
+    """Posts of a headerless ``;`` export: six named columns and src_pos, which
+    is in order of file name and place in the file.
 
     Rows without a numeric post id (torn multi-line fields) go; a post time
     that isn't a number is 0. Rows with too many columns go, short ones are
-    filled with nulls.
+    filled with nulls. Files are read in byte ranges, quoted newlines or not.
     """
     names = [f"c{i}" for i in range(FORUM_WIDTH)]
     schema = ", ".join(f"{n} string" for n in names) + ", _corrupt string"
-    raw = spark.read.csv(path, schema=schema, sep=";", header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    raw = raw.withColumn("src_pos", F.monotonically_increasing_id())
+    raw = _records(spark, path).select(F.struct("file", "at").alias("src_pos"), F.from_csv("record", schema, _CSV | {"sep": ";"}).alias("r")).select("src_pos", "r.*")
     fields = F.size(F.split(F.regexp_replace(F.col("_corrupt"), r'"([^"]|"")*"', ""), ";"))
     raw = raw.where(F.col("_corrupt").isNull() | (fields <= FORUM_WIDTH))
     posts = raw.select(*[F.col(f"c{i}").alias(n) for n, i in FORUM_COLUMNS.items()], "src_pos").where(F.col("post_id").rlike(r"^\d+$"))
@@ -42,8 +56,7 @@ def tickets_dbf(spark: SparkSession, path: str, memo: str, sample: int | None =
     """The ten ticket columns of a dBASE table; a missing one raises."""
     from textmill.sources import dbf
 
-    dbf.register(spark)
-    return ticket_columns(spark.read.format("dbf").option("memo", memo).load(path), sample)
+    return ticket_columns(dbf.read(spark, path, memo), sample)
 
 
 def ticket_columns(df: DataFrame, sample: int | None = None) -> DataFrame:
@@ -54,8 +67,15 @@ def ticket_columns(df: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def tickets_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tickets of a comma-separated export with a header; all strings."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    """Tickets of a comma-separated export, each file with the same header; all
+    strings. Files are read in byte ranges, quoted newlines or not."""
+    rows = _records(spark, path)
+    head = rows.where("at = 0").first()
+    if head is None:
+        raise ValueError(f"no header at {path}")
+    names = next(csv.reader([head["record"]]))
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    return rows.where("at > 0").select(F.from_csv("record", schema, {k: v for k, v in _CSV.items() if k != "columnNameOfCorruptRecord"}).alias("r")).select("r.*")
 
 
 def pdf_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -152,18 +172,28 @@ def validated(rows: DataFrame) -> DataFrame:
     return rows.select("line_no", checked.alias("id"), "question", "category", F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """Adds ``at``, which orders the lines of an append log: the append, the
+    line in it, and for lines that carry none (of other writers), the file's
+    name, the place of the range that was read, and the row in it. Files are
+    read in any order, so the number of a row alone says nothing."""
+    append = F.coalesce(F.regexp_extract("_metadata.file_path", r"/append=(\d+)/", 1).try_cast("long"), F.lit(0))
+    return df.withColumn("at", F.struct(append.alias("append"), F.coalesce("line", F.lit(-1)).alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("row")))
+
+
 def keyword_cache(spark: SparkSession, path: str) -> DataFrame:
-    """chunk_id, keywords: torn lines are passed over, the last line wins."""
-    raw = spark.read.schema("chunk_id string, keywords array<string>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    raw = raw.withColumn("at", F.monotonically_increasing_id()).where("_corrupt is null and chunk_id is not null")
+    """chunk_id, keywords: torn lines are passed over, the last entry wins
+    (see ``sinks.append_cache``; a file of plain lines is a log, too)."""
+    read = spark.read.schema("chunk_id string, keywords array<string>, line long, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true")
+    raw = _in_order(read.json(path)).where("_corrupt is null and chunk_id is not null")
     return raw.groupBy("chunk_id").agg(F.max_by("keywords", "at").alias("keywords"))
 
 
 def image_cache(spark: SparkSession, path: str) -> DataFrame:
     """The last description of each image; a torn line raises."""
-    raw = spark.read.schema(schemas.IMAGE_CACHE).option("mode", "FAILFAST").json(path).withColumn("at", F.monotonically_increasing_id())
+    read = spark.read.schema(StructType([*schemas.IMAGE_CACHE, StructField("line", LongType())])).option("mode", "FAILFAST").option("recursiveFileLookup", "true")
     last = F.max_by(F.struct("page", "width", "height", "vlm_description"), "at").alias("e")
-    return raw.groupBy("image_id").agg(last).select("image_id", "e.*")
+    return _in_order(read.json(path)).groupBy("image_id").agg(last).select("image_id", "e.*")
 
 
 def latest_file(spark: SparkSession, pattern: str) -> str | None:

@@ -31,27 +31,76 @@ def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
     chunks.write.mode("overwrite" if reset else "append").partitionBy("source_type").parquet(path)
 
 
+def _blocks_table(path: str, buckets: int) -> str:
+    return f"lexical_{crc32(path.encode()):08x}_{buckets}"
+
+
 def write_lexical_index(index: dict[str, DataFrame], path: str, buckets: int = 0) -> None:
-    """The postings, document and term tables of a lexical index. With
-    ``buckets`` the postings become a table bucketed by term."""
+    """The tables of a lexical index. With ``buckets`` the blocks of postings
+    become a catalog table bucketed by term and part, whose number of buckets
+    is kept beside it, so that any session can read it as bucketed."""
     for name, df in index.items():
-        if buckets and name == "postings":
-            df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", f"{path}/{name}").saveAsTable(f"postings_{crc32(path.encode()):08x}")
+        if buckets and name == "blocks":
+            dealt = df.repartition(buckets, "term", "part")
+            dealt.write.mode("overwrite").bucketBy(buckets, "term", "part").sortBy("term", "part").option("path", f"{path}/{name}").saveAsTable(_blocks_table(path, buckets))
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = index["stats"].sparkSession
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read_lexical_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The index that ``write_lexical_index`` has written; None without one."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+    """The index that ``write_lexical_index`` has written; None without one. A
+    bucketed table is read through the catalog (a session that doesn't know it
+    is told of it), so that joins on its keys need no exchange of it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")}
-
-
-def append_cache(df: DataFrame, path: str) -> None:
-    """Adds newly computed entries; a run that stops keeps what it has."""
-    df.write.mode("append").json(path)
+    index = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats", "blocks")}
+    if buckets := spark.read.parquet(f"{path}/layout").first()["buckets"]:
+        name, columns = _blocks_table(path, buckets), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index["blocks"].schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (term, part) SORTED BY (term, part) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
+        spark.catalog.refreshTable(name)
+        index["blocks"] = spark.table(name)
+    return index
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _next_append(spark: SparkSession, path: str) -> int:
+    """Claims the log's next number: the one that makes the claim's file has
+    it, whoever else appends."""
+    claims, fs = _file_system(spark, f"{path}/_claims")
+    fs.mkdirs(claims)
+    n = max((int(f.getPath().getName()) for f in fs.listStatus(claims)), default=0) + 1
+    while not fs.createNewFile(claims.suffix(f"/{n}")):
+        n += 1
+    return n
+
+
+def append_cache(df: DataFrame, path: str) -> int:
+    """Adds newly computed entries to a log and returns the append's number;
+    what a stopped run had appended stays. Each append is a folder of its
+    number, and each entry has its line in it, so that the readers know the
+    order whatever the sizes of the files. Lines follow the order of ``df``."""
+    n = _next_append(df.sparkSession, path)
+    df.withColumn("line", F.monotonically_increasing_id()).write.mode("overwrite").json(f"{path}/append={n:09d}")
+    return n
+
+
+def compact_cache(latest: DataFrame, path: str) -> None:
+    """Replaces the log by ``latest``, its entries as a reader gives them: they
+    become one append more, and once that is written the earlier ones go."""
+    spark = latest.sparkSession
+    n = append_cache(latest, path)
+    root, fs = _file_system(spark, path)
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("append=") and int(name[7:]) < n:
+            fs.delete(f.getPath(), True)
 
 
 def write_scores(scores: DataFrame, path: str, **metadata: object) -> None:
