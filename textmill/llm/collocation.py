@@ -8,10 +8,11 @@ its first word. A substring whose link ends at the same positions is in one
 class with it; a class is given out once, as its longest substring with the
 length of its shortest. Spark sums the classes' counts over all shards.
 
-Lengths are counted one after the other, with 4 and 5 words together. A phrase
-can be frequent only if its parts are, so each pass holds back substrings with
-a part that no set of frequent parts has. The sets are bits of a fixed number,
-broadcast; at any size they hold back none that is frequent.
+Words are counted first, then pairs by a hash alone, then pairs and triples,
+then phrases of 4 and 5 words. A phrase can be frequent only if its parts are,
+so each pass holds back substrings that no set of frequent ones has, or that
+have a part that none has. The sets are bits of a fixed number, broadcast; at
+any size they hold back none that is frequent.
 
 Of the global counts a phrase is dropped if it is the suffix link, or the
 beginning, of a frequent phrase of equal count: any longer phrase around it of
@@ -36,9 +37,9 @@ from textmill.llm.common import prepare, stash, with_key_rows
 
 #: Words of the longest phrase, its least count, phrases reported a language.
 MOST, LEAST, TOP = 5, 100, 2000
-#: Words of a shard (a longer text is a shard by itself), and the bits of a
-#: set of frequent phrases (16 MB).
-SHARD, BITS = 1 << 20, 27
+#: Words of a shard (a longer text is a shard by itself), the bits of a set of
+#: frequent phrases (8 MB), and those of the hash by which pairs are counted.
+SHARD, BITS, PAIR_BITS = 1 << 20, 26, 40
 #: Into how many parts a language's phrases are dealt to be ranked first.
 PARTS = 16
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -57,8 +58,9 @@ class Automaton:
     words: the different words; ids: the pieces' word numbers, -1 between
     them. Of depth d, ``states[d]`` has the number of the substring of d words
     that ends at each position (-1: none), and per number ``ends[d]`` counts
-    its positions, ``link[d]`` is its suffix link, ``at[d]`` one position and
-    ``hashes[d]`` a hash that is the same in every shard.
+    its positions, ``link[d]`` is its suffix link, ``at[d]`` one position,
+    ``hashes[d]`` a hash that is the same in every shard, and ``alive[d]``
+    whether it may be frequent.
     """
 
     def __init__(self, words: list[bytes], ids: np.ndarray, lang: bytes) -> None:
@@ -66,15 +68,19 @@ class Automaton:
         hashes = np.fromiter((xxh64_intdigest(lang + b"\0" + w) for w in words), np.uint64, len(words))
         at = np.zeros(len(words), np.int64)
         at[ids[ids >= 0]] = np.flatnonzero(ids >= 0)
-        self.states, self.at, self.hashes = {1: ids}, {1: at}, {1: hashes}
+        self.states, self.at, self.hashes, self.alive = {1: ids}, {1: at}, {1: hashes}, {1: np.ones(len(words), bool)}
         self.ends, self.link = {1: np.bincount(ids[ids >= 0], minlength=len(words))}, {1: np.full(len(words), -1)}
 
-    def grow(self, alive: np.ndarray | None = None) -> None:
+    def hold(self, bits: np.ndarray, n: int) -> None:
+        """Keeps alive only those deepest substrings that a set has."""
+        d = max(self.states)
+        self.alive[d] = held(bits, cell_of(self.hashes[d], n))
+
+    def grow(self) -> None:
         """One word deeper, of substrings whose two halves, the one without
-        the last and the one without the first word, are alive (all are if
-        None)."""
+        the last and the one without the first word, are alive."""
         d = max(self.states)
-        was = self.states[d] if alive is None else np.where((self.states[d] >= 0) & alive[self.states[d]], self.states[d], -1)
+        was = np.where((self.states[d] >= 0) & self.alive[d][self.states[d]], self.states[d], -1) if len(self.at[d]) else self.states[d]
         here = np.flatnonzero((was[:-1] >= 0) & (was[1:] >= 0)) + 1 if len(was) else np.zeros(0, np.int64)
         last = self.states[1][here].astype(np.int64)
         keys = was[here - 1].astype(np.int64) * len(self.words) + last
@@ -86,20 +92,21 @@ class Automaton:
         mixed = self.hashes[d][found // max(1, len(self.words))] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[1][found % max(1, len(self.words))]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         self.states[d + 1], self.at[d + 1], self.hashes[d + 1] = state, at, mixed ^ (mixed >> np.uint64(32))
-        self.ends[d + 1], self.link[d + 1] = np.bincount(codes, minlength=len(found)), was[at]
+        self.ends[d + 1], self.link[d + 1], self.alive[d + 1] = np.bincount(codes, minlength=len(found)), was[at], np.ones(len(found), bool)
 
     def classes(self, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(d, states, shortest): the classes of endpos among the substrings of
-        low to high words, each by its longest one and the length of its
-        shortest."""
+        low to high words that are alive, each by its longest one and the
+        length of its shortest."""
         shortest = {low: np.full(len(self.at[low]), low)}
         for d in range(low + 1, high + 1):
             same = self.ends[d] == self.ends[d - 1][self.link[d]]
             shortest[d] = np.where(same, shortest[d - 1][self.link[d]], d)
             inner = np.zeros(len(self.at[d - 1]), bool)
             inner[self.link[d][same]] = True
-            yield d - 1, np.flatnonzero(~inner), shortest[d - 1][~inner]
-        yield high, np.arange(len(self.at[high])), shortest[high]
+            own = np.flatnonzero(~inner & self.alive[d - 1])
+            yield d - 1, own, shortest[d - 1][own]
+        yield high, np.flatnonzero(self.alive[high]), shortest[high][self.alive[high]]
 
     def phrases(self, d: int, states: np.ndarray) -> pa.Array:
         words = pa.array(self.words, pa.binary())
@@ -107,29 +114,36 @@ class Automaton:
         return pc.binary_join_element_wise(*[words.take(pa.array(self.states[1][place - k])) for k in range(d - 1, -1, -1)], pa.scalar(b" ", pa.binary()))
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 _COUNTS = "lang binary, phrase binary, size int, shortest int, cell bigint, n bigint"
 _NAMES = ["lang", "phrase", "size", "shortest", "cell", "n"]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
     """(lang, words, ids) of shards of about ``most`` words."""
-    seen: dict[bytes, dict[bytes, int]] = {}
+    seen: dict[bytes, _Numbers] = {}
     parts: dict[bytes, list[np.ndarray]] = {}
     held_words = 0
 
     def all_parts() -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
         for lang, own in parts.items():
-            # the break has a number like the words; it gets -1 and leaves the list
-            ids, number = np.concatenate(own), seen[lang][b"."]
-            yield lang, [w for w in seen[lang] if w != b"."], np.where(ids == number, -1, ids - (ids > number))
+            yield lang, list(seen[lang])[1:], np.concatenate(own) - 1  # the break's number is 0
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = words_and_breaks(text or b"")
             if not words:
                 continue
-            numbers = seen.setdefault(lang, {b".": 0})
-            parts.setdefault(lang, []).append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in words] + [0], np.int32, len(words) + 1))
+            if lang not in seen:
+                seen[lang], parts[lang] = _Numbers({b".": 0}), [np.zeros(1, np.int32)]
+            parts[lang] += [np.fromiter(map(seen[lang].__getitem__, words), np.int32, len(words)), parts[lang][0]]
             held_words += len(words)
             if held_words >= most:
                 yield from all_parts()
@@ -137,20 +151,39 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[byte
     yield from all_parts()
 
 
+def _automata(batches: Iterator[pa.RecordBatch], depth: int, sets: dict[int, Broadcast], shard: int, bits: int) -> Iterator[tuple[bytes, Automaton]]:
+    """The automata of the shards, ``depth`` words deep. sets: of some lengths,
+    the frequent phrases; no other one of these lengths is alive."""
+    for lang, words, ids in _shards(batches, shard):
+        a = Automaton(words, ids, lang)
+        for d in range(1, depth + 1):
+            if d > 1:
+                a.grow()
+            if d in sets:
+                a.hold(sets[d].value, bits)
+        yield lang, a
+
+
+def pair_cells(docs: DataFrame, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
+    """cell, n: occurrences of pairs of frequent words, by their hash alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a in _automata(batches, 2, sets, shard, bits):
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(a.hashes[2], PAIR_BITS)), pa.array(a.ends[2], pa.int64())], names=["cell", "n"])
+
+    return docs.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
 def shard_counts(docs: DataFrame, low: int, high: int, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
     """The classes of each shard: lang, phrase, size, shortest, cell of the
-    phrase's hash, n. docs: lang, text (binary). sets: of shorter lengths, the
-    frequent phrases. With low 1, a row without a phrase per shard has the
-    number of its words."""
+    phrase's hash, n. docs: lang, text (binary). With low 1, a row without a
+    phrase per shard has the number of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids in _shards(batches, shard):
-            a = Automaton(words, ids, lang)
-            for d in range(1, high):
-                a.grow(held(sets[d].value, cell_of(a.hashes[d], bits)) if d in sets else None)
+        for lang, a in _automata(batches, high, sets, shard, bits):
             row = lambda *cols: pa.RecordBatch.from_arrays(list(cols), names=_NAMES)
             if low == 1:
-                yield row(pa.array([lang], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x], t) for x, t in ((0, pa.int32()), (0, pa.int32()), (0, pa.int64()), (int((ids >= 0).sum()), pa.int64()))))
+                yield row(pa.array([lang], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x], t) for x, t in ((0, pa.int32()), (0, pa.int32()), (0, pa.int64()), (int(a.ends[1].sum()), pa.int64()))))
             for d, states, shortest in a.classes(low, high):
                 for i in range(0, len(states), 1 << 16):
                     s = states[i : i + (1 << 16)]
@@ -164,11 +197,12 @@ def _index(phrase: str, words: Column) -> Column:
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), words.cast("int"))
 
 
-def _each_phrase(classes: DataFrame) -> DataFrame:
-    """A row for every phrase of a class: the last words of its longest one."""
+def _each_phrase(classes: DataFrame, high: int) -> DataFrame:
+    """A row for every phrase of a class, the last words of its longest one;
+    the cells of phrases of ``high`` words, else 0."""
     each = classes.withColumn("words", F.explode(F.sequence("shortest", "size")))
     own = F.when(F.col("words") == F.col("size"), F.col("phrase")).otherwise(_index("phrase", -F.col("words")))
-    return each.select("lang", own.alias("phrase"), F.col("words").alias("size"), "cell", "n")
+    return each.select("lang", own.alias("phrase"), F.col("words").alias("size"), F.when(F.col("words") == high, F.col("cell")).otherwise(0).alias("cell"), "n")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, shard: int = SHARD, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -177,18 +211,19 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, shard: int =
     docs: lang and text, as text."""
     prepare(docs.sparkSession)
     base = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    counts, totals, sets = None, None, {}
-    for low, high in [(1, 1), (2, 2), (3, 3), (4, most)][: min(4, most)]:
-        rows = shard_counts(base, low, high, sets, shard, bits).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "size", "shortest", "cell", "n")
-        rows = rows if low == high else _each_phrase(rows).withColumn("cell", F.lit(0).cast("long"))
-        summed = stash(rows.groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), f"phrases{low}")
-        if low == 1:
-            totals = summed.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("total"))
-            summed = summed.where(F.col("phrase").isNotNull())
-        if low == high:
-            sets[low] = broadcast_cells(summed.select("cell"), 1 << bits)
-        own = summed.select("lang", "phrase", "size", "n")
-        counts = own if counts is None else counts.unionByName(own)
+    text = [F.col(c).cast("string").alias(c) for c in ("lang", "phrase")]
+    words = stash(shard_counts(base, 1, 1, {}, shard, bits).select(*text, "size", "cell", "n").groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases1")
+    totals = words.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("total"))
+    words = words.where(F.col("phrase").isNotNull())
+    counts, sets = words.select("lang", "phrase", "size", "n"), {1: broadcast_cells(words.select("cell"), 1 << bits)}
+    pairs = pair_cells(base, sets, shard, bits).where(F.col("n") >= least)
+    sets[2] = broadcast_cells(pairs.select(F.shiftright("cell", PAIR_BITS - bits).alias("cell")), 1 << bits)
+    for low, high in ((2, 3), (4, most)):
+        rows = _each_phrase(shard_counts(base, low, high, sets, shard, bits).select(*text, "size", "shortest", "cell", "n"), high)
+        summed = stash(rows.groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"phrases{low}")
+        if high < most:
+            sets[high] = broadcast_cells(summed.where(F.col("size") == high).select("cell"), 1 << bits)
+        counts = counts.unionByName(summed.select("lang", "phrase", "size", "n"))
     return counts, totals
 
 
