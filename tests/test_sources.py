@@ -125,6 +125,56 @@ def test_forum_of_several_files(spark, tmp_path, split):
     assert "1" in r and "2" not in r and len(r) == 31 and r["10"]["post_text"] == "Zeile\n10;\nmehr"
 
 
+def test_caches_of_many_appends(spark, tmp_path):
+    """The last append counts, whatever the sizes of the files; compaction keeps it."""
+    k, i = str(tmp_path / "k"), str(tmp_path / "i")
+    sizes = [1, 2000, 3, 700]
+    for n, size in enumerate(sizes, 1):
+        d = spark.range(size).selectExpr("string(id) AS chunk_id", f"array('v{n}') AS keywords")
+        assert sinks.append_cache(d.repartition(4) if n == 4 else d.coalesce(1), k) == n
+        sinks.append_cache(spark.range(size).selectExpr("string(id) AS image_id", "1 AS page", "2 AS width", "3 AS height", f"repeat('d', {n}) AS vlm_description").coalesce(1), i)
+    want = {str(x): f"v{max(n for n, s in enumerate(sizes, 1) if x < s)}" for x in range(2000)}
+    for _ in range(2):
+        assert {r["chunk_id"]: r["keywords"][0] for r in files.keyword_cache(spark, k).collect()} == want
+        sinks.compact_cache(files.keyword_cache(spark, k), k)
+    assert len([x for x in (tmp_path / "k").iterdir() if x.name.startswith("append=")]) == 1
+    assert {r["image_id"]: len(r["vlm_description"]) for r in files.image_cache(spark, i).collect()} == {x: int(v[1:]) for x, v in want.items()}
+    rows = spark.createDataFrame([("a", ["1"]), ("a", ["2"])], "chunk_id string, keywords array<string>").coalesce(1)
+    sinks.append_cache(rows, str(tmp_path / "l"))
+    assert files.keyword_cache(spark, str(tmp_path / "l")).first()["keywords"] == ["2"]
+
+
+def test_plain_caches_of_several_files(spark, tmp_path):
+    """Logs of another writer: by file name, then line, though the larger file is read first."""
+    (tmp_path / "a.jsonl").write_text(json.dumps({"chunk_id": "x", "keywords": ["old"]}) + "\n" + "".join(json.dumps({"chunk_id": str(n), "keywords": ["y"]}) + "\n" for n in range(500)))
+    (tmp_path / "b.jsonl").write_text("{torn\n" + json.dumps({"chunk_id": "x", "keywords": ["mid"]}) + "\n" + json.dumps({"chunk_id": "x", "keywords": ["new"]}))
+    assert files.keyword_cache(spark, str(tmp_path)).where("chunk_id = 'x'").first()["keywords"] == ["new"]
+
+
+def test_bucketed_index(spark, tmp_path):
+    """Joins on a stored index's term and part exchange the asked terms only."""
+    from textmill.operators import retrieve
+
+    d = spark.createDataFrame([(i, " ".join(f"w{i * j % 13}" for j in range(1, 9))) for i in range(60)], "id int, text string")
+    path = str(tmp_path / "index")
+    sinks.write_lexical_index(retrieve.bm25_index(d, "text"), path, buckets=4)
+    spark.sql(f"DROP TABLE {sinks._blocks_table(path, 4)}")  # as another session sees it; the files stay
+    index = sinks.read_lexical_index(spark, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        asked = spark.createDataFrame([("w1", 0)], "term string, part int")
+        plan = asked.join(index["blocks"], ["term", "part"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    q = spark.createDataFrame([(1, "w1 w2 w5")], "query_id int, query string")
+    plain = str(tmp_path / "plain")
+    sinks.write_lexical_index(retrieve.bm25_index(d, "text"), plain)
+    rows = lambda i: sorted(tuple(r) for r in retrieve.bm25_search(q, i, 7).collect())
+    assert rows(index) == rows(sinks.read_lexical_index(spark, plain)) == rows(retrieve.bm25_index(d, "text"))
+
+
 def test_lexical_index(spark, tmp_path):
     from textmill.operators import retrieve
 

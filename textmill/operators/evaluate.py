@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions import providers
 from textmill.functions import text as X
-from textmill.operators import retrieve
+from textmill.operators import retrieve, select
 from textmill.schemas import BUNDLE, METRICS
+from textmill.sources import files
 from textmill.sources.files import CATEGORIES
 
 # Compared variants, and prices in USD per million tokens.
@@ -127,6 +128,29 @@ def check_error_rate(bundle: DataFrame) -> DataFrame:
     return bundle
 
 
+def run_in_batches(questions: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, size: int = 50) -> bool:
+    """Writes the bundle of a run batch by batch, in order of line, each of the
+    questions of ``size`` lines and in a folder of its own; whether it came to
+    the end. ``run(questions)`` gives bundle rows.
+
+    A batch that is whole is not run again, and one that was torn is replaced,
+    so a run that was killed goes on with each question there once. After a
+    batch the run stops if, from the first question on, too many have failed
+    (``ABORT_RATE``, after ``ABORT_AFTER``); what was written stays.
+    """
+    spark, seen, errors = questions.sparkSession, 0, 0
+    last = questions.agg(F.max("line_no")).first()[0] or 0
+    for n in range(-(-last // size)):
+        part = f"{path}/batch={n:06d}"
+        if not files.exists(spark, f"{part}/_SUCCESS"):
+            run(questions.where((F.col("line_no") > n * size) & (F.col("line_no") <= (n + 1) * size))).write.mode("overwrite").json(part)
+        r = files.bundle_jsonl(spark, part).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("e")).first()
+        seen, errors = seen + r["n"], errors + r["e"]
+        if seen >= ABORT_AFTER and errors / seen > ABORT_RATE:
+            return False
+    return True
+
+
 def score_bundle(bundle: DataFrame, questions: DataFrame, judge: Callable) -> DataFrame:
     """Score rows by key (never by position). ``judge(list of JSON rows)``
     gives a dict of metrics per row; missing, unreadable and NaN values are
@@ -215,13 +239,17 @@ def latencies(bundle: DataFrame) -> DataFrame:
 
 
 def latency_profile(rows: DataFrame, key: str = "variant", value: str = "latency_ms", accuracy: int | None = None) -> DataFrame:
-    """n, mean and the five numbers of a box plot. Percentiles are exact and
-    keep every different value of a key; with ``accuracy`` they come from a
-    sketch of bounded size."""
-    q = [0.0, 0.25, 0.5, 0.75, 1.0]
-    middle = F.percentile(value, q) if accuracy is None else F.percentile_approx(value, q, accuracy)
-    p = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), middle.alias("p"))
-    return p.select(key, "n", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
+    """n, mean and the five numbers of a box plot, of the finite values.
+    Percentiles are exact (see ``select``), in several passes; with
+    ``accuracy`` they come from a sketch, in one."""
+    q = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    own = rows.select(key, select.finite(F.col(value)).alias("v")).where("v is not null")
+    base = own.groupBy(F.struct(key).alias("key"))
+    if accuracy is None:
+        p = base.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).join(select.percentiles(own, [key], "v", q), "key")
+    else:
+        p = base.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.percentile_approx("v", list(q.values()), accuracy).alias("p")).select("*", *[F.col("p")[i].alias(n) for i, n in enumerate(q)])
+    return p.select(F.col("key")[key].alias(key), "n", "mean", *q)
 
 
 def missing_scores(scores: DataFrame) -> DataFrame:

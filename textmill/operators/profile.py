@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
+from textmill.operators.select import percentiles
 
 
 def frequencies(df: DataFrame, value: Column, top: int | None = None) -> DataFrame:
@@ -24,11 +25,16 @@ def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
 def lengths(df: DataFrame, text: str, keys: list[str] | None = None) -> DataFrame:
     """Words per text: n, mean, median, least, most, and three buckets."""
     w = X.word_count(F.col(text))
-    t = df.select(*(keys or []), w.alias("w")).where("w > 0").groupBy(*(keys or []))
-    return t.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"), F.percentile("w", 0.5).alias("median"), F.min("w").alias("least"), F.max("w").alias("most"),
+    own = df.select(*(keys or []), w.alias("w")).where("w > 0")
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
+    aggregates = [
+        F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"), F.min("w").alias("least"), F.max("w").alias("most"),
         F.count_if(F.col("w") < 30).alias("short"), F.count_if(F.col("w").between(30, 100)).alias("medium"), F.count_if(F.col("w") > 100).alias("long"),
-    )
+    ]
+    # without keys there is a row for an empty table, too
+    base = own.groupBy(key.alias("key")).agg(*aggregates) if keys else own.agg(*aggregates).select(key.alias("key"), "*")
+    j = base.join(percentiles(own, keys or [], "w", {"median": 0.5}), "key", "left")
+    return j.select(*[F.col("key")[k].alias(k) for k in keys or []], "n", "mean", "median", "least", "most", "short", "medium", "long")
 
 
 def _grouped(df: DataFrame, key: Column) -> DataFrame:
@@ -50,8 +56,23 @@ def similar_starts(df: DataFrame, text: str, words: int = 12, least: int = 4) ->
 
 
 def distinct_gaps(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
-    """Rows less distinct keys, per named key (exact)."""
-    return df.agg(*[(F.count(F.lit(1)) - F.countDistinct(F.struct(*cols))).alias(n) for n, cols in keys.items()])
+    """Rows less distinct keys, per named key (exact).
+
+    Rows are told apart by two hashes of 64 bits and a third one of 32 with the
+    lengths; values of equal first two but different third hash are compared as
+    they are. So values are not shuffled, but for such clashes.
+    """
+    cells = lambda cols: [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    size = lambda cols: sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cols), F.lit(0))
+    marks = F.array(*[F.struct(F.lit(n).alias("name"), F.xxhash64(*cells(cols)).alias("a"), F.xxhash64(F.lit(n), F.lit(7), *reversed(cells(cols))).alias("b"), F.struct(F.hash(*cells(cols)), size(cols)).alias("c")) for n, cols in keys.items()])
+    groups = df.select(F.explode(marks).alias("m")).select("m.*").groupBy("name", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    more = dict.fromkeys(keys, 0)
+    clash = groups.where("low <> high").select("name", "a", "b")
+    for n in [r["name"] for r in clash.select("name").distinct().collect()]:
+        own = df.select(*keys[n], F.xxhash64(*cells(keys[n])).alias("a"), F.xxhash64(F.lit(n), F.lit(7), *reversed(cells(keys[n]))).alias("b")).join(clash.where(F.col("name") == n), ["a", "b"], "left_semi")
+        more[n] = own.distinct().count() - clash.where(F.col("name") == n).count()
+    gap = lambda n: F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n") - 1)), F.lit(0)) - more[n]
+    return groups.agg(*[gap(n).cast("long").alias(n) for n in keys])
 
 
 def time_span(df: DataFrame, seconds: str) -> DataFrame:

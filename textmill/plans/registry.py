@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +23,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@cache
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="textmill-")
-    atexit.register(shutil.rmtree, folder, True)
-    return "file://" + folder
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, for queries that write
-    files and read them back; on one machine an own one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(shared or _own_folder()).rstrip('/')}/textmill/queries-{uuid.uuid4().hex}"

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from textmill.functions import lookups
 from textmill.operators import chunk, enrich, evaluate, prepare, retrieve
 from textmill.plans.corpus import CLEAN, KEYWORDS, STRIP, TOKENS, gold, made_keywords, posts
-from textmill.plans.registry import query, scratch, table
+from textmill.plans.registry import query, table
 from textmill.plans.search import _BM25, _SCORES, _asked, _index, _lexical, scores
 from textmill.schemas import METRICS
 from textmill.sources import dbf, files, sinks
+from textmill.storage import scratch, written
 
 _MODULES = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in lookups.FORUM_MODULES.items())
 _POSTS = f"""
@@ -134,13 +135,18 @@ def _told(prompts: list[str]) -> list[dict]:
     return [{"error": f"no answer to {len(p)}"} if len(p) % 10 == 7 else {"answer": f"length {len(p)}", "model": "m", "input_tokens": len(p), "output_tokens": 2, "duration_seconds": 0.5} for p in prompts]
 
 
-def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(questions, the run's bundle as written and read)."""
-    path = scratch(spark)
+def _asked_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, their hits)."""
     q = _questions(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("forum").alias("source_type"), F.col("source").alias("source_file"), F.lit(0).alias("chunk_index"))
     found = _lexical(spark, sf_dir, 5).withColumn("query_id", F.format_string("Q%03d", F.col("query_id") % 1000))
-    hits = retrieve.with_chunks(found, d).withColumn("id", F.col("id").cast("string")).withColumn("similarity", F.lit(0.0))
+    return q, retrieve.with_chunks(found, d).withColumn("id", F.col("id").cast("string")).withColumn("similarity", F.lit(0.0))
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, the run's bundle as written and read)."""
+    path = scratch(spark)
+    q, hits = _asked_and_found(spark, sf_dir)
     sinks.write_jsonl(evaluate.run_testset(q, hits, _told, "v2", "t"), path)
     return q, files.bundle_jsonl(spark, path)
 
@@ -158,6 +164,26 @@ def run_bundle(spark, sf_dir):
     return b.select("question_id", "category", "result.answer", F.when(F.col("error").isNull(), F.size("result.retrieved_chunks")).alias("n_hits"), "error")
 
 
+@query(f"WITH {_RUN} SELECT question_id, category, CASE WHEN n % 10 <> 7 THEN 'length ' || n END AS answer, CASE WHEN n % 10 = 7 THEN 'no answer to ' || n END AS error FROM asked")
+def run_resumed(spark, sf_dir):
+    """A run in batches that is killed in its second one, and goes on."""
+    path = scratch(spark)
+    q, hits = _asked_and_found(spark, sf_dir)
+    q, hits, tries = written(q), written(hits), []
+
+    def run(own):
+        tries.append(1)
+        if len(tries) == 2:
+            raise InterruptedError
+        return evaluate.run_testset(own, hits, _told, "v2", "t")
+
+    try:
+        evaluate.run_in_batches(q, run, path, size=16)
+    except InterruptedError:
+        evaluate.run_in_batches(q, run, path, size=16)
+    return files.bundle_jsonl(spark, path).select("question_id", "category", "result.answer", "error")
+
+
 def _judge(rows: list[str]) -> list[dict]:
     import json
 

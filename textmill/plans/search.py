@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import evaluate, retrieve
-from textmill.plans.registry import query, scratch, table
+from textmill.plans.registry import query, table
 from textmill.schemas import METRICS
 from textmill.sources import sinks
+from textmill.storage import scratch
 
 _TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[a-zäöüß0-9]+')"
 #: BM25 as SQL: documents by benchmark items, best k as ``lex``.
@@ -83,6 +84,19 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rrf(_near(spark, sf_dir, 10), lex, 10)
 
 
+@query("SELECT count(*) AS n_queries, count(*) * 5 AS n_exact, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+def vector_lists(spark, sf_dir):
+    """The inverted-list index, stored by list, against the exact search: at
+    least nine of ten of the five nearest are found."""
+    path, v = scratch(spark), _vectors(spark, sf_dir)
+    entries, found = retrieve.vector_index(v)
+    entries.repartition("list").write.partitionBy("list").parquet(path)
+    asked = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    got = retrieve.probe_search(asked, spark.read.parquet(path), found, 5)
+    both = _near(spark, sf_dir, 5).select("query_id", "id").join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"), (10 * F.count("hit") >= 9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 @query(f"WITH {_FUSED} SELECT query_id, id, similarity, rrf_score, rrf_rank::INTEGER AS rrf_rank FROM r")
 def rrf_hybrid(spark, sf_dir):
     return _fused(spark, sf_dir)

@@ -129,12 +129,13 @@ def images_of(shots: str, least: int = 50) -> Column:
 
 def gold_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Documents of JSON lines; blank lines and missing files are passed over."""
-    there = [p for p in paths if _exists(spark, p)]
+    there = [p for p in paths if exists(spark, p)]
     return spark.read.schema(schemas.GOLD).json(there).where("doc_id is not null") if there else spark.createDataFrame([], schemas.GOLD)
 
 
 def bundle_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BUNDLE).json(path).where("question_id is not null")
+    """A bundle in one part, or in a folder per batch."""
+    return spark.read.schema(schemas.BUNDLE).json(path).where("question_id is not null").select(*schemas.BUNDLE.names)
 
 
 def scores_json(spark: SparkSession, path: str) -> DataFrame:
@@ -204,6 +205,6 @@ def latest_file(spark: SparkSession, pattern: str) -> str | None:
     return max((str(s.getPath()) for s in found), key=lambda p: p.rsplit("/", 1)[-1], default=None) if found else None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -16,22 +16,27 @@ def gold_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
 
 
 def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], chunks_path: str, checkpoint: str) -> StreamingQuery:
-    """Chunks new documents batch by batch into a table. A batch that runs
-    again after a failure replaces its own part, so each chunk is there once;
-    documents that an earlier batch brought are passed over."""
-
-    def one(batch: DataFrame, epoch: int) -> None:
-        chunks = chunker(batch.dropDuplicates(["source_type", "doc_id"]))
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(chunks_path).where(F.col("epoch") < epoch).select("source_type", "doc_id").distinct()
-            chunks = chunks.join(known, ["source_type", "doc_id"], "left_anti")
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        chunks.write.mode("overwrite").parquet(f"{chunks_path}/epoch={epoch}")
-
-    return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Chunks new documents batch by batch into a table; documents that an
+    earlier batch brought are passed over.
+
+    Which are known is keyed state: the stream's deduplication keeps nothing
+    but the keys, sharded by key and on disk (RocksDB), and a batch asks for
+    its own keys only, so what a batch costs does not grow with the table. A
+    batch that runs again after a failure starts from the state before it and
+    replaces its own part, so each chunk is there once.
+    """
+    spark, store = docs.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+
+        def one(batch: DataFrame, epoch: int) -> None:
+            chunker(batch).write.mode("overwrite").parquet(f"{chunks_path}/epoch={epoch}")
+
+        new = docs.dropDuplicates(["source_type", "doc_id"])
+        return new.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
