@@ -69,7 +69,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     heads = F.slice("gram", 1, F.greatest(F.lit(1), F.size("gram") - 1))
     anchor = F.array_max(F.transform(heads, lambda w, i: F.struct((F.length(w) + F.length(follow(i))).alias("n"), w.alias("w"), follow(i).alias("v"), i.alias("i"))))
     b = _once(b, "a", anchor, "gram", "items").select("gram", "items", F.xxhash64("a.w", "a.v").alias("h"), F.col("a.i").alias("off"))
-    b = stash(b.withColumn("set", F.sha2(F.concat_ws(",", "items"), 256)), "windows")
+    b = stash(b.withColumn("set", F.sha2(F.to_json("items"), 256)), "windows")
     return b.drop("items"), b.dropDuplicates(["set"]).select("set", F.explode("items").alias("item"))
 
 
@@ -171,15 +171,39 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(bad["_key"]), "left_anti")
 
 
+def _runs(spans: str) -> Column:
+    """The spans as sorted runs of words (from, to), touching ones as one."""
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    run = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def step(acc: Column, s: Column) -> Column:
+        end, last = s["at"] + s["size"], F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(run(last["a"], F.greatest(last["b"], end))))
+        return F.when((F.size(acc) > 0) & (s["at"] <= last["b"]), joined).otherwise(F.concat(acc, F.array(run(s["at"], end))))
+
+    return F.aggregate(F.array_sort(spans), empty, step)
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """doc_id, text: the hit words cut from each text (with what stands
-    between two cut words), every other character kept."""
+    between two cut words), every other character kept.
+
+    A text is what stands before its first word, that word, what stands
+    between it and the next, and so on; what is kept are the stretches of that
+    between the runs of hit words, each copied once. Null, empty and wordless
+    texts, and all texts where there is no benchmark, stay as they are; very
+    long texts are cut whole; malformed UTF-8 of a text that is cut becomes
+    U+FFFD; repeated rows give equal rows; an empty table stays empty.
+    """
     _, found, _ = hits(docs, benchmark, id_col, text_col, n)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    f = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))).alias("cut"))
-    j = base.join(f, base.doc_id.eqNullSafe(f["_id"]) & base.key.eqNullSafe(f["_key"]), "left")
+    f = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), _runs("spans").alias("cut"))
+    j = base.join(f, base.doc_id.eqNullSafe(f["_id"]) & base.key.eqNullSafe(f["_key"]), "left").select("doc_id", "text", "cut")
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-    j = j.withColumn("ws", F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1))).withColumn("gaps", F.split("text", word))
-    inside = lambda i: F.array_contains(F.col("cut"), i)
-    kept = F.transform(F.sequence(F.lit(0), F.size("gaps") - 1), lambda i: F.concat(F.when(inside(i - 1) & inside(i), F.lit("")).otherwise(F.get("gaps", i)), F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get("ws", i), F.lit("")))))
-    return j.select("doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"))
+    parts = F.arrays_zip(F.split("text", word, -1).alias("gap"), F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)).alias("word"))
+    flat = F.flatten(F.transform(parts, lambda p: F.array(p["gap"], F.coalesce(p["word"], F.lit("")))))
+    cut = _once(j.where("cut IS NOT NULL"), "flat", flat, "doc_id", "cut")
+    starts = F.concat(F.array(F.lit(0)), F.transform("cut", lambda r: 2 * r["b"]))
+    ends = F.concat(F.transform("cut", lambda r: 2 * r["a"] + 1), F.array(F.size("flat")))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("flat", a + 1, b - a)))
+    return j.where("cut IS NULL").select("doc_id", "text").unionByName(cut.select("doc_id", F.array_join(kept, "").alias("text")))
