@@ -1,18 +1,17 @@
 """Phrase collocations by generalised suffix automata.
 
 Each task cuts its texts into pieces of words and builds, per language, the
-generalised suffix automaton of a shard of them, as deep as the longest phrase:
-``Automaton`` numbers the different substrings of each length and knows how
-many positions each ends at (endpos) and its suffix link, the substring without
-its first word. A substring whose link ends at the same positions is in one
-class with it; a class is given out once, as its longest substring with the
-length of its shortest. Spark sums the classes' counts over all shards.
-
-Words are counted first, then pairs by a hash alone, then pairs and triples,
-then phrases of 4 and 5 words. A phrase can be frequent only if its parts are,
-so each pass holds back substrings that no set of frequent ones has, or that
-have a part that none has. The sets are bits of a fixed number, broadcast; at
-any size they hold back none that is frequent.
+generalised suffix automaton of a shard of them, unfolded to the depth of the
+longest phrase: ``Automaton`` numbers the different substrings of each length
+and knows how many positions each ends at (endpos) and its suffix link, the
+substring without its first word. Spark sums the counts over all shards.
+
+A phrase can be frequent only if its parts are. Words are counted first, then
+pairs and triples by a hash alone, which holds back nearly all rare ones in few
+bytes; the last pass counts the phrases of 2 to 5 words that the sets of
+frequent hashes, or for 4 and 5 words those of their parts, let through. The
+sets are bits of a fixed number, broadcast; at any size they hold back none
+that is frequent, and what they let through is counted exactly.
 
 Of the global counts a phrase is dropped if it is the suffix link, or the
 beginning, of a frequent phrase of equal count: any longer phrase around it of
@@ -38,8 +37,8 @@ from textmill.llm.common import prepare, stash, with_key_rows
 #: Words of the longest phrase, its least count, phrases reported a language.
 MOST, LEAST, TOP = 5, 100, 2000
 #: Words of a shard (a longer text is a shard by itself), the bits of a set of
-#: frequent phrases (8 MB), and those of the hash by which pairs are counted.
-SHARD, BITS, PAIR_BITS = 1 << 20, 26, 40
+#: frequent phrases (8 MB), and those of the hash by which phrases are counted.
+SHARD, BITS, HASH_BITS = 1 << 20, 26, 40
 #: Into how many parts a language's phrases are dealt to be ranked first.
 PARTS = 16
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -94,20 +93,6 @@ class Automaton:
         self.states[d + 1], self.at[d + 1], self.hashes[d + 1] = state, at, mixed ^ (mixed >> np.uint64(32))
         self.ends[d + 1], self.link[d + 1], self.alive[d + 1] = np.bincount(codes, minlength=len(found)), was[at], np.ones(len(found), bool)
 
-    def classes(self, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(d, states, shortest): the classes of endpos among the substrings of
-        low to high words that are alive, each by its longest one and the
-        length of its shortest."""
-        shortest = {low: np.full(len(self.at[low]), low)}
-        for d in range(low + 1, high + 1):
-            same = self.ends[d] == self.ends[d - 1][self.link[d]]
-            shortest[d] = np.where(same, shortest[d - 1][self.link[d]], d)
-            inner = np.zeros(len(self.at[d - 1]), bool)
-            inner[self.link[d][same]] = True
-            own = np.flatnonzero(~inner & self.alive[d - 1])
-            yield d - 1, own, shortest[d - 1][own]
-        yield high, np.flatnonzero(self.alive[high]), shortest[high][self.alive[high]]
-
     def phrases(self, d: int, states: np.ndarray) -> pa.Array:
         words = pa.array(self.words, pa.binary())
         place = self.at[d][states]
@@ -122,8 +107,8 @@ class _Numbers(dict):
         return n
 
 
-_COUNTS = "lang binary, phrase binary, size int, shortest int, cell bigint, n bigint"
-_NAMES = ["lang", "phrase", "size", "shortest", "cell", "n"]
+_COUNTS = "lang binary, phrase binary, size int, cell bigint, n bigint"
+_NAMES = ["lang", "phrase", "size", "cell", "n"]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
@@ -164,32 +149,34 @@ def _automata(batches: Iterator[pa.RecordBatch], depth: int, sets: dict[int, Bro
         yield lang, a
 
 
-def pair_cells(docs: DataFrame, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
-    """cell, n: occurrences of pairs of frequent words, by their hash alone."""
+def hash_counts(docs: DataFrame, depth: int, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
+    """cell, n: occurrences of phrases of ``depth`` words, by the hash alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, a in _automata(batches, 2, sets, shard, bits):
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of(a.hashes[2], PAIR_BITS)), pa.array(a.ends[2], pa.int64())], names=["cell", "n"])
+        for _, a in _automata(batches, depth, sets, shard, bits):
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(a.hashes[depth], HASH_BITS)), pa.array(a.ends[depth], pa.int64())], names=["cell", "n"])
 
     return docs.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def shard_counts(docs: DataFrame, low: int, high: int, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
-    """The classes of each shard: lang, phrase, size, shortest, cell of the
-    phrase's hash, n. docs: lang, text (binary). With low 1, a row without a
-    phrase per shard has the number of its words."""
+def phrase_counts(docs: DataFrame, low: int, high: int, sets: dict[int, Broadcast], shard: int = SHARD, bits: int = BITS) -> DataFrame:
+    """lang, phrase, size, cell of the phrase's hash, n of the phrases of low
+    to high words that may be frequent, summed over all shards. docs: lang,
+    text (binary). With low 1, a row without a phrase has a language's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, a in _automata(batches, high, sets, shard, bits):
             row = lambda *cols: pa.RecordBatch.from_arrays(list(cols), names=_NAMES)
             if low == 1:
-                yield row(pa.array([lang], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x], t) for x, t in ((0, pa.int32()), (0, pa.int32()), (0, pa.int64()), (int(a.ends[1].sum()), pa.int64()))))
-            for d, states, shortest in a.classes(low, high):
+                yield row(pa.array([lang], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x], t) for x, t in ((0, pa.int32()), (0, pa.int64()), (int(a.ends[1].sum()), pa.int64()))))
+            for d in range(low, high + 1):
+                states = np.flatnonzero(a.alive[d])
                 for i in range(0, len(states), 1 << 16):
                     s = states[i : i + (1 << 16)]
-                    yield row(pa.array([lang] * len(s), pa.binary()), a.phrases(d, s), pa.array(np.full(len(s), d), pa.int32()), pa.array(shortest[i : i + len(s)], pa.int32()), pa.array(cell_of(a.hashes[d][s], bits)), pa.array(a.ends[d][s], pa.int64()))
+                    yield row(pa.array([lang] * len(s), pa.binary()), a.phrases(d, s), pa.array(np.full(len(s), d), pa.int32()), pa.array(cell_of(a.hashes[d][s], bits)), pa.array(a.ends[d][s], pa.int64()))
 
-    return docs.mapInArrow(run, _COUNTS)
+    each = docs.mapInArrow(run, _COUNTS).select(*[F.col(c).cast("string").alias(c) for c in ("lang", "phrase")], "size", "cell", "n")
+    return each.groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n"))
 
 
 def _index(phrase: str, words: Column) -> Column:
@@ -197,34 +184,21 @@ def _index(phrase: str, words: Column) -> Column:
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), words.cast("int"))
 
 
-def _each_phrase(classes: DataFrame, high: int) -> DataFrame:
-    """A row for every phrase of a class, the last words of its longest one;
-    the cells of phrases of ``high`` words, else 0."""
-    each = classes.withColumn("words", F.explode(F.sequence("shortest", "size")))
-    own = F.when(F.col("words") == F.col("size"), F.col("phrase")).otherwise(_index("phrase", -F.col("words")))
-    return each.select("lang", own.alias("phrase"), F.col("words").alias("size"), F.when(F.col("words") == high, F.col("cell")).otherwise(0).alias("cell"), "n")
-
-
 def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, shard: int = SHARD, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(counts, totals). counts: lang, phrase, size (1 to ``most`` words), n of
     all phrases that occur ``least`` times or more; totals: lang and its words.
     docs: lang and text, as text."""
     prepare(docs.sparkSession)
     base = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    text = [F.col(c).cast("string").alias(c) for c in ("lang", "phrase")]
-    words = stash(shard_counts(base, 1, 1, {}, shard, bits).select(*text, "size", "cell", "n").groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases1")
+    words = stash(phrase_counts(base, 1, 1, {}, shard, bits).where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
     totals = words.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("total"))
     words = words.where(F.col("phrase").isNotNull())
-    counts, sets = words.select("lang", "phrase", "size", "n"), {1: broadcast_cells(words.select("cell"), 1 << bits)}
-    pairs = pair_cells(base, sets, shard, bits).where(F.col("n") >= least)
-    sets[2] = broadcast_cells(pairs.select(F.shiftright("cell", PAIR_BITS - bits).alias("cell")), 1 << bits)
-    for low, high in ((2, 3), (4, most)):
-        rows = _each_phrase(shard_counts(base, low, high, sets, shard, bits).select(*text, "size", "shortest", "cell", "n"), high)
-        summed = stash(rows.groupBy("lang", "phrase", "size", "cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"phrases{low}")
-        if high < most:
-            sets[high] = broadcast_cells(summed.where(F.col("size") == high).select("cell"), 1 << bits)
-        counts = counts.unionByName(summed.select("lang", "phrase", "size", "n"))
-    return counts, totals
+    sets = {1: broadcast_cells(words.select("cell"), 1 << bits)}
+    for depth in (2, 3):
+        cells = hash_counts(base, depth, sets, shard, bits).where(F.col("n") >= least)
+        sets[depth] = broadcast_cells(cells.select(F.shiftright("cell", HASH_BITS - bits).alias("cell")), 1 << bits)
+    phrases = stash(phrase_counts(base, 2, most, sets, shard, bits).where(F.col("n") >= least), "phrases")
+    return words.drop("cell").unionByName(phrases.drop("cell")), totals
 
 
 def maximal(counts: DataFrame) -> DataFrame:
