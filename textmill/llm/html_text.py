@@ -2,8 +2,11 @@
 
 A page is cut at block tags into text blocks. A decision tree, trained on a
 small labelled table of blocks, classifies each from its word count and link
-density, those of its neighbours, and hints of the elements around it, which
-words and links can outvote.
+density, those of its neighbours, and what is around it: whether it is in a
+main part or beside one, in an element of page furniture, and hints of names.
+Hints of furniture are outvoted by long unlinked text. Elements of furniture,
+and names of adverts and of readers' comments, whose text looks like any other,
+are not.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ RAW = frozenset("script style textarea title".split())
 FURNITURE = frozenset("nav footer aside form menu button dialog header".split())
 MAIN = frozenset("article main".split())
 SELF_ENDING = frozenset("p li option td th tr dd dt".split())
-#: Words of a class, id or role that furniture has (hint 2), and words that
-#: content has too (hint 1). A hint is a feature of the tree like others.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|navbar|menu\w*|breadcrumb\w*|footer|masthead|sidebar\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|signup|login|social\w*|recommend\w*|comment\w*|repl(?:y|ies)|respond|disqus|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
+#: Words of a class, id or role that adverts and comments have (hint 3), that
+#: furniture has (hint 2), and that content has too (hint 1). A hint is a
+#: feature of the tree like others.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor(?:s|ed)?|comments?|repl(?:y|ies)|respond|disqus)(?=$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:promo\w*|nav\w*|navbar|menu\w*|breadcrumb\w*|footer|masthead|sidebar\w*|cookie\w*|consent|popup|modal|newsletter|subscribe|signup|login|social\w*|recommend\w*|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
 VAGUE = re.compile(r"(?:^|[\s_-])(?:banner\w*|header|side|widget\w*|notice\w*|alert|share\w*|related|copyright|legal|search\w*|tags?|teasers?)(?=$|[\s_-])", re.I)
 #: The words that count for an article or main, whose class also lists tags and layout.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|teasers?|related|recommend\w*|comment|comment-body|repl(?:y|ies)|respond|disqus)(?=$|[\s_-])", re.I)
@@ -41,6 +46,8 @@ ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|teasers?|
 #: words, or ``BODY_WORDS`` and nearly all of them, surrounds the page and is
 #: no furniture, whatever it is or is called.
 BODY_WORDS = 100
+#: A short block outside of a main part that says whose the rights are has hint 2.
+LEGAL, LEGAL_WORDS = re.compile(r"^\W*(?:©|\(c\)|copyright)\W+(?:\w+\W+){0,6}?(?:19|20)\d\d|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b", re.I), 40
 _NAME_OF = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
 _REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -49,21 +56,30 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 
 #: The labelled table: words, link density, words before, words after, link
-#: density before, link density after, in a furniture element, hint, in main,
-#: heading; content.
+#: density before, link density after, in a furniture element, hint, main (1 in
+#: it, -1 beside it, 0 in a page without), heading; content.
 TABLE = (
     # menus, footers, sidebars, forms, headers by their element
     (1, 1.0, 0, 1, 0, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1, 1.0, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 8, 1.0, 0, 1, 0, 0, 0, 0), (8, 0.0, 1, 12, 1.0, 0, 1, 0, 0, 0, 0),
     (24, 0.0, 2, 12, 1.0, 0, 1, 0, 0, 0, 0), (60, 0.0, 40, 0, 0, 0, 1, 0, 0, 0, 0), (9, 0.0, 30, 0, 0, 0, 1, 0, 0, 0, 0), (35, 0.2, 80, 0, 0, 0, 1, 0, 1, 0, 0),
     (12, 0.0, 5, 7, 0, 0, 1, 0, 1, 0, 0), (120, 0.0, 90, 70, 0, 0, 1, 0, 0, 0, 0), (6, 0.0, 0, 10, 0, 0, 1, 0, 0, 1, 0), (4, 0.0, 10, 20, 0, 0, 1, 0, 1, 1, 0),
-    (200, 0.0, 90, 70, 0, 0, 1, 2, 0, 0, 0), (80, 0.0, 60, 60, 0, 0, 1, 0, 1, 0, 0), (3, 0.0, 200, 60, 0, 0, 1, 1, 1, 0, 0),
-    # adverts, notices and comments by their names
-    (8, 0.0, 1, 12, 1.0, 0, 0, 2, 0, 0, 0), (16, 0.0, 1, 4, 1.0, 0, 0, 2, 0, 0, 0), (60, 0.0, 40, 70, 0, 0, 0, 2, 0, 0, 0), (30, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0),
-    (12, 0.0, 80, 60, 0, 0, 0, 2, 1, 0, 0), (150, 0.0, 60, 80, 0, 0, 0, 2, 1, 0, 0), (4, 0.0, 60, 60, 0, 0, 0, 2, 1, 1, 0), (120, 0.0, 10, 10, 0, 0, 0, 2, 0, 0, 0),
+    (200, 0.0, 90, 70, 0, 0, 1, 2, 0, 0, 0), (14, 0.0, 60, 60, 0, 0, 1, 1, 1, 0, 0), (22, 0.0, 8, 16, 0, 0, 1, 1, 1, 0, 0), (90, 0.0, 60, 60, 0, 0, 1, 1, 1, 0, 0), (100, 0.0, 60, 60, 0, 0, 1, 2, 1, 0, 0), (80, 0.0, 60, 60, 0, 0, 1, 0, 1, 0, 0), (3, 0.0, 200, 60, 0, 0, 1, 1, 1, 0, 0),
+    # adverts and comments by their names; vague names with scraps and links
+    (8, 0.0, 1, 12, 1.0, 0, 0, 3, 0, 0, 0), (16, 0.0, 1, 4, 1.0, 0, 0, 3, 0, 0, 0), (60, 0.0, 40, 70, 0, 0, 0, 3, 0, 0, 0), (30, 0.0, 60, 60, 0, 0, 0, 3, 1, 0, 0),
+    (12, 0.0, 80, 60, 0, 0, 0, 3, 1, 0, 0), (150, 0.0, 60, 80, 0, 0, 0, 3, 1, 0, 0), (4, 0.0, 60, 60, 0, 0, 0, 3, 1, 1, 0), (120, 0.0, 10, 10, 0, 0, 0, 3, 0, 0, 0),
     (6, 0.0, 60, 60, 0, 0, 0, 1, 0, 0, 0), (20, 0.0, 3, 60, 1.0, 0, 0, 1, 0, 0, 0), (16, 0.0, 60, 3, 0, 1.0, 0, 1, 0, 0, 0), (25, 0.0, 60, 4, 0, 0, 0, 1, 0, 0, 0),
     (5, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 0), (6, 0.5, 60, 60, 0, 0, 0, 1, 1, 0, 0), (3, 1.0, 60, 3, 0, 1.0, 0, 1, 1, 0, 0), (14, 0.8, 60, 9, 0, 0.9, 0, 1, 1, 0, 0), (2, 0.0, 60, 5, 0, 1.0, 0, 1, 1, 1, 0),
-    (8, 0.0, 2, 3, 1.0, 1.0, 0, 2, 0, 0, 0), (40, 0.0, 90, 2, 0, 1.0, 0, 2, 1, 0, 0), (3, 0.5, 90, 90, 0, 0, 0, 2, 1, 0, 0), (10, 0.0, 90, 90, 0, 0, 0, 2, 1, 0, 0), (90, 0.0, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 0), (2, 1.0, 90, 90, 0, 0, 0, 2, 1, 1, 0), (9, 0.9, 60, 60, 0, 0, 0, 2, 1, 0, 0),
+    (8, 0.0, 2, 3, 1.0, 1.0, 0, 3, 0, 0, 0), (40, 0.0, 90, 2, 0, 1.0, 0, 3, 1, 0, 0), (3, 0.5, 90, 90, 0, 0, 0, 3, 1, 0, 0), (10, 0.0, 90, 90, 0, 0, 0, 3, 1, 0, 0), (90, 0.0, 3, 3, 1.0, 1.0, 0, 3, 1, 0, 0), (2, 1.0, 90, 90, 0, 0, 0, 3, 1, 1, 0), (9, 0.9, 60, 60, 0, 0, 0, 3, 1, 0, 0),
     (4, 0.0, 3, 3, 1.0, 1.0, 0, 1, 1, 0, 0), (3, 0.0, 90, 4, 0, 1.0, 0, 1, 0, 0, 0), (20, 0.0, 90, 4, 0, 1.0, 0, 1, 0, 0, 0), (7, 1.0, 90, 90, 0, 0, 0, 1, 1, 0, 0), (3, 0.9, 90, 3, 0, 0, 0, 1, 1, 0, 0), (5, 0.9, 50, 50, 0, 0, 0, 1, 0, 0, 0), (8, 0.0, 4, 3, 1.0, 1.0, 0, 1, 0, 0, 0),
+    # names of furniture: short or linked in a main part, and not long outside of one
+    (3, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0), (8, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0), (16, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0), (28, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 0), (30, 0.1, 10, 9, 0, 0, 0, 2, 1, 0, 0), (2, 0.0, 0, 16, 0, 0, 0, 2, 1, 1, 0), (16, 0.0, 0, 60, 0, 0, 0, 2, 1, 0, 0), (16, 0.0, 60, 0, 0, 0, 0, 2, 1, 0, 0),
+    (60, 0.9, 60, 60, 0, 0, 0, 2, 1, 0, 0), (120, 0.7, 90, 3, 0, 1.0, 0, 2, 1, 0, 0), (40, 0.6, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 0), (5, 1.0, 4, 4, 1.0, 1.0, 0, 2, 1, 0, 0), (8, 0.0, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 0), (28, 0.0, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 0),
+    (8, 0.0, 1, 12, 1.0, 0, 0, 2, 0, 0, 0), (16, 0.0, 60, 60, 0, 0, 0, 2, 0, 0, 0), (60, 0.0, 40, 70, 0, 0, 0, 2, 0, 0, 0), (100, 0.0, 10, 10, 0, 0, 0, 2, 0, 0, 0), (90, 0.1, 3, 3, 1.0, 1.0, 0, 2, 0, 0, 0), (200, 0.8, 3, 3, 1.0, 1.0, 0, 2, 0, 0, 0), (3, 0.0, 60, 4, 0, 1.0, 0, 2, 0, 1, 0), (6, 1.0, 60, 0, 0, 0, 0, 2, 0, 0, 0), (16, 0.0, 90, 4, 0, 1.0, 0, 2, 0, 0, 0),
+    # names of furniture: outvoted by long text without links
+    (40, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 1), (38, 0.0, 90, 90, 0, 0, 0, 2, 1, 0, 1), (45, 0.1, 10, 60, 0, 0, 0, 2, 1, 0, 1), (100, 0.0, 60, 60, 0, 0, 0, 2, 1, 0, 1), (100, 0.0, 0, 60, 0, 0, 0, 2, 1, 0, 1), (60, 0.2, 3, 3, 1.0, 1.0, 0, 2, 1, 0, 1), (300, 0.05, 60, 0, 0, 0, 0, 2, 1, 0, 1), (40, 0.0, 90, 2, 0, 1.0, 0, 2, 1, 0, 1), (50, 0.0, 0, 0, 0, 0, 0, 2, 1, 0, 1),
+    (200, 0.0, 60, 60, 0, 0, 0, 2, 0, 0, 1), (160, 0.1, 3, 3, 1.0, 1.0, 0, 2, 0, 0, 1), (400, 0.0, 0, 0, 0, 0, 0, 2, 0, 0, 1),
+    # beside a main part: whatever it is
+    (1, 1.0, 1, 1, 1.0, 1.0, 0, 0, -1, 0, 0), (8, 0.0, 1, 12, 1.0, 0, 0, 0, -1, 0, 0), (12, 0.0, 60, 60, 0, 0, 0, 0, -1, 0, 0), (16, 0.0, 60, 3, 0, 1.0, 0, 0, -1, 0, 0), (30, 0.1, 0, 40, 0, 0, 0, 0, -1, 0, 0), (60, 0.0, 10, 80, 0, 0, 0, 0, -1, 0, 0), (120, 0.0, 60, 60, 0, 0, 0, 0, -1, 0, 0), (5, 0.0, 40, 60, 0, 0, 0, 0, -1, 1, 0), (3, 0.0, 0, 50, 0, 0, 0, 0, -1, 1, 0), (20, 0.0, 60, 60, 0, 0, 0, 1, -1, 0, 0), (100, 0.0, 60, 60, 0, 0, 0, 2, -1, 0, 0), (90, 0.0, 60, 60, 0, 0, 0, 1, -1, 0, 0), (300, 0.0, 60, 60, 0, 0, 0, 2, -1, 0, 0), (300, 0.0, 60, 60, 0, 0, 0, 0, -1, 0, 0), (18, 0.0, 40, 40, 0, 0, 0, 0, -1, 0, 0), (2, 0.0, 60, 40, 0, 0, 0, 0, -1, 0, 0),
     # names that content has too: outvoted by whole sentences
     (16, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 1), (11, 0.0, 60, 60, 0, 0, 0, 1, 1, 0, 1), (40, 0.05, 10, 70, 0, 0, 0, 1, 1, 0, 1), (120, 0.0, 60, 0, 0, 0, 0, 1, 1, 0, 1), (14, 0.0, 8, 16, 0, 0, 0, 1, 1, 0, 1), (22, 0.1, 0, 0, 0, 0, 0, 1, 1, 0, 1),
     (90, 0.0, 60, 60, 0, 0, 0, 1, 0, 0, 1), (60, 0.0, 80, 70, 0, 0, 0, 1, 0, 0, 1), (150, 0.05, 3, 40, 1.0, 0, 0, 1, 0, 0, 1),
@@ -73,7 +89,7 @@ TABLE = (
     (2, 0.0, 60, 70, 0, 0, 0, 0, 1, 0, 1), (1, 0.0, 0, 0, 0, 0, 0, 0, 1, 0, 1), (120, 0.05, 60, 9, 0, 0, 0, 0, 1, 0, 1), (30, 0.3, 60, 60, 0, 0, 0, 0, 1, 0, 1),
     (8, 0.6, 60, 60, 0, 0, 0, 0, 1, 0, 1), (200, 0.0, 2, 30, 0, 0, 0, 0, 1, 0, 1), (4, 0.0, 3, 5, 0, 0, 0, 0, 1, 0, 1), (1, 1.0, 50, 40, 0, 0, 0, 0, 1, 0, 1),
     (3, 0.0, 1, 8, 1.0, 0, 0, 0, 1, 0, 1), (1, 0.0, 8, 1, 0, 1.0, 0, 0, 1, 0, 1), (6, 1.0, 8, 60, 0, 0, 0, 0, 1, 1, 1), (12, 0.9, 60, 60, 0, 0, 0, 0, 1, 0, 1),
-    (10, 0.5, 16, 16, 0, 0, 0, 0, 1, 0, 1), (20, 0.45, 8, 10, 0, 0, 0, 0, 1, 0, 1), (15, 0.7, 16, 5, 0, 0, 0, 0, 1, 0, 1), (5, 1.0, 16, 16, 0, 0, 0, 0, 1, 0, 1), (30, 0.8, 20, 12, 0.3, 0, 0, 0, 1, 0, 1), (3, 1.0, 16, 3, 0, 0, 0, 0, 1, 0, 1),
+    (10, 0.5, 16, 16, 0, 0, 0, 0, 1, 0, 1), (20, 0.45, 8, 10, 0, 0, 0, 0, 1, 0, 1), (15, 0.7, 16, 5, 0, 0, 0, 0, 1, 0, 1), (5, 1.0, 16, 16, 0, 0, 0, 0, 1, 0, 1), (1, 1.0, 6, 6, 0, 0, 0, 0, 1, 0, 1), (3, 0.9, 6, 8, 0, 0, 0, 0, 1, 0, 1), (2, 1.0, 40, 6, 0, 0, 0, 0, 1, 0, 1), (1, 0.9, 100, 100, 0, 0, 0, 0, 1, 1, 1), (30, 0.8, 20, 12, 0.3, 0, 0, 0, 1, 0, 1), (3, 1.0, 16, 3, 0, 0, 0, 0, 1, 0, 1),
     (60, 0.0, 60, 3, 0, 1.0, 0, 0, 1, 0, 1), (30, 0.0, 90, 2, 0, 1.0, 0, 0, 1, 0, 1), (1, 0.0, 90, 4, 0, 1.0, 0, 0, 1, 0, 1), (8, 0.0, 70, 3, 0, 1.0, 0, 0, 1, 0, 1), (5, 0.1, 3, 3, 1.0, 1.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 3, 0, 1.0, 0, 0, 1, 0, 1), (3, 0.0, 2, 3, 0, 1.0, 0, 0, 1, 1, 1),
     # runs of links in the main part
     (3, 1.0, 4, 4, 1.0, 1.0, 0, 0, 1, 0, 0), (5, 1.0, 3, 5, 1.0, 1.0, 0, 0, 1, 0, 0), (6, 0.95, 5, 6, 1.0, 0.95, 0, 0, 1, 0, 0),
@@ -86,7 +102,7 @@ TABLE = (
     (16, 0.0, 90, 5, 0, 1.0, 0, 0, 0, 0, 1), (100, 0.0, 120, 3, 0, 1.0, 0, 0, 0, 0, 1), (50, 0.1, 60, 4, 0, 0.9, 0, 0, 0, 0, 1), (8, 0.0, 90, 3, 0, 1.0, 0, 0, 0, 0, 1), (8, 0.1, 3, 3, 1.0, 1.0, 0, 0, 0, 0, 1), (9, 0.0, 40, 3, 0, 0.5, 0, 0, 0, 0, 1),
     # unmarked pages: links and scraps among links
     (4, 1.0, 16, 0, 0, 0, 0, 0, 0, 0, 0), (2, 1.0, 80, 1, 0, 1.0, 0, 0, 0, 0, 0), (9, 0.8, 60, 6, 0, 0.8, 0, 0, 0, 0, 0), (25, 0.9, 0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 1.0, 0, 1, 0, 1.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0, 0), (4, 0.9, 3, 60, 1.0, 0, 0, 0, 0, 0, 0), (12, 0.8, 8, 9, 0.9, 0.9, 0, 0, 0, 0, 0), (30, 0.7, 5, 5, 0.8, 0.8, 0, 0, 0, 0, 0), (5, 0.8, 16, 16, 0, 0, 0, 0, 0, 0, 0),
+    (2, 1.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 40, 40, 1.0, 1.0, 0, 0, 0, 0, 0), (3, 0.9, 100, 100, 1.0, 1.0, 0, 0, 0, 0, 0), (12, 1.0, 40, 100, 1.0, 1.0, 0, 0, 0, 1, 0), (2, 0.95, 100, 40, 1.0, 1.0, 0, 0, 0, 0, 0), (4, 0.9, 3, 60, 1.0, 0, 0, 0, 0, 0, 0), (12, 0.8, 8, 9, 0.9, 0.9, 0, 0, 0, 0, 0), (30, 0.7, 5, 5, 0.8, 0.8, 0, 0, 0, 0, 0), (5, 0.8, 16, 16, 0, 0, 0, 0, 0, 0, 0),
     (2, 0.0, 1, 2, 1.0, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 4, 0, 1.0, 0, 0, 0, 0, 0), (6, 0.5, 60, 3, 0, 1.0, 0, 0, 0, 0, 0), (15, 0.6, 4, 70, 0.9, 0, 0, 0, 0, 0, 0), (3, 1.0, 16, 16, 0, 0, 0, 0, 0, 1, 0), (4, 1.0, 0, 16, 0, 0, 0, 0, 0, 1, 0),
 )
 
@@ -121,13 +137,14 @@ def decide(tree: tuple, row: tuple) -> bool:
 
 
 def _hint(name: str, attributes: str) -> int:
-    """What class, id and role say: 2 furniture, 1 perhaps, 0 nothing."""
+    """What class, id and role say: 3 advert or comment, 2 furniture, 1
+    perhaps, 0 nothing."""
     if not attributes or name in ("body", "html"):
         return 0
     values = [a or b or c for a, b, c in _NAME.findall(attributes)]
     if name in MAIN:
-        return 2 * any(map(ASIDE.search, values))
-    return 2 if any(map(NAMED.search, values)) else int(any(map(VAGUE.search, values)))
+        return 3 * any(map(ASIDE.search, values))
+    return next((h for h, names in ((3, FOREIGN), (2, NAMED), (1, VAGUE)) if any(map(names.search, values))), 0)
 
 
 class Block(NamedTuple):
@@ -277,10 +294,15 @@ class Page:
         for b in found:
             if zones[b.zone] == (False, 0):
                 weight[b.main] += b.words - b.linked
+        marked = weight[1] >= weight[0] and weight[1] > 0
         out = []
         for i, b in enumerate(found):
             before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-            out.append((b.words, b.density, before.words, after.words, before.density, after.density, *zones[b.zone], b.main and weight[1] >= weight[0], b.heading))
+            element, hint = zones[b.zone]
+            main = (1 if b.main else -1) if marked else 0
+            if main < 1 and b.words <= LEGAL_WORDS and LEGAL.search(b.text):
+                hint = max(hint, 2)
+            out.append((b.words, b.density, before.words, after.words, before.density, after.density, element, hint, main, b.heading))
         return out
 
 
