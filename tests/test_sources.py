@@ -117,6 +117,25 @@ def test_quoted_records(spark, tmp_path, split):
     assert [next(csv.reader(io.StringIO(r["record"], newline=""), delimiter=";")) for r in got] == want
 
 
+def test_numbered_lines(spark, tmp_path, split):
+    """Line numbers are right across ranges and files, and validation names them."""
+    ok = lambda i: json.dumps({"id": f"Q{i:03d}", "question": "was?", "category": "Recency"})
+    (tmp_path / "a.jsonl").write_text("\n".join([ok(1), "", ok(2)]) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(ok(i) for i in range(3, 60)) + "\r\n\r\n" + ok(60))
+    got = {r["id"]: r["line_no"] for r in files.questions_jsonl(spark, str(tmp_path)).collect()}
+    assert got == {"Q001": 1, "Q002": 3, **{f"Q{i:03d}": i + 1 for i in range(3, 60)}, "Q060": 62}
+    with open(tmp_path / "b.jsonl", "a") as f:
+        f.write("\n{torn")
+    with pytest.raises(Exception, match="line 63"):
+        files.questions_jsonl(spark, str(tmp_path)).collect()
+
+
+def test_mis_encoded_export(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes(post("1", "gr\xfcn").encode("latin-1") + b"\n")
+    with pytest.raises(Exception, match="(?i)utf"):
+        files.forum_csv(spark, str(tmp_path / "f.csv")).collect()
+
+
 def test_forum_of_several_files(spark, tmp_path, split):
     """Of equal texts the first by file name stays, though files are read by size."""
     (tmp_path / "a.csv").write_text(post("1", "gleich") + "\n")
@@ -265,7 +284,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 1
     s = spark.createDataFrame([("Q1", 0.5)], "question_id string, faithfulness double")
     sinks.write_scores(s, str(tmp_path / "s"), judge="x")
-    assert spark.read.json(str(tmp_path / "s")).first()["scores"][0]["question_id"] == "Q1"
+    assert tuple(files.scores_json(spark, str(tmp_path / "s")).select("question_id", "faithfulness").first()) == ("Q1", 0.5) and spark.read.json(str(tmp_path / "s/metadata")).first()["judge"] == "x"
+    old = write(tmp_path / "o.json", [{"metadata": {}, "scores": [{"question_id": "Q2"}]}])
+    assert files.scores_json(spark, old).first()["question_id"] == "Q2"
     gold = write(tmp_path / "g.jsonl", [{"doc_id": "a", "source_type": "forum"}, ""])
     assert files.gold_jsonl(spark, [gold, str(tmp_path / "none.jsonl")]).where("doc_id is not null").count() == 1
     assert files.gold_jsonl(spark, [str(tmp_path / "none.jsonl")]).count() == 0

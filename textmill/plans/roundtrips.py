@@ -117,10 +117,10 @@ _CATEGORIES = "['Chunking', 'Recency', 'Visuals', 'CrossSource']"
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark items as a question set, written and read."""
+    """The benchmark items as a question set of several files, written and read."""
     path = scratch(spark)
     b = table(spark, sf_dir, "benchmark").select("item_id", F.format_string("Q%03d", F.col("item_id") % 1000).alias("id"), F.col("text").alias("question"), F.get(F.array(*[F.lit(c) for c in files.CATEGORIES]), (F.col("item_id") % 4).cast("int")).alias("category"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("g"), F.col("item_id").cast("string"))).alias("ground_truth"))
-    sinks.write_jsonl(b.coalesce(1).sort("item_id").drop("item_id"), path)
+    sinks.write_jsonl(b.repartitionByRange(4, "item_id").sortWithinPartitions("item_id").drop("item_id"), path)
     return files.questions_jsonl(spark, path + "/part-*")
 
 

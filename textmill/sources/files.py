@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from textmill import schemas
 from textmill.functions.text import is_blank
-from textmill.sources.ranges import quoted_records
+from textmill.sources.ranges import numbered_lines, quoted_records
 from textmill.workers import reach
 
 # The columns used of a forum export (ordinals) and of tickets.
@@ -26,8 +26,9 @@ def sampled(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, record of a quoted CSV, read in ranges; blank lines go."""
-    own = quoted_records(spark, path)
+    """file, at, record of a quoted CSV, read in ranges; blank lines go. Bytes
+    that are no UTF-8 raise when the row is read: the export is mis-encoded."""
+    own = quoted_records(spark, path).withColumn("record", F.validate_utf8("record"))
     text = F.regexp_replace(F.when(F.col("at") == 0, F.ltrim(F.col("record"), F.lit("\ufeff"))).otherwise(F.col("record")), "\r$", "")
     return own.select("file", "at", text.alias("record")).where("record <> ''")
 
@@ -139,22 +140,25 @@ def bundle_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scores_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per question of a score file ({metadata, scores})."""
+    """One row per question of what ``sinks.write_scores`` has written, or of
+    a file of another writer with all in one object ({metadata, scores})."""
+    if exists(spark, f"{path}/scores"):
+        return spark.read.schema(schemas.SCORES).json(f"{path}/scores").select(F.col("_metadata.file_path").alias("file"), "*")
     raw = spark.read.option("multiLine", True).schema("scores array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.SCORES) + ">>").json(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.inline("scores"))
 
 
 def questions_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Validated questions with their line number, in file order.
+    """Validated questions with their line number; of several files the
+    numbers go on in order of name.
 
     The first violated rule of a line raises when the row is read, with the
-    line's number. The lines are read as one file-ordered partition: a
-    question set is written by hand.
+    line's number.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where(~is_blank(F.col("line")))
+    raw = numbered_lines(spark, path).select("no", F.regexp_replace("line", "\r$", "").alias("line")).where(~is_blank(F.col("line")))
     parsed = F.try_parse_json("line")
     fields = [F.try_variant_get(parsed, f"$.{c}", "string").alias(c) for c in ("id", "question", "category", "ground_truth")]
-    return validated(raw.select((F.col("at") + 1).alias("line_no"), "line", *fields, parsed.isNull().alias("torn")))
+    return validated(raw.select(F.col("no").cast("int").alias("line_no"), "line", *fields, parsed.isNull().alias("torn")))
 
 
 def validated(rows: DataFrame) -> DataFrame:

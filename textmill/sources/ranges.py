@@ -53,6 +53,29 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], p
             yield (file[i].as_py(), int(start[i])), b.column(2).slice(i, j - i)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """no (from 1), line: the lines with their numbers, which go on from file
+    to file in order of name."""
+    reach(spark)
+    own = lines(spark, path)
+    got = own.groupBy("file", "range").agg(F.count(F.lit(1)).alias("n")).limit(RANGES + 1).collect()
+    if len(got) > RANGES:
+        raise ValueError(f"more than {RANGES} ranges; read them in larger ones (spark.sql.files.maxPartitionBytes)")
+    before, first = {}, 1
+    for r in sorted(got, key=lambda r: (r["file"], r["range"])):
+        before[r["file"], r["range"]], first = first, first + r["n"]
+    known = spark.sparkContext.broadcast(before)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, no = None, 0
+        for k, part in runs(batches):
+            key, no = k, no if k == key else known.value[k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(no, no + len(part))), part.cast(pa.binary())], names=["no", "line"])
+            no += len(part)
+
+    return own.mapInArrow(number, "no bigint, line binary").select("no", F.col("line").cast("string").alias("line"))
+
+
 def _quotes() -> Column:
     text = F.col("line").cast("string")
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import slug
+from textmill.operators.retrieve import bm25_blocks, bm25_tables
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
@@ -36,16 +37,25 @@ def _blocks_table(path: str, buckets: int) -> str:
 
 
 def write_lexical_index(index: dict[str, DataFrame], path: str, buckets: int = 0) -> None:
-    """The tables of a lexical index. With ``buckets`` the blocks of postings
-    become a catalog table bucketed by term and part, whose number of buckets
-    is kept beside it, so that any session can read it as bucketed."""
-    for name, df in index.items():
-        if buckets and name == "blocks":
-            dealt = df.repartition(buckets, "term", "part")
-            dealt.write.mode("overwrite").bucketBy(buckets, "term", "part").sortBy("term", "part").option("path", f"{path}/{name}").saveAsTable(_blocks_table(path, buckets))
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = index["stats"].sparkSession
+    """The tables of a lexical index; texts are cut into terms for the first
+    two, and the others are made of these as they are stored. With ``buckets``
+    the blocks of postings become a catalog table bucketed by term and part,
+    whose number of buckets is kept beside it, so that any session can read it
+    as bucketed."""
+    spark = index["postings"].sparkSession
+
+    def put(name: str) -> DataFrame:
+        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    index = index | bm25_tables(put("postings"), put("docs"))
+    index = index | {name: put(name) for name in ("terms", "stats")}
+    blocks = bm25_blocks(index)
+    if buckets:
+        dealt = blocks.repartition(buckets, "term", "part")
+        dealt.write.mode("overwrite").bucketBy(buckets, "term", "part").sortBy("term", "part").option("path", f"{path}/blocks").saveAsTable(_blocks_table(path, buckets))
+    else:
+        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
@@ -104,11 +114,11 @@ def compact_cache(latest: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str, **metadata: object) -> None:
-    """{metadata, scores} as one JSON row: a score file has a row per
-    question of a hand-written set."""
-    head = F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]) if metadata else F.lit(None).cast("string")
-    body = F.sort_array(F.collect_list(F.struct(*scores.columns)))
-    scores.agg(body.alias("scores")).select(head.alias("metadata"), "scores").write.mode("overwrite").json(path)
+    """A row per question as JSON lines in the folder ``scores``, and the
+    metadata as one row beside it, in ``metadata``."""
+    scores.write.mode("overwrite").json(f"{path}/scores")
+    head = scores.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in metadata.items()] or [F.lit(None).cast("string").alias("none")])
+    head.write.mode("overwrite").json(f"{path}/metadata")
 
 
 def write_consolidated(answers: DataFrame, path: str) -> None:
