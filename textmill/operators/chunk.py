@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.text import is_blank, once, strip
 from textmill.functions.tokens import WORDS, Tokenizer, windows
+from textmill.storage import written
 
 # Window sizes and overlaps, and token limits.
 V0_WINDOW = (1000, 150)
@@ -61,12 +62,17 @@ def _shape(df: DataFrame, id_: Column, index: Column, strategy: Column, page: Co
 
 def _cut(df: DataFrame, limit: int, tok: Tokenizer) -> DataFrame:
     """Adds parts and whole: a text within the limit is its only part, a
-    longer one is cut into fallback windows."""
-    t = once(df, "tokens", tok.split(F.col("text")))
-    whole = F.size("tokens") <= limit
+    longer one is cut into fallback windows. A token has at least one byte, so
+    texts of at most ``limit`` bytes are not cut into tokens."""
+    t = once(df, "tokens", F.when(F.octet_length("text") > limit, tok.split(F.col("text"))))
+    whole = F.coalesce(F.size("tokens") <= limit, F.lit(True))
     return t.withColumn("whole", whole).withColumn("parts", F.when(whole, F.array("text")).otherwise(windows(F.col("tokens"), *FALLBACK_WINDOW))).drop("tokens")
 
 
+def _longer(text: str, limit: int, tok: Tokenizer) -> Column:
+    return F.when(F.octet_length(text) > limit, tok.count(F.col(text)) > limit).otherwise(False)
+
+
 def v0(docs: DataFrame, tok: Tokenizer = WORDS, size: int = V0_WINDOW[0], overlap: int = V0_WINDOW[1]) -> DataFrame:
     """Windows over the full text, whatever the source."""
     t = once(_base(docs).drop("outline", "pages"), "tokens", tok.split(F.col("full_text"))).drop("full_text")
@@ -146,12 +152,17 @@ def _points(docs: DataFrame, value: str, what: str, keep: Callable[[Column], Col
     return each.select(*_KEY, (F.col("rank") + 1).cast("long").alias("rank"), "x.value", "x.at", "x.e")
 
 
-def ranges_text(docs: DataFrame, ranges: DataFrame, of_range: tuple[str, ...]) -> DataFrame:
-    """keys, of_range, text: the texts of the pages in each range, stripped,
-    blank ones left out, joined in the pages' order; ranges without text go."""
-    pages = _points(docs, "page_number", "pages")
-    text = strip(F.coalesce("e.text", F.lit("")))
-    met = inside(ranges, pages, _KEY, of_range).join(pages.select(*_KEY, "rank", "at", text.alias("text")).where("text <> ''"), [*_KEY, "rank"])
+def page_points(docs: DataFrame) -> DataFrame:
+    """The pages of each document that have a number, as points: keys, rank,
+    value (the number), at, text (stripped)."""
+    return _points(docs, "page_number", "pages").select(*_KEY, "rank", "value", "at", strip(F.coalesce("e.text", F.lit(""))).alias("text"))
+
+
+def ranges_text(pages: DataFrame, ranges: DataFrame, of_range: tuple[str, ...]) -> DataFrame:
+    """keys, of_range, text: the texts of the pages in each range, blank ones
+    left out, joined in the pages' order; ranges without text go. pages: the
+    result of ``page_points``."""
+    met = inside(ranges, pages, _KEY, of_range).join(pages.select(*_KEY, "rank", "at", "text").where("text <> ''"), [*_KEY, "rank"])
     ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
     return met.groupBy(*_KEY, *of_range).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
@@ -170,7 +181,10 @@ def h3_sections(docs: DataFrame, h2: DataFrame) -> DataFrame:
 
 def by_outline(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
     """A chunk per level-2 section; too long ones go by level 3, then by
-    windows. Without outline, pages or level-2 entries: windows."""
+    windows. Without outline, pages or level-2 entries: windows.
+
+    Pages, outlines, sections and their texts are written once and read by all
+    that need them, so the documents are read and cut into pages once."""
     base = _base(docs)
     usable = F.exists("outline", lambda e: e["level"] == 2) & (F.size("pages") > 0)
     flat = once(base.where(~usable).drop("outline", "pages"), "tokens", tok.split(F.col("full_text"))).drop("full_text")
@@ -178,16 +192,18 @@ def by_outline(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
     flat = _shape(flat, _id("_nooutline_recursive_", _number(F.col("i"))), F.col("i"), F.lit("recursive_fallback"))
 
     own = base.where(usable).drop("full_text")
-    h2 = sections(own, _KEY)
-    h3 = h3_sections(own, h2)
+    pages = written(page_points(own))
+    own = written(own.withColumn("pages", F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number")))))
+    h2 = written(sections(own, _KEY))
+    h3 = written(h3_sections(own, h2))
     has_h3 = h3.select(*_KEY, "h2_at").distinct().withColumn("finer", F.lit(True))
-    whole = ranges_text(own, h2, ("h2_at",)).join(has_h3, [*_KEY, "h2_at"], "left")
-    whole = whole.withColumn("finer", F.coalesce("finer", F.lit(False)) & (tok.count(F.col("text")) > SECTION_LIMIT))
+    whole = ranges_text(pages, h2, ("h2_at",)).join(has_h3, [*_KEY, "h2_at"], "left")
+    whole = written(whole.withColumn("finer", F.coalesce("finer", F.lit(False)) & _longer("text", SECTION_LIMIT, tok)))
     h3 = h3.join(whole.where("finer").select(*_KEY, "h2_at"), [*_KEY, "h2_at"], "left_semi")
     named = h2.select(*_KEY, "h2_at", "h1", F.col("title").alias("h2"))
     path = lambda *more: F.array("h1", "h2", *more).alias("path")
     coarse = whole.where("not finer").join(named, [*_KEY, "h2_at"]).select(*_KEY, "h2_at", F.lit(-1).alias("h3_at"), F.lit("h2").alias("kind"), path(), "text")
-    fine = ranges_text(own, h3, ("h2_at", "h3_at")).join(h3.select(*_KEY, "h2_at", "h3_at", "title"), [*_KEY, "h2_at", "h3_at"]).join(named, [*_KEY, "h2_at"])
+    fine = ranges_text(pages, h3, ("h2_at", "h3_at")).join(h3.select(*_KEY, "h2_at", "h3_at", "title"), [*_KEY, "h2_at", "h3_at"]).join(named, [*_KEY, "h2_at"])
     p = coarse.unionByName(fine.select(*_KEY, "h2_at", "h3_at", F.lit("h3").alias("kind"), path("title"), "text"))
     p = p.join(own.select(*_KEY, "source_file"), [*_KEY])
     p = _cut(p, SECTION_LIMIT, tok).drop("text")
