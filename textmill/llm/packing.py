@@ -35,6 +35,10 @@ def reduce_instance(counts: dict[int, int], limit: int) -> tuple[list[tuple[tupl
     For the piece j with room r = limit - j, {j, k} with the largest fitting k
     dominates every set with j if k = r, or if no two pieces fit beside j, or
     if no three do and no two sum to more than k; {j} does if nothing fits.
+    If no three fit beside j, {j, k, b} with the largest b that fits beside
+    both does if no two pieces larger than b that fit sum to more than k.
+    Fewer pieces leave fewer alternatives, so a set is fixed as often as its
+    pieces last.
     """
     left, fixed = {w: n for w, n in counts.items() if n > 0}, []
     changed = True
@@ -50,28 +54,41 @@ def reduce_instance(counts: dict[int, int], limit: int) -> tuple[list[tuple[tupl
                     changed = True
                     break
                 k = int(sizes[fit - 1])
-                if k != room and not _pair_dominates(sizes, left, j, room, k):
+                beside = (k,) if k == room else _dominating(sizes, left, j, room, k)
+                if beside is None:
                     break
-                n = left[j] // 2 if j == k else min(left[j], left[k])
-                fixed.append(((j, k), n))
+                parts = Counter((j, *beside))
+                n = min(left[w] // m for w, m in parts.items())
+                fixed.append(((j, *beside), n))
                 changed = True
-                for w in (j, k):
-                    left[w] -= n
-                for w in {j, k}:
+                for w, m in parts.items():
+                    left[w] -= n * m
                     if not left[w]:
                         del left[w]
     return fixed, left
 
 
-def _pair_dominates(sizes: np.ndarray, left: dict[int, int], j: int, room: int, k: int) -> bool:
+def _dominating(sizes: np.ndarray, left: dict[int, int], j: int, room: int, k: int) -> tuple[int, ...] | None:
+    """The one or two pieces that with j dominate every set with j, if any do;
+    sizes: of the pieces beside j, ascending."""
     few: list[int] = []
     for w in sizes[:3].tolist():
         few += [w] * min(3, left[w] - (w == j))
     few = few[:3]
     if len(few) < 2 or few[0] + few[1] > room:
-        return True
+        return (k,)
     if len(few) == 3 and sum(few) <= room:
-        return False
+        return None
+    if k >= _best_pair(sizes, left, j, room):
+        return (k,)
+    third = next((w for w in reversed(sizes[: np.searchsorted(sizes, room - k, "right")].tolist()) if left[w] - (w == j) - (w == k) > 0), None)
+    if third is None or _best_pair(sizes[sizes > third], left, j, room) > k:
+        return None
+    return (k, third)
+
+
+def _best_pair(sizes: np.ndarray, left: dict[int, int], j: int, room: int) -> int:
+    """The greatest sum of two pieces of these sizes that fits; 0 if none does."""
     partner = np.searchsorted(sizes, room - sizes, "right") - 1
     best = 0
     for a, p in zip(sizes.tolist(), partner.tolist(), strict=True):
@@ -81,7 +98,7 @@ def _pair_dominates(sizes: np.ndarray, left: dict[int, int], j: int, room: int,
                 best = max(best, a + b)
                 break
             p -= 1
-    return k >= best
+    return best
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> tuple[np.ndarray, int]:
