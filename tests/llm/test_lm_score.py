@@ -196,6 +196,14 @@ def test_against_brute_force(spark, small, monkeypatch, head):
     check(L.lm_scores(docs, depth=2).collect(), brute([(r["doc_id"], r["text"]) for r in docs.collect()], 2))
 
 
+def test_shipped_depth(spark, small):
+    """As the query scores, against brute force."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 40 and n_chars < 1200")
+    rows = L.lm_scores(docs).collect()
+    assert len(rows) >= 10 and {r["held_out"] for r in rows} == {True, False}
+    check(rows, brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5))
+
+
 def test_probabilities_sum_to_one():
     texts = [b"abracadabra", b"banana bandana", b"abcabcabc"]
     tree = whole_tree(texts, 2)
