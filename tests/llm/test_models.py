@@ -361,3 +361,14 @@ def test_discounts_leave_weight():
     """More fours than threes would give a discount below zero."""
     d = perplexity.discounts({1: 10, 2: 5, 3: 1, 4: 9})
     assert d[0] == 0 and all(x > 0 for x in d[1:])
+
+
+def test_quality_learns_from_every_trusted_text(spark):
+    """Two thirds of all trusted texts train, however many there are, and all
+    others give the limits; a sample is drawn only where one is asked for."""
+    docs = spark.range(24_000).selectExpr("id as doc_id", "cast(concat('w', id) as binary) as text", "'en' as lang").repartition(4)
+    good = docs.where("doc_id % 4 <> 0").select("doc_id")
+    sample, trains = perplexity.trusted_sample(docs, good)
+    want = {f"w{r['doc_id']}".encode() for r in docs.where("doc_id % 4 <> 0").where(trains).collect()}
+    assert {bytes(r["text"]) for r in sample.collect()} == want and abs(len(want) - 12_000) < 500
+    assert docs.where(~trains).count() + docs.where(trains).count() == 24_000

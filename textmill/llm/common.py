@@ -17,15 +17,19 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.bitset import broadcast_cells, held
 from textmill.workers import reach
 
 #: Rows and bytes of an Arrow batch. Texts may be long, so batches are short.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: Keys of more than one in so many rows are joined by broadcast.
 HOT = 1000
+#: Bits of the set that holds back rows of other ids, a power of two (16 MB).
+ID_BITS = 27
 
 _own_folder: str | None = None
 _scope = threading.local()
@@ -143,6 +147,17 @@ def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
+def rows_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the given ids, of which there may be any number: a set of
+    bits holds back nearly all others, so that of the texts in ``rows`` about
+    those of the ids are shuffled to them."""
+    ids = ids.select(F.col(key).cast(rows.schema[key].dataType).alias(key)).where(F.col(key).isNotNull())
+    cell, name = F.shiftrightunsigned(F.xxhash64(key), 64 - ID_BITS), fresh("_cell", rows)
+    bits = broadcast_cells(ids.select(cell.alias("cell")), 1 << ID_BITS)
+    maybe = keep_rows(rows.withColumn(name, cell), lambda cells: held(bits.value, np.array(cells, np.int64)), name)
+    return maybe.drop(name).join(ids, key, "left_semi")
+
+
 def with_key_rows(rows: DataFrame, keys: list[str], values: DataFrame, total: int) -> DataFrame:
     """``rows``, of which there are ``total``, joined to the values of their
     keys; values: a row per key, with n, how many rows the key has."""
