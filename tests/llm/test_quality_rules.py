@@ -64,3 +64,28 @@ def test_odd(odd, none, no_labels, spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, None), (None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int")
     r = Q.quality_rules(odd, labels).collect()
     assert len(r) == odd.count() and not any(x["kept"] for x in r if x["n_words"] < 10)
+
+
+def test_target_and_threshold_come_from_every_trusted_text(spark, monkeypatch):
+    """No trusted text is left out, however many there are."""
+    seen = []
+    rows_of = Q.rows_of
+    monkeypatch.setattr(Q, "rows_of", lambda *a: seen.append(rows_of(*a)) or seen[-1])
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('w', id % 7, ' w', id % 5, repeat(' x', 9)) as text").repartition(4)
+    labels = docs.selectExpr("doc_id", "if(doc_id % 12 = 0, 0, 1) as quality")
+    found = Q.quality_rules(docs, labels)
+    assert seen[0].count() == 11_000 and found.count() == 12_000
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    trains = {r["doc_id"] for r in docs.where("pmod(xxhash64(doc_id), 3) <> 0 and doc_id % 12 <> 0").collect()}
+
+    def counts(ids):
+        out = np.zeros(2 * Q.BUCKETS, np.int64)
+        for i in ids:
+            np.add.at(out, Q.features(texts[i]), 1)
+        return out
+
+    ratios = Q.log_ratios(counts(trains), counts(texts)).astype(np.float32)
+    low, mid = np.quantile([Q.llr(t, ratios) for i, t in texts.items() if i % 12 and i not in trains], [Q.QUANTILE, 0.5])
+    for r in found.collect():
+        s = Q.llr(texts[r["doc_id"]], ratios)
+        assert abs(r["score"] - s) < 1e-9 and r["kept"] == (not r["base_failed"] and s >= low - Q.SLACK * (mid - low))
