@@ -305,3 +305,19 @@ def test_silver_csv_gives_texts_back(spark, tmp_path):
     rows = [(str(i), t) for i, t in enumerate(texts)]
     sinks.write_silver_csv(spark.createDataFrame(rows, "id string, t string"), str(tmp_path / "c"))
     assert sorted(map(tuple, files.tickets_csv(spark, str(tmp_path / "c")).collect())) == rows
+
+
+def test_stored_index_of_rows(spark, tmp_path):
+    """Rows, plain and bucketed, found again by a session that doesn't know the table."""
+    from textmill.operators import retrieve
+
+    d = spark.createDataFrame([(i, " ".join(f"w{i * j % 13}" for j in range(1, 9))) for i in range(60)], "id int, text string")
+    q = spark.createDataFrame([(1, "w1 w2 w5"), (2, "w3")], "query_id int, query string")
+    rows = lambda i: sorted((r["query_id"], r["id"], round(r["bm25"], 7), r["rank"]) for r in retrieve.bm25_search(q, i, 7).collect())
+    want = rows(retrieve.bm25_index(d, "text"))
+    for buckets in (0, 4):
+        path = str(tmp_path / f"index{buckets}")
+        sinks.write_lexical_index(retrieve.bm25_rows(d, "text"), path, buckets)
+        if buckets:
+            spark.sql(f"DROP TABLE {sinks._blocks_table(path, buckets)}")
+        assert rows(sinks.read_lexical_index(spark, path)) == want

@@ -210,8 +210,7 @@ def score_file(spark, sf_dir):
 @query(f"WITH {_BM25.format(k=5)} SELECT query_id, id, bm25, rank::INTEGER AS rank FROM lex")
 def bm25_persisted(spark, sf_dir):
     """The lexical index as bucketed catalog tables, read back and searched."""
-    found = retrieve.bm25_search(_asked(spark, sf_dir), _index(spark, sf_dir, buckets=8), 5)
-    return found.withColumn("bm25", F.round("bm25", 6))
+    return retrieve.bm25_search(_asked(spark, sf_dir), _index(spark, sf_dir, buckets=8), 5, 6)
 
 
 @query("SELECT doc_id, 'src' || doc_id % 3 AS source_type, n_chars FROM documents")

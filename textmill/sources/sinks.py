@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import slug
-from textmill.operators.retrieve import bm25_blocks, bm25_tables
+from textmill.operators.retrieve import bm25_blocks, bm25_of_rows, bm25_tables
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
@@ -36,26 +36,39 @@ def _blocks_table(path: str, buckets: int) -> str:
     return f"lexical_{crc32(path.encode()):08x}_{buckets}"
 
 
+#: By the table that an index is searched in: its other tables, and the keys
+#: that it is bucketed by.
+_LEXICAL = {"blocks": (("postings", "docs", "terms", "stats"), ("term", "part")), "rows": (("terms", "stats"), ("id",))}
+
+
 def write_lexical_index(index: dict[str, DataFrame], path: str, buckets: int = 0) -> None:
     """The tables of a lexical index; texts are cut into terms for the first
     two, and the others are made of these as they are stored. With ``buckets``
     the blocks of postings become a catalog table bucketed by term and part,
-    whose number of buckets is kept beside it, so that any session can read it
-    as bucketed."""
-    spark = index["postings"].sparkSession
+    or the rows one bucketed by id, whose number of buckets is kept beside it,
+    so that any session can read it as bucketed."""
+    spark = index["terms"].sparkSession
 
     def put(name: str) -> DataFrame:
         index[name].write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    index = index | bm25_tables(put("postings"), put("docs"))
-    index = index | {name: put(name) for name in ("terms", "stats")}
-    blocks = bm25_blocks(index)
-    if buckets:
-        dealt = blocks.repartition(buckets, "term", "part")
-        dealt.write.mode("overwrite").bucketBy(buckets, "term", "part").sortBy("term", "part").option("path", f"{path}/blocks").saveAsTable(_blocks_table(path, buckets))
+    def put_main(name: str, df: DataFrame) -> DataFrame:
+        if not buckets:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+        by = _LEXICAL[name][1]
+        df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).option("path", f"{path}/{name}").saveAsTable(_blocks_table(path, buckets))
+        return spark.table(_blocks_table(path, buckets))
+
+    if "rows" in index:
+        index = bm25_of_rows(put_main("rows", index["rows"]))
+        for name in _LEXICAL["rows"][0]:
+            put(name)
     else:
-        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        index = index | bm25_tables(put("postings"), put("docs"))
+        index = index | {name: put(name) for name in ("terms", "stats")}
+        put_main("blocks", bm25_blocks(index))
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
@@ -66,12 +79,13 @@ def read_lexical_index(spark: SparkSession, path: str) -> dict[str, DataFrame] |
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    index = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats", "blocks")}
+    main = "rows" if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder.getParent().suffix("/rows")) else "blocks"
+    index = {name: spark.read.parquet(f"{path}/{name}") for name in (*_LEXICAL[main][0], main)}
     if buckets := spark.read.parquet(f"{path}/layout").first()["buckets"]:
-        name, columns = _blocks_table(path, buckets), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index["blocks"].schema)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (term, part) SORTED BY (term, part) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
+        name, columns, by = _blocks_table(path, buckets), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index[main].schema), ", ".join(_LEXICAL[main][1])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}/{main}'")
         spark.catalog.refreshTable(name)
-        index["blocks"] = spark.table(name)
+        index[main] = spark.table(name)
     return index
 
 
