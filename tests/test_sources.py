@@ -321,3 +321,19 @@ def test_stored_index_of_rows(spark, tmp_path):
         if buckets:
             spark.sql(f"DROP TABLE {sinks._blocks_table(path, buckets)}")
         assert rows(sinks.read_lexical_index(spark, path)) == want
+
+
+def test_records_go_out_many_at_a_time(spark, tmp_path):
+    """Records of several lines are not a batch each, and batches are bounded, whatever the session says."""
+    from textmill.sources.ranges import quoted_records
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    (tmp_path / "a.csv").write_text("".join(f'{i};"a\nb"\n' for i in range(5000)))
+    rows = quoted_records(spark, str(tmp_path / "a.csv"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.slice(0, 1)
+
+    assert rows.count() == 5000 and {r["record"] for r in rows.collect()} == {f'{i};"a\nb"' for i in range(5000)}
+    assert rows.mapInArrow(sizes, rows.schema).count() >= 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"

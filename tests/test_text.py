@@ -131,3 +131,12 @@ def test_byte_pair_tokens(spark, tmp_path):
     for t, n in (("abc ab ä€😀", 4 + 2 + 3 + 4), ("", 0)):
         r = spark.createDataFrame([(t,)], "t string").select(tok.split(F.col("t")).alias("x"), tok.count(F.col("t")).alias("n")).first()
         assert "".join(r["x"]) == t and r["n"] == n == len(r["x"])
+
+
+def test_only_texts_with_references_reach_python(spark, monkeypatch):
+    """Other texts stay in the JVM; nulls stay null."""
+    seen = []
+    monkeypatch.setattr(X, "_unescape", lambda c: seen.append(c) or F.upper(c))
+    d = spark.createDataFrame([("a &amp; b",), ("plain",), (None,), ("",)], "t string")
+    assert [r[0] for r in d.select(X.unescape(F.col("t"))).collect()] == ["A &AMP; B", "plain", None, ""]
+    assert [r[0] for r in d.select(seen[0].isNull()).collect()] == [False, True, True, True]

@@ -40,9 +40,10 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def unescape(text: Column) -> Column:
-    """Character references to characters, by HTML's rules."""
+    """Character references to characters, by HTML's rules. Texts without an
+    ampersand stay as they are and do not leave the JVM."""
     reach(SparkSession.active())
-    return _unescape(text)
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

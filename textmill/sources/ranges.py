@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.workers import reach
+from textmill.workers import BATCH_BYTES, BATCH_ROWS, reach
 
 #: Ranges whose sums are broadcast, about 200 bytes each.
 RANGES = 1_000_000
@@ -91,15 +91,28 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     known = spark.sparkContext.broadcast(sums_before(own, size=F.octet_length("line") + 1, quotes=_quotes()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, at, inside, held, begun, held_at = None, 0, 0, [], False, 0
-
-        def row(kind: int) -> pa.RecordBatch:
-            return _rows(key[0], [held_at], [kind], pa.array([b"\n".join(held)], pa.binary()))
+        key, at, inside, held, begun, held_at, made, size = None, 0, 0, [], False, 0, [], 0
+
+        def row(kind: int) -> Iterator[pa.RecordBatch]:
+            """The held lines are a record; records go out many at a time."""
+            nonlocal size
+            made.append((held_at, kind, b"\n".join(held)))
+            size += len(made[-1][2])
+            if size >= BATCH_BYTES or len(made) >= BATCH_ROWS:
+                yield from out()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal made, size
+            if made:
+                places, kinds, records = zip(*made, strict=True)
+                yield _rows(key[0], list(places), list(kinds), pa.array(records, pa.binary()))
+            made, size = [], 0
 
         for k, part in runs(batches):
             if k != key:
                 if held:
-                    yield row(OPEN if begun else MORE)
+                    yield from row(OPEN if begun else MORE)
+                yield from out()
                 key, (at, inside), held, begun = k, known.value[k], [], False
                 inside &= 1
             sizes = np.asarray(pc.binary_length(part)).astype(np.int64) + 1
@@ -114,11 +127,12 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
                     held_at, begun = int(place[i]), not before[i]
                 held.append(part[i].as_py())
                 if not after[i]:
-                    yield row(WHOLE if begun else MORE)
+                    yield from row(WHOLE if begun else MORE)
                     held, begun = [], False
             at, inside = int(at + sizes.sum()), int(after[-1])
         if held:
-            yield row(OPEN if begun else MORE)
+            yield from row(OPEN if begun else MORE)
+        yield from out()
 
     pieces = own.mapInArrow(cut, "file string, at bigint, kind int, record binary").withColumn("record", F.col("record").cast("string"))
     chain = F.count_if(F.col("kind") == OPEN).over(Window.partitionBy("file").orderBy("at", "kind"))
