@@ -63,3 +63,20 @@ def test_odd(spark, small, odd, stage):
         assert kept[4] in ((0, 2) if stage != "quality" else (0, 1, 2))
     if stage in ("toxicity", "decontamination"):
         assert kept[0] and kept[1] and kept[2]
+
+
+def test_quality_stage_learns_from_every_trusted_text(spark, small, monkeypatch):
+    """The stage asks for no sample."""
+    import corpus_pipeline
+    from textmill.llm import perplexity
+
+    class Asked(Exception):
+        pass
+
+    def asked(base, good, trusted_rows=None):
+        raise Asked(trusted_rows)
+
+    monkeypatch.setattr(perplexity, "trusted_sample", asked)
+    with pytest.raises(Asked) as e:
+        corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert e.value.args == (None,)
