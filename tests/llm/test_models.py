@@ -372,3 +372,14 @@ def test_quality_learns_from_every_trusted_text(spark):
     want = {f"w{r['doc_id']}".encode() for r in docs.where("doc_id % 4 <> 0").where(trains).collect()}
     assert {bytes(r["text"]) for r in sample.collect()} == want and abs(len(want) - 12_000) < 500
     assert docs.where(~trains).count() + docs.where(trains).count() == 24_000
+
+
+def test_counts_are_packed(spark, monkeypatch):
+    """What lies on disk of the model takes few bytes a gram, and none of its
+    grams has a number beside its key and small counts."""
+    monkeypatch.setattr(perplexity, "HEAD_GRAMS", 0)
+    rng = np.random.default_rng(4)
+    texts = [(" ".join(f"w{i}" for i in rng.integers(0, 3000, 500)).encode(),) for _ in range(200)]
+    m = perplexity.train(spark.createDataFrame(texts, "text binary"))
+    got = m.others.selectExpr("sum(length(blob)) as bytes", "sum(if(kind = 0, size, 0)) as triples", "count(distinct shard) as shards").first()
+    assert got["triples"] >= 99_000 and got["shards"] == m.shards and got["bytes"] < 8 * got["triples"]

@@ -10,6 +10,7 @@ column may hold, becomes U+FFFD there and stops no operator.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import threading
@@ -76,18 +77,32 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and reread it.
+def stash(df: DataFrame, tag: str, by: str | None = None, buckets: int = 0) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and reread it. With
+    ``by``, in so many buckets of that column: grouped by it, it is not
+    shuffled again.
 
     This cuts the lineage, keeps costly Python stages from running twice (an
     RDD checkpoint runs its last stage twice) and survives lost executors.
     """
     spark = df.sparkSession
     path = f"{_stash_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is not None:
+        table = f"textmill_{uuid.uuid4().hex}"
+        df.repartition(buckets, by).write.bucketBy(buckets, by).saveAsTable(table, "parquet", path=path, compression="zstd")
+    else:
+        df.write.parquet(path, compression="zstd")
     if (paths := getattr(_scope, "paths", None)) is not None:
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(table)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and broadcasts of jobs that are done, now:
+    its cleaner waits until Python and the driver's JVM have collected what
+    refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager
