@@ -397,6 +397,7 @@ def train(texts: DataFrame) -> Model:
     vocabulary = texts.mapInArrow(count_words, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - FIRST).toArrow()
     ids = {w: FIRST + i for i, w in enumerate(vocabulary["w"].to_pylist())}
     n_words, shards = FIRST + len(ids), LEAST_SHARDS + int(pa.compute.sum(vocabulary["n"]).as_py() or 0) // SHARD_WORDS
+    del vocabulary
     shared = context.broadcast(ids)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +429,9 @@ def train(texts: DataFrame) -> Model:
         else:
             totals = got
     d3, d2 = (np.array(discounts(dict(enumerate(t[:6].tolist())))) for t in totals[:2])
-    weights = context.broadcast(Weights(one[:, :n_words], d2, d3))
+    made = Weights(one[:, :n_words], d2, d3)
+    weights = context.broadcast(made)
+    del one, sums
 
     table = stash(counts.where(F.col("kind").isin(TRIPLES, PAIRS)), "grams", "shard", shards)
     free_shuffles(spark)
@@ -454,7 +457,7 @@ def train(texts: DataFrame) -> Model:
     order = np.argsort(g)
     free_shuffles(spark)
     others = bloom(grams(False) if rest else spark.createDataFrame([], "g bigint"), rest)
-    head = Head(ids, weights.value, g[order], w[order], others)
+    head = Head(ids, made, g[order], w[order], others)
     free_shuffles(spark)
     return Model(context.broadcast(head), table if rest else table.limit(0), weights, shards)
 
