@@ -281,6 +281,17 @@ def test_bloom(spark):
     assert not perplexity.may_have(perplexity.bloom(spark.createDataFrame([], "g long"), 0), other).any()
 
 
+def test_bloom_by_shards(spark):
+    """Each shard sends a part of its own, so the filter reaches the driver
+    once, of no more bits than the grams are given."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(-(1 << 42), 1 << 62, 20_000))
+    shard = perplexity.gram_shard(keys, 5)
+    f = perplexity.bloom(spark.createDataFrame(list(zip(shard.tolist(), keys.tolist(), strict=True)), "shard int, g long"), len(keys), 5)
+    assert len(f) == 5 and 64 * f.size <= perplexity.BITS_A_GRAM * len(keys)
+    assert perplexity.may_have(f, keys).all() and perplexity.may_have(f, rng.integers(-(1 << 42), 1 << 62, 20_000)).mean() < 0.02
+
+
 def brute_quality(docs, labels):
     """doc_id, text, lang -> verdict: the model by its definition, trained on
     the operator's own sample, and limits of unseen trusted texts by numpy."""

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +101,9 @@ def stash(df: DataFrame, tag: str, by: str | None = None, buckets: int = 0) -> D
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles and broadcasts of jobs that are done, now:
     its cleaner waits until Python and the driver's JVM have collected what
-    refers to them."""
+    refers to them. Arrow's free memory goes back too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -189,8 +191,6 @@ def keep_rows(docs: DataFrame, keep, *needed: str) -> DataFrame:
     The rows pass through the task that judges them, so nothing is joined or
     shuffled. Strings come as bytes. ``keep`` gets a list per needed column.
     """
-    import pyarrow as pa
-
     prepare(docs.sparkSession)
     at = [docs.columns.index(c) for c in needed]
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -48,7 +49,7 @@ PRIOR = 20
 LEAST_TEXTS = 30
 #: Grams that are broadcast, the most frequent; bits of the Bloom filter per
 #: other gram, and at most (a fuller filter lets more through, and loses none).
-HEAD_GRAMS, BITS_A_GRAM, MOST_BITS, READERS = 1_000_000, 12, 1 << 28, 4
+HEAD_GRAMS, BITS_A_GRAM, MOST_BITS = 1_000_000, 12, 1 << 28
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 _BITS = 21
 _LOW = (1 << _BITS) - 1
@@ -198,6 +199,39 @@ def _added(rows: pa.Table) -> pa.Table:
     return _rows([(rows["shard"][0].as_py(), kind, size, pack(*total))])
 
 
+def counts_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """What one shard counts: triples in order, n and m, where a pair that
+    starts some begins and how often it is there; pairs in order, the places
+    there of those that were told and of those that start triples, the m of
+    the former, and how often each is there."""
+    k, n, m = _read(rows, TRIPLES, 3)
+    order = np.argsort(k)
+    k, n, m = k[order], n[order], m[order]
+    first = _runs(k >> _BITS)
+    total = np.add.reduceat(n, first) if len(k) else n
+    pair, told, times = _read(rows, PAIRS, 3)
+    pairs, at = np.unique(np.concatenate([pair, (k >> _BITS)[first]]), return_inverse=True)
+    often = np.zeros(len(pairs), np.int64)
+    often[at[: len(pair)]], often[at[len(pair) :]] = times, total
+    return k, n, m, first, total, pairs, at, told, often
+
+
+class Words:
+    """The words by number, from ``FIRST``, as one text; the numbers by word
+    are made where they are asked for."""
+
+    def __init__(self, words_: pa.ChunkedArray):
+        size = len(words_)
+        joined = pa.compute.binary_join(pa.ListArray.from_arrays([0, size], words_.combine_chunks()), b"\n")  # a word has no white space
+        self.n, text = size, joined[0].as_buffer()
+        self.size, self.packed = text.size, pa.compress(text, "zstd", asbytes=True)
+
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        text = pa.decompress(self.packed, self.size, "zstd", asbytes=True)
+        return {w: FIRST + i for i, w in enumerate(text.split(b"\n"))} if self.n else {}
+
+
 class Weights:
     """What makes corrections of counts: by word p (log10 as a last resort), h
     (log10 of what it leaves, as a history, to other words) and s (how much it
@@ -229,25 +263,19 @@ class Weights:
         """(triples, corrections, n, pairs, corrections, n) of one shard, the
         keys in order. A pair's correction is that of its last word and, as the
         history of the next one, of what it leaves."""
-        k, n, m = _read(rows, TRIPLES, 3)
-        order = np.argsort(k)
-        k, n, m = k[order], n[order], m[order]
+        k, n, m, first, total, pairs, at, told, often = counts_of(rows)
+        each = np.diff(np.append(first, len(k)))
         d = self.d3[np.minimum(n, 3)]
-        first = _runs(k >> _BITS)
-        opens, each = (k >> _BITS)[first], np.diff(np.append(first, len(k)))
-        total = np.add.reduceat(n, first) if len(k) else n
         h3 = np.log10((np.add.reduceat(d, first) if len(k) else d) / total)
         p2, _ = self.pair(k & ((1 << 2 * _BITS) - 1), m)
         backed = np.repeat(h3, each) + p2
         w = np.log10((n - d) / np.repeat(total, each) + 10**backed) - backed
-        pair, m_told, times = _read(rows, PAIRS, 3)
-        pairs, at = np.unique(np.concatenate([pair, opens]), return_inverse=True)
-        m, often, v = np.ones(len(pairs), np.int64), np.zeros(len(pairs), np.int64), np.zeros(len(pairs))
-        m[at[: len(pair)]], often[at[: len(pair)]], often[at[len(pair) :]] = m_told, times, total
+        m, v = np.ones(len(pairs), np.int64), np.zeros(len(pairs))
+        m[at[: len(told)]] = told
         ends = np.flatnonzero(pairs & _LOW != START)  # nothing ends with two starts
         p2, low = self.pair(pairs[ends], m[ends])
         v[ends] = p2 - low
-        v[at[len(pair) :]] += h3
+        v[at[len(told) :]] += h3
         return k, w, n, pairs, v, often
 
 
@@ -263,36 +291,43 @@ def _by_shard(rows: DataFrame, fn) -> DataFrame:
 
 
 def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Three bit numbers of each key; bits: a power of two."""
+    """Three bit numbers of each key; bits: below 2^32."""
     h = keys.astype(np.uint64)
     for multiplier in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
         x = (h ^ (h >> np.uint64(31))) * np.uint64(multiplier)
-        yield ((x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+        yield (((x ^ (x >> np.uint64(29))) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
 
 
-def bloom(grams: DataFrame, n: int) -> np.ndarray:
-    """The filter's 64-bit words: ``READERS`` tasks send theirs to the driver."""
-    bits = 64
-    while bits < min(MOST_BITS, BITS_A_GRAM * n):
-        bits *= 2
+def gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each gram: a triple's is that of the pair that starts it."""
+    return shard_of(np.where(keys < 0, ~keys, keys >> _BITS), shards)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for at in _places(np.asarray(b.column(0)), bits):
-                np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["f"])
 
-    out = np.zeros(bits // 64, np.int64)
-    for f in grams.select("g").coalesce(READERS).mapInArrow(run, "f binary").toArrow()["f"]:
-        out |= np.frombuffer(f.as_buffer(), np.int64)
+def bloom(grams: DataFrame, n: int, shards: int = 1, keys=lambda rows: np.asarray(rows["g"])) -> np.ndarray:
+    """A filter of n grams as 64-bit words, a row for each shard: its task
+    sends that row alone, so the driver gets the filter once. grams: with
+    several shards, rows of column ``shard`` of which ``keys`` makes the grams."""
+    size = max(1, min(MOST_BITS, BITS_A_GRAM * n) // (64 * shards))
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = np.zeros(8 * size, np.uint8)
+        for at in _places(keys(rows), 64 * size):
+            np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return pa.table([rows["shard"].slice(0, 1).cast(pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["shard", "f"])
+
+    out = np.zeros((shards, size), np.int64)
+    rows = grams if shards > 1 else grams.withColumn("shard", F.lit(0))
+    got = rows.groupBy("shard").applyInArrow(run, "shard int, f binary").toArrow()
+    for shard, f in zip(got["shard"].to_pylist(), got["f"], strict=True):
+        out[shard] = np.frombuffer(f.as_buffer(), np.int64)
     return out
 
 
 def may_have(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    shard = gram_shard(keys, len(filter_)) if len(filter_) > 1 else 0
     out = np.ones(len(keys), bool)
-    for at in _places(keys, 64 * len(filter_)):
-        out &= (filter_[at >> 6] >> (at & 63)) & 1 == 1
+    for at in _places(keys, 64 * filter_.shape[1]):
+        out &= (filter_[shard, at >> 6] >> (at & 63)) & 1 == 1
     return out
 
 
@@ -301,12 +336,15 @@ class Head:
     number, the most frequent grams (in order) with their corrections, and the
     filter of the others. It travels packed."""
 
-    def __init__(self, ids: dict[bytes, int], model: Weights, grams: np.ndarray, weights: np.ndarray, others: np.ndarray):
-        self.ids, self.model, self.p, self.h, self.grams, self.weights, self.others = ids, model, model.p, model.h, grams, weights, others
+    def __init__(self, words_: Words, model: Weights, grams: np.ndarray, weights: np.ndarray, others: np.ndarray):
+        self.words, self.model, self.p, self.h, self.grams, self.weights, self.others = words_, model, model.p, model.h, grams, weights, others
 
     def __reduce__(self):
-        text = b"\n".join(self.ids)  # in order of their numbers; a word has no white space
-        return _head, (pa.compress(text, "zstd", asbytes=True), len(text), len(self.ids), self.model, pack(np.diff(self.grams, prepend=0)), self.weights, self.others)
+        return _head, (self.words, self.model, pack(np.diff(self.grams, prepend=0)), self.weights, self.others)
+
+    @property
+    def ids(self) -> dict[bytes, int]:
+        return self.words.ids
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The corrections of the keys (0 where the head has none), where it
@@ -370,10 +408,9 @@ class Head:
         return total, tokens, doc[first], gram[first], np.diff(np.append(first, len(doc)))
 
 
-def _head(text: bytes, size: int, n: int, model: Weights, grams: bytes, weights: np.ndarray, others: np.ndarray) -> Head:
-    ids = {w: FIRST + i for i, w in enumerate(pa.decompress(text, size, "zstd", asbytes=True).split(b"\n"))} if n else {}
+def _head(words_: Words, model: Weights, grams: bytes, weights: np.ndarray, others: np.ndarray) -> Head:
     keys = np.cumsum(unpack(pa.array([grams], pa.binary()), pa.array([len(weights)]), 1)[0])
-    return Head(ids, model, keys, weights, others)
+    return Head(words_, model, keys, weights, others)
 
 
 class Model(NamedTuple):
@@ -395,10 +432,10 @@ def train(texts: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
     vocabulary = texts.mapInArrow(count_words, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - FIRST).toArrow()
-    ids = {w: FIRST + i for i, w in enumerate(vocabulary["w"].to_pylist())}
-    n_words, shards = FIRST + len(ids), LEAST_SHARDS + int(pa.compute.sum(vocabulary["n"]).as_py() or 0) // SHARD_WORDS
+    named = Words(vocabulary["w"])
+    n_words, shards = FIRST + named.n, LEAST_SHARDS + int(pa.compute.sum(vocabulary["n"]).as_py() or 0) // SHARD_WORDS
     del vocabulary
-    shared = context.broadcast(ids)
+    shared = context.broadcast(named)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> list[pa.RecordBatch]:
@@ -407,7 +444,7 @@ def train(texts: DataFrame) -> Model:
 
         keys, size = [], 0
         for t in (t for b in batches for t in b.column(0).to_pylist()):
-            keys.append(triples_of(encode(shared.value, words(t))))
+            keys.append(triples_of(encode(shared.value.ids, words(t))))
             size += len(keys[-1])
             if size > GATHERED * CHUNK:
                 yield from counted()
@@ -443,21 +480,23 @@ def train(texts: DataFrame) -> Model:
         least = step
     rest = int(totals[2, : min(least, _STEPS)].sum())
 
-    def grams(often: bool):
-        def run(rows: pa.Table) -> pa.Table:
-            k, w, n, pairs, v, times = weights.value.of(rows)
-            g, w, n = np.concatenate([k, ~pairs]), np.concatenate([w, v]), np.concatenate([n, times])
-            at = (step_of(n) >= least) == often
-            return pa.table([pa.array(g[at]), pa.array(w[at])], names=["g", "w"])
+    def often(rows: pa.Table) -> pa.Table:
+        k, w, n, pairs, v, times = weights.value.of(rows)
+        at, at2 = step_of(n) >= least, step_of(times) >= least
+        return pa.table([pa.array(np.concatenate([k[at], ~pairs[at2]])), pa.array(np.concatenate([w[at], v[at2]]))], names=["g", "w"])
 
-        return table.groupBy("shard").applyInArrow(run, "g bigint, w double")
+    def seldom(rows: pa.Table) -> np.ndarray:
+        k, n, *_, pairs, _, _, times = counts_of(rows)
+        return np.concatenate([k[step_of(n) < least], ~pairs[step_of(times) < least]])
 
-    got = grams(True).toArrow()
+    got = table.groupBy("shard").applyInArrow(often, "g bigint, w double").toArrow()
     g, w = np.asarray(got["g"]).astype(np.int64), np.asarray(got["w"]).astype(np.float64)
     order = np.argsort(g)
+    g, w = g[order], w[order]
+    del got, order
     free_shuffles(spark)
-    others = bloom(grams(False) if rest else spark.createDataFrame([], "g bigint"), rest)
-    head = Head(ids, made, g[order], w[order], others)
+    others = bloom(table, rest, shards, seldom) if rest else np.zeros((shards, 1), np.int64)
+    head = Head(named, made, g, w, others)
     free_shuffles(spark)
     return Model(context.broadcast(head), table if rest else table.limit(0), weights, shards)
 
