@@ -271,6 +271,21 @@ def test_kneser_ney(make, monkeypatch, head, vocabulary, chunk):
         assert sum(kn.p(*h, c) for c in [*kn.known, "</s>", "<?>"]) == pytest.approx(1)
 
 
+def test_answers_are_packed(make, monkeypatch):
+    """A shard answers a block of texts with one row, not with one a text, and
+    equal texts have the same total to the last bit."""
+    monkeypatch.setattr(perplexity, "HEAD_GRAMS", 0)
+    as_bytes = lambda texts: make(texts).selectExpr("doc_id", "cast(text as binary) as text").coalesce(1)
+    m = perplexity.train(as_bytes(SHORT).select("text"))
+    lost = perplexity.losses(as_bytes(SHORT * 300), m)
+    sizes = {}
+    for r in lost.collect():
+        sizes.setdefault(r["doc_id"] % len(SHORT), Counter())[r["total"]] += 1
+    assert len(sizes) == len(SHORT) and all(list(c.values()) == [300] for c in sizes.values())
+    plan = lost._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "block" in plan  # no row for each text and shard is summed
+
+
 def test_bloom(spark):
     """No gram is lost; few others pass, also where bits are scarce."""
     rng = np.random.default_rng(5)

@@ -57,7 +57,7 @@ _LOW = (1 << _BITS) - 1
 #: sends packed grams.
 CHUNK, GATHERED = 1 << 18, 4
 #: Shards of the model: at least, and one more for so many words of its texts.
-LEAST_SHARDS, SHARD_WORDS = 8, 1 << 19
+LEAST_SHARDS, SHARD_WORDS = 8, 1 << 20
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -505,17 +505,20 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns but text (binary), with total (-log10 probability) and
     n_tokens (words and the end).
 
-    A task's grams go to their shards in packed rows, its texts' own rows
-    beside them to a shard below zero, from which they come back unchanged."""
+    A task's texts are dealt into blocks by how many grams they ask for. A
+    block's grams go to their shards in packed rows, its texts' own rows beside
+    them to a shard below zero; the answers of a shard to a block come back as
+    one packed row, and the block adds them to its texts."""
     at, head, weights, shards = docs.columns.index("text"), model.head, model.weights, model.shards
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in names)
     own_type = f"own struct<{kinds}, `{(tokens_name := fresh('n_tokens', docs))}`: bigint>"
-    asked_type, out_type = f"shard int, row bigint, value double, {own_type}, size int, blob binary", f"row bigint, value double, {own_type}"
+    columns = ["shard", "block", "row", "value", "own", "size", "blob"]
+    row_type = f"shard int, block bigint, row bigint, value double, {own_type}, size int, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        row, asked, size = task << 40, [], 0
+        block, row, asked, size = task << 32, 0, [], 0
         own_arrow = None
 
         def sent() -> pa.RecordBatch:
@@ -529,33 +532,33 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
                 out.append((int(shard[i[0]]), len(i), pack(np.diff(rows[i], prepend=0), a, b, c, gram[i] < 0, times[i])))
             n = len(out)
             shard, size, blob = zip(*out, strict=True)
-            columns = [pa.array(shard, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, own_arrow), pa.array(size, pa.int32()), pa.array(blob, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "row", "value", "own", "size", "blob"])
+            packed = [pa.array(shard, pa.int32()), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, own_arrow), pa.array(size, pa.int32()), pa.array(blob, pa.binary())]
+            return pa.RecordBatch.from_arrays(packed, names=columns)
 
         for b in batches:
             total, tokens, doc, gram, times = head.value.losses(b.column(at).to_pylist())
             n = b.num_rows
             own = pa.StructArray.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(tokens)], names=[*names, tokens_name])
             own_arrow = own.type
-            columns = [pa.array(np.full(n, -1 - task), pa.int32()), pa.array(np.arange(row, row + n)), pa.array(total), own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "row", "value", "own", "size", "blob"])
+            kept = [pa.array(np.full(n, -1 - task), pa.int32()), pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), pa.array(total), own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(kept, names=columns)
             if len(gram):
                 asked.append((doc + row, gram, times))
                 size += len(gram)
             row += n
             if size > GATHERED * CHUNK:
                 yield sent()
-                asked, size = [], 0
+                block, row, asked, size = block + 1, 0, [], 0
         if asked:
             yield sent()
 
     def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
-        asks, own = asks.filter(pa.compute.is_valid(asks["blob"])), asks.filter(pa.compute.is_null(asks["blob"])).select(["row", "value", "own"])
+        asks, own = asks.filter(pa.compute.is_valid(asks["blob"])), asks.filter(pa.compute.is_null(asks["blob"]))
         if not len(asks) or not len(counts):
             return own
         triples, w, _, pairs, v, _ = weights.value.of(counts)
-        out = [own]
-        for at in range(len(asks)):  # a row's grams are in order of texts, and a text's all in one
+        out = []
+        for at in range(len(asks)):  # a row's grams are in order of texts
             blob = asks.slice(at, 1)
             steps, a, b, c, both, times = unpack(blob["blob"], blob["size"], 6)
             rows, value = np.cumsum(steps), np.zeros(len(steps))
@@ -564,13 +567,25 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
                     i = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
                     value += np.where(here & (keys[i] == of), x[i] * times, 0.0)
             first = _runs(rows)
-            out.append(pa.table([pa.array(rows[first]), pa.array(np.add.reduceat(value, first)), pa.nulls(len(first), own.schema.field("own").type)], schema=own.schema))
-        return pa.concat_tables(out)
-
-    asked = docs.mapInArrow(run, asked_type)
-    got = asked.groupBy("shard").cogroup(model.others.groupBy("shard")).applyInArrow(answer, out_type)
-    got = got.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum("value").alias("value"))
-    return got.select(*(F.col("own").getField(c).alias(c) for c in names), (-F.col("value")).alias("total"), F.col("own").getField(tokens_name).alias("n_tokens"))
+            out.append((len(first), pack(np.diff(rows[first], prepend=0), np.add.reduceat(value, first).view(np.int64))))
+        size, blob = zip(*out, strict=True)
+        packed = [*(asks[c] for c in columns[:5]), pa.array(size, pa.int32()), pa.array(blob, pa.binary())]
+        return pa.concat_tables([own, pa.table(packed, schema=own.schema)])
+
+    def added(rows: pa.Table) -> pa.Table:
+        own, answers = rows.filter(pa.compute.is_null(rows["blob"])), rows.filter(pa.compute.is_valid(rows["blob"])).sort_by("shard")
+        at, total = np.asarray(own["row"]), np.array(own["value"])
+        sums = np.zeros(len(at))
+        for i in range(len(answers)):  # in order of shards, so that equal texts have equal sums
+            blob = answers.slice(i, 1)
+            steps, value = unpack(blob["blob"], blob["size"], 2)
+            sums[np.cumsum(steps)] += value.view(np.float64)
+        return pa.table([own["own"], pa.array(-(total + sums[at]))], names=["own", "total"])
+
+    asked = docs.mapInArrow(run, row_type)
+    got = asked.groupBy("shard").cogroup(model.others.groupBy("shard")).applyInArrow(answer, row_type)
+    got = got.groupBy("block").applyInArrow(added, f"{own_type}, total double")
+    return got.select(*(F.col("own").getField(c).alias(c) for c in names), "total", F.col("own").getField(tokens_name).alias("n_tokens"))
 
 
 def quantiles(values: DataFrame, at: list[float], least: int) -> dict[str | None, list[float]]:
