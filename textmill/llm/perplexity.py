@@ -410,7 +410,9 @@ class Head:
 
 def _head(words_: Words, model: Weights, grams: bytes, weights: np.ndarray, others: np.ndarray) -> Head:
     keys = np.cumsum(unpack(pa.array([grams], pa.binary()), pa.array([len(weights)]), 1)[0])
-    return Head(words_, model, keys, weights, others)
+    head = Head(words_, model, keys, weights, others)
+    head.model = None  # tasks need its p and h alone
+    return head
 
 
 class Model(NamedTuple):
@@ -523,6 +525,7 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             rows, gram, times = (np.concatenate(x) for x in zip(*asked, strict=True))
+            asked.clear()
             key = np.where(gram < 0, ~gram, gram)
             shard = shard_of(key >> _BITS, shards)
             order = np.argsort(shard, kind="stable")
@@ -548,7 +551,7 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
             row += n
             if size > GATHERED * CHUNK:
                 yield sent()
-                block, row, asked, size = block + 1, 0, [], 0
+                block, row, size = block + 1, 0, 0
         if asked:
             yield sent()
 
