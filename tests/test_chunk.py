@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from textmill.operators import chunk, enrich
 from textmill.schemas import GOLD
 
@@ -127,3 +129,18 @@ def test_chunker(spark):
             continue
         raise AssertionError
     assert enrich.cost_estimate(chunk.v0(d)).first()["ok"]
+
+
+def test_sorted_entries_are_dealt_to_tasks(spark, monkeypatch):
+    """However small the compressed entries are, a task sorts about SORTED of
+    them: Spark would join these to one partition."""
+    monkeypatch.setattr(chunk, "SORTED", 100)
+    d = spark.range(40).selectExpr("string(id) AS doc_id", "transform(sequence(0, 19), i -> struct(int(i % 3 + 1) AS level, string(i) AS title, int(i + 1) AS page)) AS outline", "transform(sequence(0, 19), i -> struct(int(i + 1) AS page_number)) AS pages")
+    plain, dealt = chunk.sections(d), chunk.sections(d, n=800)
+    assert dealt.rdd.getNumPartitions() == 8 > plain.rdd.getNumPartitions()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    spans = d.select("doc_id", F.lit(1).alias("r"), F.lit(2).alias("start"), F.lit(5).alias("end"))
+    points = d.select("doc_id", F.posexplode("pages").alias("at", "p")).select("doc_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("p.page_number").alias("value"))
+    met = lambda **n: chunk.inside(spans, points, ("doc_id",), ("r",), **n)
+    assert met(n=880).rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, met(n=880).collect())) == sorted(map(tuple, met().collect())) == sorted((str(i), 1, k) for i in range(40) for k in (2, 3, 4))

@@ -23,6 +23,9 @@ V0_WINDOW = (1000, 150)
 FALLBACK_WINDOW = (1500, 100)
 ATOMIC_LIMIT, SECTION_LIMIT = 8000, 2000
 
+#: Entries, bounds or pages of a task that puts them in order.
+SORTED = 50_000
+
 COLUMNS = ("id", "text", "source_type", "doc_id", "source_file", "chunk_index", "chunking_strategy", "page_number", "outline_path")
 _KEY = ("source_type", "doc_id")
 
@@ -107,21 +110,30 @@ def entries(docs: DataFrame) -> DataFrame:
     return docs.select(*keys, last.alias("last"), F.posexplode("outline").alias("at", "e")).select(*keys, "last", "at", "e.level", "e.title", "e.page")
 
 
-def sections(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _dealt(rows: DataFrame, keys: tuple[str, ...], n: int | None) -> DataFrame:
+    """``rows``, of which there are about ``n``, dealt by key to so many tasks
+    that each sorts about ``SORTED`` of them. Left to itself, Spark joins
+    partitions by their compressed size, and such rows shrink so much that the
+    few tasks that remain would sort more and more as the input grows."""
+    return rows if n is None else rows.repartition(max(1, -(-n // SORTED)), *keys)
+
+
+def sections(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), n: int | None = None) -> DataFrame:
     """The level-2 sections of each outline: keys, h2_at, h1, title, start, end.
 
     h1 is the last level-1 title before; the end is the page of the next entry
     of level 2 or less, else one past the last page. Both are carried along the
     document's entries, each by one running window, in outline order and back.
+    n: about how many entries there are, where known.
     """
     every = Window.partitionBy(*keys)
     carried = lambda when, c, w: F.last(F.when(when, F.struct(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))[c]
-    e = entries(docs.select(*keys, "outline", "pages"))
+    e = _dealt(entries(docs.select(*keys, "outline", "pages")), keys, n)
     e = e.withColumn("h1", carried(F.col("level") == 1, "title", every.orderBy("at"))).withColumn("end", carried(F.col("level") <= 2, "page", every.orderBy(F.desc("at"))))
     return e.where("level = 2").select(*keys, F.col("at").alias("h2_at"), F.coalesce("h1", F.lit("")).alias("h1"), "title", F.col("page").alias("start"), F.coalesce("end", "last").alias("end"))
 
 
-def inside(ranges: DataFrame, points: DataFrame, keys: tuple[str, ...], of_range: tuple[str, ...]) -> DataFrame:
+def inside(ranges: DataFrame, points: DataFrame, keys: tuple[str, ...], of_range: tuple[str, ...], n: int | None = None) -> DataFrame:
     """Which points lie in which range: keys, of_range, rank.
 
     ranges: keys, of_range (which name a range), start, end (half-open);
@@ -129,11 +141,13 @@ def inside(ranges: DataFrame, points: DataFrame, keys: tuple[str, ...], of_range
     points meet in one sorted stream, where each bound counts the points before
     it; the points of a range are the ranks between its two counts. So the work
     is that of a sort and of the result, however many ranges and points there
-    are, and ranges may overlap. A null bound holds nothing.
+    are, and ranges may overlap. A null bound holds nothing. n: about how many
+    ranges and points there are, where known.
     """
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("value")) for i, c in enumerate(("start", "end"))]))
     bounds = ranges.select(*keys, *of_range, sides.alias("b")).select(*keys, *of_range, "b.*").where("value is not null")
     stream = bounds.withColumn("point", F.lit(0)).unionByName(points.select(*keys, "value").withColumn("point", F.lit(1)), allowMissingColumns=True)
+    stream = _dealt(stream, keys, n)
     before = Window.partitionBy(*keys).orderBy("value", "point").rowsBetween(Window.unboundedPreceding, 0)
     counted = stream.withColumn("n", F.sum("point").over(before)).where("point = 0")
     one = lambda i: F.max(F.when(F.col("side") == i, F.col("n")))
@@ -158,22 +172,22 @@ def page_points(docs: DataFrame) -> DataFrame:
     return _points(docs, "page_number", "pages").select(*_KEY, "rank", "value", "at", strip(F.coalesce("e.text", F.lit(""))).alias("text"))
 
 
-def ranges_text(pages: DataFrame, ranges: DataFrame, of_range: tuple[str, ...]) -> DataFrame:
+def ranges_text(pages: DataFrame, ranges: DataFrame, of_range: tuple[str, ...], n: int | None = None) -> DataFrame:
     """keys, of_range, text: the texts of the pages in each range, blank ones
     left out, joined in the pages' order; ranges without text go. pages: the
     result of ``page_points``."""
-    met = inside(ranges, pages, _KEY, of_range).join(pages.select(*_KEY, "rank", "at", "text").where("text <> ''"), [*_KEY, "rank"])
+    met = inside(ranges, pages, _KEY, of_range, n).join(pages.select(*_KEY, "rank", "at", "text").where("text <> ''"), [*_KEY, "rank"])
     ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
     return met.groupBy(*_KEY, *of_range).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
 
-def h3_sections(docs: DataFrame, h2: DataFrame) -> DataFrame:
+def h3_sections(docs: DataFrame, h2: DataFrame, n: int | None = None) -> DataFrame:
     """keys, h2_at, h3_at, title, start, end: the level-3 entries on pages of
     each section's range, wherever they stand in the outline; an entry ends at
     the page of the next of them, the last one with the section."""
     points = _points(docs, "page", "outline", lambda e: e["level"] == 3)
     ranges = h2.select(*_KEY, "h2_at", "start", "end")
-    met = inside(ranges, points, _KEY, ("h2_at",)).join(points.select(*_KEY, "rank", F.col("at").alias("h3_at"), F.col("e.title").alias("title"), F.col("value").alias("start")), [*_KEY, "rank"])
+    met = inside(ranges, points, _KEY, ("h2_at",), n).join(points.select(*_KEY, "rank", F.col("at").alias("h3_at"), F.col("e.title").alias("title"), F.col("value").alias("start")), [*_KEY, "rank"])
     met = met.join(ranges.select(*_KEY, "h2_at", F.col("end").alias("h2_end")), [*_KEY, "h2_at"])
     following = F.lead("start").over(Window.partitionBy(*_KEY, "h2_at").orderBy("h3_at"))
     return met.select(*_KEY, "h2_at", "h3_at", "title", "start", F.coalesce(following, "h2_end").alias("end"))
@@ -194,16 +208,18 @@ def by_outline(docs: DataFrame, tok: Tokenizer = WORDS) -> DataFrame:
     own = base.where(usable).drop("full_text")
     pages = written(page_points(own))
     own = written(own.withColumn("pages", F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number")))))
-    h2 = written(sections(own, _KEY))
-    h3 = written(h3_sections(own, h2))
+    n_pages, n_entries = pages.count(), own.agg(F.sum(F.size("outline"))).first()[0] or 0
+    h2 = written(sections(own, _KEY, n_entries))
+    n_h2 = h2.count()
+    h3 = written(h3_sections(own, h2, n_entries + 2 * n_h2))
     has_h3 = h3.select(*_KEY, "h2_at").distinct().withColumn("finer", F.lit(True))
-    whole = ranges_text(pages, h2, ("h2_at",)).join(has_h3, [*_KEY, "h2_at"], "left")
+    whole = ranges_text(pages, h2, ("h2_at",), n_pages + 2 * n_h2).join(has_h3, [*_KEY, "h2_at"], "left")
     whole = written(whole.withColumn("finer", F.coalesce("finer", F.lit(False)) & _longer("text", SECTION_LIMIT, tok)))
     h3 = h3.join(whole.where("finer").select(*_KEY, "h2_at"), [*_KEY, "h2_at"], "left_semi")
     named = h2.select(*_KEY, "h2_at", "h1", F.col("title").alias("h2"))
     path = lambda *more: F.array("h1", "h2", *more).alias("path")
     coarse = whole.where("not finer").join(named, [*_KEY, "h2_at"]).select(*_KEY, "h2_at", F.lit(-1).alias("h3_at"), F.lit("h2").alias("kind"), path(), "text")
-    fine = ranges_text(pages, h3, ("h2_at", "h3_at")).join(h3.select(*_KEY, "h2_at", "h3_at", "title"), [*_KEY, "h2_at", "h3_at"]).join(named, [*_KEY, "h2_at"])
+    fine = ranges_text(pages, h3, ("h2_at", "h3_at"), n_pages + 2 * n_entries).join(h3.select(*_KEY, "h2_at", "h3_at", "title"), [*_KEY, "h2_at", "h3_at"]).join(named, [*_KEY, "h2_at"])
     p = coarse.unionByName(fine.select(*_KEY, "h2_at", "h3_at", F.lit("h3").alias("kind"), path("title"), "text"))
     p = p.join(own.select(*_KEY, "source_file"), [*_KEY])
     p = _cut(p, SECTION_LIMIT, tok).drop("text")
