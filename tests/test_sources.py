@@ -307,6 +307,39 @@ def test_silver_csv_gives_texts_back(spark, tmp_path):
     assert sorted(map(tuple, files.tickets_csv(spark, str(tmp_path / "c")).collect())) == rows
 
 
+#: Texts that a CSV parser may mix up: empty ones, quotes, both line ends, the first and the last character of the plane.
+ODD = ["", None, '"', '""', '","', "\0", 'a\0"\0b\n', '\0"', "\uffff", "a\uffff\n,b", "\r", "a\r\n", " ", "\ufeff", "\\", "null", '"\n' * 3000, "x" * 200_000]
+
+
+def test_silver_table_of_odd_texts(spark, tmp_path, split):
+    """Every text comes back as its SQL says: an empty one is no null, and no character is lost."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    if split != "128m":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    rows = [(i, t, ODD[-i] if len(ODD[-i] or "") < 9 else "de", "s") for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries()["silver_table"](spark, str(tmp_path)).select("doc_id", "lang", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(c.sql(oracle_sql()["silver_table"]).fetchall(), key=repr)
+    assert {r["text"] for r in got} == set(ODD)
+
+
+def test_forum_keeps_every_character(spark, tmp_path):
+    texts = ["a\0;b", "a\uffff;b", '\0"\n\uffff"', "ä"]
+    (tmp_path / "f.csv").write_text("\n".join(post(str(i), t) for i, t in enumerate(texts)) + "\n", encoding="utf-8")
+    got = files.forum_csv(spark, str(tmp_path / "f.csv")).collect()
+    assert {r["post_id"]: r["post_text"] for r in got} == {str(i): t for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("record", "want"), [("a,,b", ["a", None, "b"]), ('"",a,""', ["", "a", ""]), (",", [None, None]), ('"a""b,","c"', ['a"b,', "c"]), ('"a" ,b', ["a", "b"]), ('"a"b,c', ['"a"b', "c"]), ('a"b,c"', ['a"b', 'c"']), ('a,"b,c', ["a", "b,c"]), ('a,"', ["a", '"']), ('""""', ['"'])])
+def test_fields_of_records(record, want):
+    assert files.fields_of(record, ",") == want
+
+
 def test_stored_index_of_rows(spark, tmp_path):
     """Rows, plain and bucketed, found again by a session that doesn't know the table."""
     from textmill.operators import retrieve

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -33,7 +36,42 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     return own.select("file", "at", text.alias("record")).where("record <> ''")
 
 
-_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true"}
+def fields_of(record: str, sep: str) -> list[str | None]:
+    """The fields of a CSV record. An empty one is null, and an empty text if
+    it is in quotes. A quoted one ends at the first quote that isn't doubled,
+    or with the record; with more than blanks between that and the separator
+    its quotes are text like any other, and so is a quote at the very end."""
+    fields, at = [], 0
+    while True:
+        end = at
+        if record.startswith('"', at) and at + 1 < len(record):
+            end = record.find('"', at + 1)
+            while end >= 0 and record.startswith('"', end + 1):
+                end = record.find('"', end + 2)
+            end = len(record) if end < 0 else end
+        stop = record.find(sep, end)
+        stop = len(record) if stop < 0 else stop
+        if end > at and not record[end + 1 : stop].strip(" \t"):
+            fields.append(record[at + 1 : end].replace('""', '"'))
+        else:
+            fields.append(record[at:stop] or None)
+        if stop == len(record):
+            return fields
+        at = stop + len(sep)
+
+
+def _fields(records: DataFrame, sep: str) -> DataFrame:
+    """file, at, fields (texts or nulls) of ``_records``. Spark's own parser
+    makes null of an empty text in quotes, drops the character U+0000 in
+    quotes, and ends a record at U+FFFF."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [fields_of(r, sep) for r in b.column(2).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array([f for r in rows for f in r], pa.string()))], names=["file", "at", "fields"])
+
+    return records.select("file", "at", "record").mapInArrow(cut, "file string, at bigint, fields array<string>")
 
 
 def forum_csv(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
@@ -44,12 +82,8 @@ def forum_csv(spark: SparkSession, path: str, sample: int | None = None) -> Data
     that isn't a number is 0. Rows with too many columns go, short ones are
     filled with nulls. Files are read in byte ranges, quoted newlines or not.
     """
-    names = [f"c{i}" for i in range(FORUM_WIDTH)]
-    schema = ", ".join(f"{n} string" for n in names) + ", _corrupt string"
-    raw = _records(spark, path).select(F.struct("file", "at").alias("src_pos"), F.from_csv("record", schema, _CSV | {"sep": ";"}).alias("r")).select("src_pos", "r.*")
-    fields = F.size(F.split(F.regexp_replace(F.col("_corrupt"), r'"([^"]|"")*"', ""), ";"))
-    raw = raw.where(F.col("_corrupt").isNull() | (fields <= FORUM_WIDTH))
-    posts = raw.select(*[F.col(f"c{i}").alias(n) for n, i in FORUM_COLUMNS.items()], "src_pos").where(F.col("post_id").rlike(r"^\d+$"))
+    raw = _fields(_records(spark, path), ";").where(F.size("fields") <= FORUM_WIDTH)
+    posts = raw.select(*[F.get("fields", F.lit(i)).alias(n) for n, i in FORUM_COLUMNS.items()], F.struct("file", "at").alias("src_pos")).where(F.col("post_id").rlike(r"^\d+$"))
     return sampled(posts.withColumn("post_time", F.coalesce(F.col("post_time").try_cast("double").try_cast("long"), F.lit(0))), "post_id", sample)
 
 
@@ -75,8 +109,7 @@ def tickets_csv(spark: SparkSession, path: str) -> DataFrame:
     if head is None:
         raise ValueError(f"no header at {path}")
     names = next(csv.reader([head["record"]]))
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    return rows.where("at > 0").select(F.from_csv("record", schema, {k: v for k, v in _CSV.items() if k != "columnNameOfCorruptRecord"}).alias("r")).select("r.*")
+    return _fields(rows.where("at > 0"), ",").select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def pdf_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:

@@ -20,10 +20,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 def write_silver_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; nested columns, which CSV can't hold, are left out.
-    Quotes are doubled, as the readers expect, and outer blanks stay; an empty
-    text is read back as null."""
+    Quotes are doubled, as the readers expect, and outer blanks stay; null is
+    an empty field, and an empty text two quotes."""
     flat = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "struct", "map")]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
